@@ -1,7 +1,8 @@
-"""The registered queries and their SQL twins."""
+"""All registered queries and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tessera.plans import evaluation, features, regions  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "q24_star_matrix"
