@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from collections.abc import Iterator
 
+import pandas as pd
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -64,7 +66,7 @@ def with_text_bytes(df: DataFrame, ranks_path: str, pattern: str, ids: str = "to
     """df with the bytes that an array of ids stands for; null ids give empty bytes."""
 
     @F.pandas_udf("binary")
-    def unpack(batches):
+    def unpack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(ranks_path, pattern)
         for b in batches:
             yield b.map(lambda x: enc.decode_bytes([int(i) for i in x]) if x is not None else b"")

@@ -3,29 +3,35 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, licenses, media, packing, quality, simhash, token_counts, token_files, toxicity, vectors
 from tessera.llm.common import table
 
-DOC = F.col("doc_id").cast("long").alias("doc_id")
-#: Rows that classifiers never learn from.
-HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 PACK_TOKENS, TOXIC_AT, QUALITY_AT = 2048, 0.7, 0.5
 PAGE_COLUMNS = ["lang", "source"]
 
 
+def doc_id() -> Column:
+    return F.col("doc_id").cast("long").alias("doc_id")
+
+
+def held_out() -> Column:
+    """Rows that classifiers never learn from."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
 def path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(DOC, "text")
+    return table(spark, sf_dir, "documents").select(doc_id(), "text")
 
 
 def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").where(~HELD_OUT)
+    return table(spark, sf_dir, "labels").where(~held_out())
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +41,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir)
     model = toxicity.fit(docs, learnable(spark, sf_dir))
-    return toxicity.with_toxicity(docs, model, TOXIC_AT).select("doc_id", HELD_OUT.alias("held_out"), "score", "predicted")
+    return toxicity.with_toxicity(docs, model, TOXIC_AT).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +72,9 @@ def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(DOC, "text", *PAGE_COLUMNS)
+    docs = table(spark, sf_dir, "documents").select(doc_id(), "text", *PAGE_COLUMNS)
     model = quality.fit(docs, learnable(spark, sf_dir), PAGE_COLUMNS)
-    return quality.with_quality(docs, model, QUALITY_AT).select("doc_id", HELD_OUT.alias("held_out"), "quality_score", "quality_kept")
+    return quality.with_quality(docs, model, QUALITY_AT).select("doc_id", held_out().alias("held_out"), "quality_score", "quality_kept")
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
