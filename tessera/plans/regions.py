@@ -10,14 +10,17 @@ from tessera.operators import regional as R
 from tessera.plans.registry import query, r6
 
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-UNIT = F.col("c_nationkey").alias("unit")
 CELLS = "cells AS (SELECT c_nationkey AS unit, p_type AS sector, sum(l_quantity) AS v, count(*) AS n FROM facts GROUP BY 1, 2)"
 LQ = "lqs AS (SELECT unit, sector, v, n, (v / nullif(sum(v) OVER (PARTITION BY unit), 0)) / nullif(sum(v) OVER (PARTITION BY sector) / nullif(sum(v) OVER (), 0), 0) AS lq FROM cells)"
 WIDE = ", ".join(f"max(CASE WHEN sector = '{t}' THEN lq END) AS lq_{t}" for t in TYPES)
 
 
+def unit():
+    return F.col("c_nationkey").alias("unit")
+
+
 def cells(t):
-    return t.facts.groupBy(UNIT, F.col("p_type").alias("sector")).agg(F.sum("l_quantity").alias("v"), F.count(F.lit(1)).alias("n"))
+    return t.facts.groupBy(unit(), F.col("p_type").alias("sector")).agg(F.sum("l_quantity").alias("v"), F.count(F.lit(1)).alias("n"))
 
 
 def lq(t):
@@ -46,12 +49,12 @@ def q02_lq_wide_suppressed(t):
 
 @query("WITH {FACTS} SELECT c_nationkey AS unit, " + ", ".join(f"coalesce(sum(CASE WHEN l_returnflag = '{f}' THEN l_quantity END), 0.0) AS out_{f}" for f in "ANRX") + " FROM facts GROUP BY 1")
 def q03_commodity_breakdown(t):
-    return R.pivot_sum(t.facts.withColumn("unit", UNIT), ["unit"], "l_returnflag", list("ANRX"), "l_quantity", "out_")
+    return R.pivot_sum(t.facts.withColumn("unit", unit()), ["unit"], "l_returnflag", list("ANRX"), "l_quantity", "out_")
 
 
 @query("WITH {FACTS}, p AS (SELECT c_nationkey AS unit, s_nationkey AS partner, sum(l_quantity) AS v FROM facts GROUP BY 1, 2) SELECT unit, round(sum(v * v) / pow(sum(v), 2), 6) AS hhi FROM p GROUP BY unit")
 def q04_partner_hhi(t):
-    return R.herfindahl(t.facts.select(UNIT, F.col("s_nationkey").alias("partner"), "l_quantity"), ["unit"], "partner", "l_quantity").withColumn("hhi", r6("hhi"))
+    return R.herfindahl(t.facts.select(unit(), F.col("s_nationkey").alias("partner"), "l_quantity"), ["unit"], "partner", "l_quantity").withColumn("hhi", r6("hhi"))
 
 
 @query("WITH {FACTS}, p AS (SELECT f.n_regionkey AS unit, CASE WHEN g.n_regionkey < 4 THEN 'm' || g.n_regionkey ELSE CAST(s_nationkey AS VARCHAR) END AS partner, sum(l_quantity) AS v FROM facts f JOIN nation g ON f.s_nationkey = g.n_nationkey GROUP BY 1, 2) SELECT unit, round(sum(v * v) / pow(sum(v), 2), 6) AS hhi FROM p WHERE partner <> 'm' || unit GROUP BY unit")
@@ -75,7 +78,7 @@ def q07_weighted_mean(t):
 
 @query("WITH {FACTS}, u AS (SELECT c_nationkey AS unit, n_regionkey AS market, log10(sum(l_quantity)) AS lv, sum(CASE WHEN p_type = 'PROMO' THEN l_quantity ELSE 0 END) / sum(l_quantity) AS share FROM facts GROUP BY 1, 2) SELECT market, round(sum(share * pow(10, lv)) / sum(pow(10, lv)), 6) AS promo_share, round(log10(sum(pow(10, lv))), 6) AS log_volume FROM u GROUP BY 1")
 def q08_volume_weighted_share(t):
-    u = t.facts.groupBy(UNIT, F.col("n_regionkey").alias("market")).agg(F.log10(F.sum("l_quantity")).alias("lv"), (F.sum(F.when(F.col("p_type") == "PROMO", F.col("l_quantity")).otherwise(0.0)) / F.sum("l_quantity")).alias("share"))
+    u = t.facts.groupBy(unit(), F.col("n_regionkey").alias("market")).agg(F.log10(F.sum("l_quantity")).alias("lv"), (F.sum(F.when(F.col("p_type") == "PROMO", F.col("l_quantity")).otherwise(0.0)) / F.sum("l_quantity")).alias("share"))
     w = F.coalesce(F.pow(F.lit(10.0), "lv"), F.lit(1.0))
     return u.groupBy("market").agg(r6(R.weighted_mean("share", w)).alias("promo_share"), r6(R.sum_of_logs("lv")).alias("log_volume"))
 
@@ -196,8 +199,8 @@ def q23_distribution_summary(t):
 @query(f"WITH {{FACTS}}, {{YEARLY}}, {CELLS}, {LQ}, b AS (SELECT unit, {WIDE} FROM lqs GROUP BY unit), p AS (SELECT c_nationkey AS unit, s_nationkey AS partner, sum(l_quantity) AS v FROM facts GROUP BY 1, 2), d AS (SELECT unit, log10(greatest(sum(v), 1)) AS log_volume, sum(v * v) / pow(sum(v), 2) AS hhi FROM p GROUP BY 1), c AS (SELECT unit, (total - back) / 3 AS velocity FROM (SELECT *, lag(total, 3) OVER (PARTITION BY unit ORDER BY year) AS back, row_number() OVER (PARTITION BY unit ORDER BY year DESC) AS r FROM yearly) WHERE r = 1) SELECT n_nationkey AS unit, n_name AS name, n_regionkey AS region, {', '.join(f'round(lq_{x}, 6) AS lq_{x}' for x in TYPES)}, round(log_volume, 6) AS log_volume, round(hhi, 6) AS hhi, round(velocity, 2) AS velocity FROM nation LEFT JOIN b ON b.unit = n_nationkey LEFT JOIN d ON d.unit = n_nationkey LEFT JOIN c ON c.unit = n_nationkey")
 def q24_star_matrix(t):
     f = t.facts
-    d = f.groupBy(UNIT).agg(r6(S.floored_log10(F.sum("l_quantity"))).alias("log_volume"))
-    hhi = R.herfindahl(f.select(UNIT, F.col("s_nationkey").alias("partner"), "l_quantity"), ["unit"], "partner", "l_quantity").withColumn("hhi", r6("hhi"))
+    d = f.groupBy(unit()).agg(r6(S.floored_log10(F.sum("l_quantity"))).alias("log_volume"))
+    hhi = R.herfindahl(f.select(unit(), F.col("s_nationkey").alias("partner"), "l_quantity"), ["unit"], "partner", "l_quantity").withColumn("hhi", r6("hhi"))
     c = R.velocity(t.yearly, "unit", "year", "total").select("unit", r6("velocity", 2).alias("velocity"))
     b = wide_lq(t).select("unit", *[r6(f"lq_{x}").alias(f"lq_{x}") for x in TYPES])
     keys = t.nation.select(F.col("n_nationkey").alias("unit"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
