@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,14 +99,14 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048,
 
     Null texts count as empty and are the end id alone. Documents keep the order of their partition, so the table's own
     partitions are packed apart and no row moves; sequence ids are the partition's number in the upper bits and a count
-    from zero in the lower 40. Repeated rows are packed each; an empty table gives no pieces."""
+    from zero in the lower 40, the same however the result's partitions are merged later. Repeated rows are packed each; an empty table gives no pieces."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = units(tokenizer_path).encode
         if tokenizer_path not in _ENDS:
             _ENDS[tokenizer_path] = sentence_ids(tokenizer_path)
         is_end, end = _ENDS[tokenizer_path], np.array([end_id], "<u4").tobytes()
-        sequence = TaskContext.get().partitionId() << 40
+        sequence: int | None = None
         docs: list = []
         ids: list[bytes] = []
         held = 0
@@ -135,6 +134,8 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048,
             return out
 
         for batch in batches:
+            if sequence is None and len(batch):
+                sequence = int(batch["p"].iloc[0]) << 40
             for key, found in zip(batch["d"], encode(strings(batch["t"]))):
                 docs.append(pd.NA if pd.isna(key) else int(key))
                 ids.append(found + end)
@@ -145,4 +146,4 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048,
         if docs:
             yield packed()
 
-    return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(pieces, PIECES)
+    return df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"), F.spark_partition_id().alias("p")).mapInPandas(pieces, PIECES)

@@ -96,6 +96,8 @@ def test_packing(edge, empty, monkeypatch):
             assert p["offset"] == at
             at += p["length"]
         assert at <= 2048
+    apart = packing.pack(edge, path, 1)
+    assert sorted(map(str, apart.coalesce(1).collect())) == sorted(map(str, apart.collect()))
     assert packing.pack(empty, path, 1).count() == 0
     monkeypatch.setattr(packing, "STEP", 7)
     rng = np.random.default_rng(0)
