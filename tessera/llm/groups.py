@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,23 @@ def cells(rows: DataFrame, key: str, ident: str, limit: int) -> DataFrame:
     return other.withColumn("cell_a", F.least("part", "_other")).withColumn("cell_b", F.greatest("part", "_other")).drop("_key", "_parts", "_other")
 
 
+def united(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """By row, the smallest id of the rows that the links (i, j) between places connect it with, its own among them."""
+    root = np.arange(len(ids))
+    while len(i):  # the smaller of two roots wins until nothing changes
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    small = ids.copy()
+    np.minimum.at(small, root, ids)
+    return small[root]
+
+
 #: Rounds after which components() gives up; each at least halves the longest path, so no input reaches it.
 MOST_ROUNDS = 60
 

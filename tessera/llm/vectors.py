@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import staged
-from tessera.llm.groups import cells, components
+from tessera.llm.groups import cells, components, united
 
 #: Tables, hashes that make a bucket, and rows of a bucket that are compared in one task.
 TABLES, HASHES, LIMIT = 6, 2, 1024
@@ -73,7 +73,8 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def verify(table: int, bucket: int, ids: np.ndarray, sizes: np.ndarray, vecs: np.ndarray, codes: np.ndarray, part: np.ndarray, least: float) -> list[tuple[int, int, int]]:
-    """(id, vectors that it is linked with by pairs first met here, smallest id linked) for the rows of a cell.
+    """(id, vectors that it is linked with by pairs first met here, smallest id of its group by those pairs) for the rows of
+    a cell: the groups' (id, smallest) rows are a spanning forest of the cell's links.
 
     A pair is counted in the first table where the two share a bucket, and there in the smallest bucket they share."""
     same = len(np.unique(part)) == 1
@@ -91,11 +92,9 @@ def verify(table: int, bucket: int, ids: np.ndarray, sizes: np.ndarray, vecs: np
     shared = np.where(met[:, table].any(axis=2), codes[i][:, table], np.iinfo(np.int64).max).min(axis=1) if len(i) else np.empty(0)
     mine = (tables.argmax(axis=1) == table) & (shared == bucket)
     i, j = i[mine], j[mine]
-    n, low = np.zeros(len(ids), dtype=np.int64), ids.copy()
+    n, low = np.zeros(len(ids), dtype=np.int64), united(ids, i, j)
     np.add.at(n, i, sizes[j])
     np.add.at(n, j, sizes[i])
-    np.minimum.at(low, i, ids[j])
-    np.minimum.at(low, j, ids[i])
     return [(int(ids[k]), int(n[k]), int(low[k])) for k in np.flatnonzero(n)]
 
 
