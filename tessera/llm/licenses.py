@@ -2,14 +2,18 @@
 
 A template and a stretch of text are anchored on the words that occur once in both; the longest increasing subsequence of
 the anchors is kept, and the gaps between them are aligned in the same way. Where a gap has no such word, its common
-beginning and end are matched, and small gaps by their longest common subsequence. Coverage is the share of the
-template's words that are matched."""
+beginning and end are matched, and the rest by its longest common subsequence. Coverage is the share of the template's
+words that are matched. Between neighbouring copies no word is unique in a wide stretch; so stretches of about the
+template's length around each seed are aligned too, each cut to where its longest common subsequence lies.
+Stretches that overlap a match are aligned again without it, until nothing more is found."""
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +31,7 @@ TEMPLATES = {
     "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-#: Gaps without a unique word are aligned exactly up to this many pairs of words.
+#: Up to this many pairs of words a gap without a unique word is aligned cell by cell, beyond it by bit rows.
 SMALL = 4096
 
 
@@ -74,6 +78,38 @@ def common(a: list[str], b: list[str], a0: int, a1: int, b0: int, b1: int) -> li
     return out
 
 
+def masks_of(words: list[str]) -> dict[str, int]:
+    """By word, its places as bits."""
+    out: dict[str, int] = {}
+    for i, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def bit_rows(masks: dict[str, int], n: int, words: Iterable[str]) -> Iterator[int]:
+    """After each word, a row of n bits: the zeros among its lowest k are the length of the longest common subsequence of the words so far with the first k of the masks."""
+    full = row = (1 << n) - 1
+    for w in words:
+        hit = row & masks.get(w, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def long_common(a: list[str], b: list[str], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of two stretches, a bit for each pair of words."""
+    rows = [*bit_rows(masks_of(a[a0:a1]), a1 - a0, b[b0:b1])]
+    out, i, j = [], a1 - a0, b1 - b0
+    while i and j:
+        if rows[j - 1] >> i - 1 & 1:
+            i -= 1
+        else:
+            j -= 1
+            if not j or rows[j - 1] >> i - 1 & 1:
+                i -= 1
+                out.append((a0 + i, b0 + j))
+    return out
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Matched places (in a, in b), increasing in both."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -92,8 +128,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         anchors = [(i, where[w]) for i, w in enumerate(a[a0:a1], a0) if na[w] == 1 and w in where]
         kept = [anchors[k] for k in increasing([j for _, j in anchors])]
         if not kept:
-            if (a1 - a0) * (b1 - b0) <= SMALL:
-                out += common(a, b, a0, a1, b0, b1)
+            out += (common if (a1 - a0) * (b1 - b0) <= SMALL else long_common)(a, b, a0, a1, b0, b1)
             continue
         for (i, j), (x, y) in zip([(a0 - 1, b0 - 1), *kept], [*kept, (a1, b1)]):
             todo.append((i + 1, x, j + 1, y))
@@ -114,6 +149,8 @@ class Template:
             n += k
             if n > self.spare:
                 break
+        self.places = {w: [i for i, x in enumerate(self.words) if x == w] for w in self.seeds}
+        self.masks, self.back = masks_of(self.words), masks_of(self.words[::-1])
 
     def possible(self, low: str) -> bool:
         """False only if so many of the words are absent that the coverage can't be reached."""
@@ -125,26 +162,76 @@ class Template:
                     return False
         return True
 
+    def tight(self, words: list[str], lo: int, hi: int, least: float) -> tuple[int, int] | None:
+        """The stretch within words[lo:hi] that holds its longest common subsequence with the template: the first to end, from its last beginning. None if that is shorter than least asks."""
+        n = len(self.words)
+        lengths = [n - row.bit_count() for row in bit_rows(self.masks, n, words[lo:hi])]
+        best = max(lengths, default=0)
+        if not best or best / n < least:
+            return None
+        hi = lo + lengths.index(best) + 1
+        for k, row in enumerate(bit_rows(self.back, n, reversed(words[lo:hi])), 1):
+            if n - row.bit_count() == best:
+                return hi - k, hi
+        return None
+
+    def match(self, words: list[str], lo: int, hi: int) -> tuple[float, int, int]:
+        pairs = align(self.words, words[lo:hi])
+        while pairs and pairs[-1][1] - pairs[0][1] > 2 * len(self.words) + 4:  # a stray word far off
+            left, right = pairs[1][1] - pairs[0][1] if len(pairs) > 1 else 0, pairs[-1][1] - pairs[-2][1] if len(pairs) > 1 else 0
+            pairs = pairs[1:] if left >= right else pairs[:-1]
+        return (len(pairs) / len(self.words), lo + pairs[0][1], lo + pairs[-1][1] + 1) if pairs else (0.0, lo, lo)
+
     def find(self, words: list[str], least: float) -> list[tuple[float, int, int]]:
         """(coverage, first word, one past the last) of the non-overlapping matches, the best first. A match that reaches least holds one of the seeds."""
-        span, found, seen = len(self.words) + len(self.words) // 4 + 2, {}, set(self.seeds)
-        for p in [i for i, w in enumerate(words) if w in seen]:
-            start = max(0, p - span)
-            pairs = align(self.words, words[start : p + span])
-            while pairs and pairs[-1][1] - pairs[0][1] > 2 * len(self.words) + 4:  # a stray word far off
-                left, right = pairs[1][1] - pairs[0][1] if len(pairs) > 1 else 0, pairs[-1][1] - pairs[-2][1] if len(pairs) > 1 else 0
-                pairs = pairs[1:] if left >= right else pairs[:-1]
-            cover = len(pairs) / len(self.words)
-            if pairs and cover >= least:
-                key = (start + pairs[0][1], start + pairs[-1][1] + 1)
-                found[key] = max(found.get(key, 0.0), cover)
+        n, slack = len(self.words), len(self.words) // 4 + 2
+        spots = [(p, 0, len(words)) for p, w in enumerate(words) if w in self.places]
+        known: dict[tuple[int, int, bool], list[tuple[float, int, int]]] = {}
         out: list[tuple[float, int, int]] = []
-        for (a, b), cover in sorted(found.items(), key=lambda x: (-x[1], x[0][1] - x[0][0], x[0])):
-            if all(b <= x or a >= y for _, x, y in out):
-                out.append((cover, a, b))
+
+        def tried(lo: int, hi: int, wide: bool) -> list[tuple[float, int, int]]:
+            if (lo, hi, wide) not in known:
+                inner = self.tight(words, lo, hi, least)
+                known[lo, hi, wide] = [self.match(words, *x) for x in ([inner, (lo, hi)] if wide else [inner])] if inner else []
+            return known[lo, hi, wide]
+
+        while spots:
+            found: dict[tuple[int, int], float] = {}
+            for p, low, high in spots:
+                stretches = {(max(low, p - q - slack), min(high, p - q + n + slack), False) for q in self.places[words[p]]}
+                stretches.add((max(low, p - n - slack), min(high, p + n + slack), True))
+                for stretch in stretches:
+                    for cover, a, b in tried(*stretch):
+                        if cover >= least:
+                            found[a, b] = max(found.get((a, b), 0.0), cover)
+            taken: list[tuple[float, int, int]] = []
+            starts: list[int] = []
+            for (a, b), cover in sorted(undivided(found).items(), key=lambda x: (-x[1], x[0][1] - x[0][0], x[0])):
+                k = bisect_left(starts, a)
+                if (not k or taken[k - 1][2] <= a) and (k == len(starts) or b <= starts[k]):
+                    starts.insert(k, a)
+                    taken.insert(k, (cover, a, b))
+            if not taken:
+                break
+            out += taken
+            left = []
+            for p, low, high in spots:
+                k = bisect_left(starts, p + 1)
+                if not k or taken[k - 1][2] <= p:
+                    left.append((p, max(low, taken[k - 1][2]) if k else low, min(high, starts[k]) if k < len(starts) else high))
+            spots = left
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
+def undivided(found: dict[tuple[int, int], float]) -> dict[tuple[int, int], float]:
+    """The matches without those that hold two others that don't overlap: they took their words from two copies."""
+    by_start, by_end = sorted(found), sorted(found, key=lambda x: x[1])
+    first_end = [*accumulate((b for _, b in reversed(by_start)), min)][::-1]
+    last_start = [*accumulate((a for a, _ in by_end), max)]
+    starts, ends = [a for a, _ in by_start], [b for _, b in by_end]
+    return {(a, b): cover for (a, b), cover in found.items() if first_end[bisect_left(starts, a)] > last_start[bisect_right(ends, b) - 1]}
+
+
 def scan(text: str, templates: list[Template], least: float) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first character, one past the last) of all matches, by place."""
     low = text.lower()

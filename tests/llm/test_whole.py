@@ -1,10 +1,12 @@
-"""Whole results where a shorter way would do less: links between vectors."""
+"""Whole results where a shorter way would do less."""
 
 import itertools
+import random
 
 import numpy as np
+import pytest
 
-from tessera.llm import vectors
+from tessera.llm import licenses, vectors
 from tessera.llm.common import ready
 
 
@@ -28,3 +30,42 @@ def test_links_of_stars_and_paths(spark):
     df = ready(spark).createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     found = {r["vec_id"]: (r["component_id"], r["n_links"], r["kept"]) for r in vectors.near_duplicates(df).collect()}
     assert found == {i: (1 if i < 10 else 12, sum(i in p for p in pairs), i in (1, 12)) for i in vecs}
+
+
+def length(x, y):
+    best = [0] * (len(y) + 1)
+    for p in x:
+        old = 0
+        for j, q in enumerate(y, 1):
+            old, best[j] = best[j], old + 1 if p == q else max(best[j], best[j - 1])
+    return best[-1]
+
+
+@pytest.mark.parametrize("name", ["MIT", "BSD", "GPL", "MIT notice", "CC-BY-NC-4.0 notice"])
+def test_neighbouring_licenses(name):
+    known, text = [licenses.Template(n, t, 0.8) for n, t in licenses.TEMPLATES.items()], licenses.TEMPLATES[name]
+    for copies in (1, 2, 3, 6, 20):
+        for before, after in (("", ""), ("some words before ", " and after")):
+            found = licenses.scan(before + " ".join([text] * copies) + after, known, 0.8)
+            at = [len(before) + k * (len(text) + 1) for k in range(copies)]
+            assert [f[:3] for f in found if f[0] == name] == [(name, 1.0, a) for a in at]
+    w = text.split()
+    if len(w) > 20:
+        r = random.Random(4)
+        for copies in (3, 8):
+            cut = []
+            for _ in range(copies):
+                k = r.randrange(1, len(w) - 4)
+                cut.append(" ".join(w[:k] + ["zzz"] * r.randint(0, 3) + w[k + r.randint(0, 3) :]))
+            found = [f for f in licenses.scan(" ".join(cut), known, 0.8) if f[0] == name]
+            assert len(found) == copies and all(f[1] >= 0.8 for f in found)
+
+
+def test_large_gaps_without_a_unique_word():
+    r = random.Random(3)
+    for size in (3, 30, 150):
+        x, y = r.choices("abcdefg", k=size), r.choices("abcdefg", k=size + 20)
+        got = sorted(licenses.long_common(x, y, 0, len(x), 0, len(y)))
+        assert len(got) == length(x, y) and all(x[i] == y[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(got))
+    assert len(licenses.align(["a", "b"] * 50, ["b", "b", "a", "a"] * 50)) > 0
