@@ -168,8 +168,10 @@ def q89_noise_floor(t):
 
 @query()
 def q90_pca_scores(t):
-    e = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(8)])
-    return M.with_components(e, [f"d{i}" for i in range(8)], 2).select("vec_id", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
+    """Scores of the whole vectors; the table's longest vector gives the number of dimensions."""
+    width = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
+    e = t.embeddings.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"d{i}") for i in range(width)])
+    return M.with_components(e, [f"d{i}" for i in range(width)], 2).select("vec_id", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
 
 
 @query()

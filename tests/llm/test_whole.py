@@ -8,6 +8,7 @@ import pytest
 
 from tessera.llm import licenses, vectors
 from tessera.llm.common import ready
+from tessera.plans import catalog
 
 
 def by_cosines(cosines):
@@ -69,3 +70,15 @@ def test_large_gaps_without_a_unique_word():
         assert len(got) == length(x, y) and all(x[i] == y[j] for i, j in got)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(got))
     assert len(licenses.align(["a", "b"] * 50, ["b", "b", "a", "a"] * 50)) > 0
+
+
+def test_components_of_whole_vectors(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    x = np.array([r["embedding"] for r in rows], dtype=float)
+    assert x.shape[1] == 64
+    x -= x.mean(axis=0)
+    want = x @ np.linalg.svd(x, full_matrices=False)[2][:2].T
+    got = {r["vec_id"]: (r["pc1"], r["pc2"]) for r in catalog.QUERIES["q90_pca_scores"](spark, sf_dir).collect()}
+    have = np.array([got[r["vec_id"]] for r in rows])
+    for k in range(2):
+        assert min(np.abs(have[:, k] - want[:, k]).max(), np.abs(have[:, k] + want[:, k]).max()) < 1e-4
