@@ -8,6 +8,7 @@ retained, and those are verified by their differing bits. Equal fingerprints are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import staged, strings
-from tessera.llm.groups import cells, components
+from tessera.llm.groups import cells, components, united
 
 SEED = 42
 #: Rows of one posting list that are compared in one task.
@@ -86,19 +87,7 @@ def meet(fps: np.ndarray, ids: np.ndarray, part: np.ndarray, bits: int, least: i
     i, j = i[ok] + a.start, j[ok] + b.start
     if same:
         i, j = i[i < j], j[i < j]
-    root = np.arange(len(ids))
-    while len(i):  # the smaller of two roots wins until nothing changes
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    small = ids.copy()
-    np.minimum.at(small, root, ids)
-    return [(int(x), int(small[r])) for x, r in zip(ids, root) if x != small[r]]
+    return [(int(x), int(low)) for x, low in zip(ids, united(ids, i, j)) if x != low]
 
 
 def link(nodes: DataFrame, bits: int = 4, limit: int = LIMIT) -> DataFrame:
@@ -126,14 +115,32 @@ def link(nodes: DataFrame, bits: int = 4, limit: int = LIMIT) -> DataFrame:
     return full.mapInPandas(compare, "a long, b long")
 
 
+def rooted(nodes: DataFrame, bits: int = 4) -> DataFrame:
+    """nodes (fp, ...) with distinct fingerprints, each with the smallest fingerprint that links reach as root. A fingerprint
+    is a node of its own, whatever the ids of its rows: repeated and missing ids neither join nor part any."""
+    roots = components(link(nodes.select(F.col("fp").alias("id"), "fp"), bits))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(df: DataFrame, bits: int = 4, words_in_shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint long, component_id) of every row: the component is the smallest doc_id that links reach.
 
     Texts without words (null, empty, white space) have fingerprint zero and are linked like any other. Rows with a repeated
-    doc_id keep their own fingerprints. Rows whose doc_id is null are linked but never name a component. Columns other than
-    the two named aren't read. An empty table gives no rows."""
+    doc_id keep their own fingerprints and components. Rows whose doc_id is null are linked but never name a component.
+    Columns other than the two named aren't read. An empty table gives no rows."""
     prints = staged(df.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_column(F.col(text), words_in_shingle).alias("fp")), "fingerprints")
-    nodes = staged(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
-    roots = components(link(nodes, bits))
-    named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    named = staged(rooted(staged(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes"), bits), "roots")
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = named.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp", "left").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, bits: int = 4, words_in_shingle: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each group of near copies one row of df: that with the smallest doc_id, a null one last; of those with one id the
+    first by a hash of the text. The row is found again by a number of its own, so repeated and null ids do no harm."""
+    hold = "_" + uuid.uuid4().hex[:8]
+    rows = staged(df.withColumns({f"{hold}fp": fingerprint_column(F.col(text), words_in_shingle), f"{hold}row": F.monotonically_increasing_id()}), "numbered")
+    first = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.col(f"{hold}row").alias("row"))
+    nodes = staged(rows.groupBy(F.col(f"{hold}fp").alias("fp")).agg(F.min(first).alias("best")), "nodes")
+    kept = rooted(nodes, bits).groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(f"{hold}row"))
+    return rows.join(kept, f"{hold}row", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
