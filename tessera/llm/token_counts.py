@@ -1,21 +1,22 @@
-"""Token counts by a deterministic transducer compiled from a sentencepiece BPE model.
+"""Token counts by a deterministic transducer compiled from the merges of a sentencepiece BPE model.
 
-Two neighbouring characters that stand together in no piece of the vocabulary can never share a token: between them the
-tokenizer is synchronised, whatever comes before or after. The transducer's states are the beginnings of segments between
-such points (0: synchronised). A transition inside a segment emits nothing; one that leaves a segment emits the number of
-its tokens. States are determinised when first reached, and the number is taken from the library once for each segment.
+A cutting of a text into pieces is the tokenizer's exactly if each two neighbouring pieces are what the merges make of
+those two pieces' own text. So the piece that ends at a place follows from the pieces that end at the few places before
+it, as far back as a piece can begin. A state is what is still open of that: for each suffix of the text read that begins
+some longer piece, the piece that ends before the suffix and the tokens since. A step reads one character, and is annotated
+with the tokens that it adds (fewer than none where a longer piece takes the place of several). Steps are compiled from
+the vocabulary when first taken, and the same suffixes lead to the same state.
 
-The effect of any chunk of text is a small map: the unfinished segment at its left, the tokens of what is finished, the
-unfinished segment at its right. Maps compose associatively, so a long text's chunks are mapped apart and joined by a
-parallel prefix scan. Words that begin at a synchronised point have constant maps, which are kept by word."""
+Between two characters that stand together in no piece the transducer is synchronised: what follows doesn't depend on the
+state before. So the effect of a chunk of text, whatever the state that it is entered in, is a small map: its head up to
+the first such place, the tokens behind it and the state at its end. Maps compose associatively, and a prefix scan over the
+chunks of a whole batch of texts, by an up-sweep and a down-sweep, gives the state and the tokens at every chunk's end."""
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,202 +24,182 @@ from pyspark.sql import functions as F
 from tessera.llm.common import appended, strings
 
 SPACE = "▁"
-#: Characters of a chunk of a long text.
-CHUNK = 1 << 16
-#: States and words kept by a worker; beyond it they are compiled anew.
-MOST_STATES, MOST_WORDS = 500_000, 800_000
-#: Texts whose missing words are compiled together.
-AT_ONCE = 256
-#: Longer words are run through the transducer each time; segments longer than LONGEST are counted by the library at once.
-LONGEST_WORD, LONGEST = 64, 256
+#: Characters of a chunk.
+CHUNK = 1 << 14
+#: States that a worker keeps, about 600 bytes each with their steps; beyond it they are compiled anew, between batches.
+MOST_STATES = 300_000
+#: Characters of texts that are scanned together; a longer text alone.
+AT_ONCE = 1 << 21
 
 
-class Map(NamedTuple):
-    """left and right are the same unfinished segment if no synchronised point lies inside (whole)."""
+class State(dict):
+    """By character: (next state, tokens that the step adds)."""
 
-    left: str
-    count: int
-    right: str
-    whole: bool
+    __slots__ = ("machine", "open", "before")
+
+    def __missing__(self, c: str) -> tuple[State, int]:
+        step = self[c] = self.machine.compile(self, c)
+        return step
+
+
+class Text:
+    """The effect of a stretch of text on a state, remembered for each state that it was entered in."""
+
+    __slots__ = ("text", "known")
+
+    def __init__(self, text: str):
+        self.text, self.known = text, {}
+
+    def apply(self, state: State) -> tuple[State, int]:
+        found = self.known.get(id(state))
+        if found is None:
+            found = self.known[id(state)] = run(state, self.text)
+        return found
+
+
+class Both:
+    """One effect after another."""
+
+    __slots__ = ("first", "second")
+
+    def __init__(self, first: Text | Both, second: Text | Both):
+        self.first, self.second = first, second
+
+    def apply(self, state: State) -> tuple[State, int]:
+        state, a = self.first.apply(state)
+        state, b = self.second.apply(state)
+        return state, a + b
+
+
+class Map:
+    """The effect of whole chunks: that of their head on the state before them, then `tokens` and `state`; state is None
+    where no synchronised place lies inside, and the head is all."""
+
+    __slots__ = ("head", "tokens", "state")
+
+    def __init__(self, head: Text | Both, tokens: int, state: State | None):
+        self.head, self.tokens, self.state = head, tokens, state
+
+    def apply(self, state: State) -> tuple[State, int]:
+        after, n = self.head.apply(state)
+        return (after if self.state is None else self.state), n + self.tokens
+
+    def then(self, other: Map) -> Map:
+        if self.state is None:
+            return Map(Both(self.head, other.head), other.tokens, other.state)
+        state, n = other.apply(self.state)
+        return Map(self.head, self.tokens + n, state)
+
+
+def run(state: State, text: str) -> tuple[State, int]:
+    total = 0
+    for c in text:
+        state, n = state[c]
+        total += n
+    return state, total
 
 
 class Transducer:
     def __init__(self, path: str):
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         spec = pb.ModelProto()
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
         n = spec.normalizer_spec
         if spec.trainer_spec.model_type != 2 or n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces:
             raise ValueError("only BPE models without normalisation rules can be compiled")
+        if not spec.trainer_spec.byte_fallback or any(p.type not in (1, 2, 3, 6) for p in spec.pieces):
+            raise ValueError("only models with byte fallback and without pieces of the user can be compiled")
         self.prefix = SPACE if n.add_dummy_prefix else ""
-        pieces = [p.piece for p in spec.pieces if p.type in (1, 4)]
-        self.together = {a + b for p in pieces for a, b in zip(p, p[1:])}
-        known = {c for p in pieces for c in p}
-        self.mark = next(c for c in ("\n", "\x01", "\x02", "\x03") if c not in known)
-        self.alone = len(self.library.encode(self.mark))
-        self.mark_id = self.library.encode(self.mark)[-1]
-        if any(p.strip(SPACE) and SPACE in p[1:] and SPACE + p.lstrip(SPACE) != p for p in pieces):
-            raise ValueError("a piece holds a space behind other characters")
+        self.scores = {p.piece: p.score for p in spec.pieces if p.type == 1}
+        self.characters = {c for p in self.scores for c in p}
+        if self.characters - self.scores.keys():
+            raise ValueError("a character of a piece is no piece")
+        self.together = {a + b for p in self.scores for a, b in zip(p, p[1:])}
+        self.beginnings = {p[:k] for p in self.scores for k in range(1, len(p))}
         self.reset()
-        self.words = Words(self)
 
     def reset(self) -> None:
-        """Only the synchronised state, 0. A state is its number << 21; by number: its segment, and the tokens emitted on leaving it (None: not yet annotated)."""
-        self.segment: list[str] = [""]
-        self.emits: list[int | None] = [0]
-        self.next: dict[int, int] = {}
-
-    def compile(self, state: int, c: str) -> int:
-        """The transition of a state by a character: the next state, negative if the segment ends here and its tokens are emitted; 0 if the segment is too long for states."""
-        own = self.segment[state >> 21]
-        if own and own[-1] + c not in self.together:
-            to = -(self.next.get(ord(c)) or self.compile(0, c))
-        elif len(own) >= LONGEST:
-            return 0
-        else:
-            to = len(self.segment) << 21
-            self.segment.append(own + c)
-            self.emits.append(None)
-        self.next[state | ord(c)] = to
-        return to
-
-    def tokens(self, segment: str) -> int:
-        """Tokens of a whole segment, behind a character that it can't join."""
-        return len(self.library.encode(self.mark + segment)) - self.alone
-
-    def annotate(self, states: list[int]) -> None:
-        """Give states their emissions, many segments in one call of the library, with the mark between them."""
-        plain = [x for x in states if self.mark not in self.segment[x]]
-        for at in range(0, len(plain), 1000):
-            group = plain[at : at + 1000]
-            ids = np.array(self.library.encode(self.mark + self.mark.join(map(self.segment.__getitem__, group))))
-            marks = np.flatnonzero(ids == self.mark_id)
-            for x, n in zip(group, (np.diff(np.append(marks, len(ids))) - 1).tolist(), strict=True):
-                self.emits[x] = n
-        for x in states:
-            if self.emits[x] is None:
-                self.emits[x] = self.tokens(self.segment[x])
-
-    def run(self, text: str) -> tuple[list[int], int]:
-        """The states left, in order, by a text that begins and ends at synchronised points, character by character, and the tokens of segments too long for states."""
-        state, out, move = 0, [], self.next.get
-        for at, c in enumerate(text):
-            to = move(state | ord(c))
-            if not to:
-                to = self.compile(state, c)
-                if not to:
-                    end = at + 1
-                    while end < len(text) and text[end - 1] + text[end] in self.together:
-                        end += 1
-                    rest, n = self.run(text[end:])
-                    return out + rest, n + self.tokens(self.segment[state >> 21] + text[at:end])
-            if to < 0:
-                out.append(state >> 21)
-                state = -to
-            else:
-                state = to
-        if state:
-            out.append(state >> 21)
-        return out, 0
-
-    def emitted(self, texts: list[str]) -> list[int]:
-        """Tokens of texts that begin and end at synchronised points."""
-        if len(self.segment) > MOST_STATES:
-            self.reset()
-        left = [self.run(t) for t in texts]
-        emits = self.emits
-        self.annotate([x for x in set().union(*(xs for xs, _ in left)) if emits[x] is None])
-        return [sum(map(emits.__getitem__, xs)) + n for xs, n in left]
-
-    def segments(self, text: str) -> list[str]:
-        """text cut before each space that follows another character; these points are synchronised."""
-        out, at = [], 0
-        while (cut := text.find(SPACE, at + 1)) >= 0:
-            while cut >= 0 and text[cut - 1] == SPACE:
-                cut = text.find(SPACE, cut + 1)
-            if cut < 0:
-                break
-            out.append(text[at:cut])
-            at = cut
-        out.append(text[at:])
-        return out
+        self.states: dict[tuple, State] = {}
+        self.pairs: dict[tuple[str | None, str], bool] = {}
+        self.start = self.state((("", None, 0),), "")
+
+    def state(self, open_: tuple, before: str) -> State:
+        found = self.states.get((open_, before))
+        if found is None:
+            found = self.states[open_, before] = State()
+            found.machine, found.open, found.before = self, open_, before
+        return found
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces that the merges make of a short text: the neighbours with the best joint piece first, of equal ones the leftmost."""
+        parts, score = list(text), self.scores.get
+        while True:
+            joint = [(-s, k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (s := score(a + b)) is not None]
+            if not joint:
+                return parts
+            k = min(joint)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    def neighbours(self, a: str | None, b: str) -> bool:
+        """Whether piece b can follow piece a (None: a synchronised place)."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            found = self.pairs[a, b] = self.merged((a or "") + b) == ([a, b] if a else [b])
+        return found
+
+    def compile(self, state: State, c: str) -> tuple[State, int]:
+        if c not in self.characters:  # its bytes, one token each
+            return self.start, len(c.encode())
+        open_ = state.open if state.before + c in self.together else self.start.open
+        [(piece, tokens)] = [(u + c, n + 1) for u, last, n in open_ if u + c in self.scores and self.neighbours(last, u + c)]
+        left = tuple((u + c, last, n - tokens) for u, last, n in open_ if u + c in self.beginnings)
+        return self.state((*left, ("", piece, 0)), c), tokens
 
     def map(self, chunk: str) -> Map:
-        parts = self.segments(chunk)
-        if len(parts) == 1:
-            return Map(chunk, 0, chunk, True)
-        return Map(parts[0], sum(map(self.words.of, parts[1:-1])), parts[-1], False)
-
-    def compose(self, a: Map, b: Map) -> Map:
-        cut = b.left[0] == SPACE and a.right[-1] != SPACE
-        if a.whole and b.whole:
-            return Map(a.left, 0, b.left, False) if cut else Map(a.left + b.left, 0, a.left + b.left, True)
-        if a.whole:
-            return Map(a.left, self.words.of(b.left) + b.count, b.right, False) if cut else Map(a.left + b.left, b.count, b.right, False)
-        if b.whole:
-            return Map(a.left, a.count + self.words.of(a.right), b.left, False) if cut else Map(a.left, a.count, a.right + b.left, False)
-        middle = self.words.of(a.right) + self.words.of(b.left) if cut else self.words.of(a.right + b.left)
-        return Map(a.left, a.count + middle + b.count, b.right, False)
-
-    def total(self, m: Map) -> int:
-        return self.words.of(m.left) if m.whole else self.words.of(m.left) + m.count + self.words.of(m.right)
-
-    def scan(self, maps: list[Map]) -> list[Map]:
-        """Inclusive prefix composition in a logarithmic number of rounds; a round's compositions don't depend on each other."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
-            step *= 2
-        return maps
-
-    def join(self, maps: list[Map]) -> Map:
-        """The last of scan(), by the up-sweep alone."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
-    def count(self, text: str, chunk: int = CHUNK) -> int:
-        """Tokens of a whole text, as the library counts them. The empty text has none."""
-        if not text:
-            return 0
-        text = self.prefix + text.replace(" ", SPACE)
-        if len(text) > chunk:
-            return self.total(self.join([self.map(text[i : i + chunk]) for i in range(0, len(text), chunk)]))
-        return sum(map(self.words.of, self.segments(text)))
-
-    def counts(self, texts: list[str]) -> list[int]:
-        """count() of each text; what words are missing is compiled together."""
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        easy = {i: t.split(" ") for i, t in enumerate(texts) if t and self.prefix and len(t) < CHUNK and "  " not in t and SPACE not in t and t[0] != " "}
-        missing = list(set().union(*easy.values()) - self.words.keys()) if easy else []
-        self.words.update(zip(missing, self.emitted([SPACE + w for w in missing])))
-        out = [sum(map(self.words.__getitem__, easy[i])) if i in easy else self.count(t) for i, t in enumerate(texts)]
-        for w in missing:
-            if len(w) > LONGEST_WORD:
-                del self.words[w]
+        for k in range(1, len(chunk)):
+            if chunk[k - 1 : k + 1] not in self.together:
+                state, n = run(self.start, chunk[k:])
+                return Map(Text(chunk[:k]), n, state)
+        return Map(Text(chunk), 0, None)
+
+    def scan(self, maps: list[Map]) -> list[tuple[State, int]]:
+        """The state and the tokens so far after each map, from the start on, in a logarithmic number of rounds; what a round does to its maps doesn't depend on each other."""
+        rounds = [maps]
+        while len(rounds[-1]) > 1:
+            now = rounds[-1]
+            rounds.append([now[i].then(now[i + 1]) if i + 1 < len(now) else now[i] for i in range(0, len(now), 2)])
+        entered = [(self.start, 0)]
+        for now in reversed(rounds[:-1]):
+            below = []
+            for i, (state, n) in enumerate(entered):
+                below.append((state, n))
+                if 2 * i + 1 < len(now):
+                    after, more = now[2 * i].apply(state)
+                    below.append((after, n + more))
+            entered = below
+        out = []
+        for m, (state, n) in zip(maps, entered):
+            after, more = m.apply(state)
+            out.append((after, n + more))
         return out
 
-
-class Words(dict):
-    """Tokens of a segment, by the segment without its first space."""
-
-    def __init__(self, fst: Transducer):
-        super().__init__()
-        self.fst = fst
-
-    def __missing__(self, word: str) -> int:
-        n = self.fst.emitted([SPACE + word])[0]
-        if len(word) <= LONGEST_WORD:
-            self[word] = n
-        return n
-
-    def of(self, segment: str) -> int:
-        return self[segment[1:]] if segment[0] == SPACE else self.fst.emitted([segment])[0]
+    def counts(self, texts: list[str], chunk: int = CHUNK) -> list[int]:
+        """Tokens of each whole text, as the library counts them; the empty text has none."""
+        if len(self.states) > MOST_STATES:
+            self.reset()
+        maps, ends = [], []
+        for text in texts:
+            if text:
+                text = self.prefix + text.replace(" ", SPACE)
+                # The first chunk of a text is entered in no other state than the start.
+                state, n = run(self.start, text[:chunk])
+                maps.append(Map(Text(""), n, state))
+                maps += [self.map(text[i : i + chunk]) for i in range(chunk, len(text), chunk)]
+            ends.append(len(maps))
+        so_far = [0, *(n for _, n in self.scan(maps))]
+        return [so_far[b] - so_far[a] for a, b in zip([0, *ends], ends)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -226,8 +207,25 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+def groups(texts: list[str]) -> Iterator[list[str]]:
+    """texts in order, AT_ONCE characters together."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        if held and size + len(t) > AT_ONCE:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def with_token_counts(df: DataFrame, model_path: str, limit: int, text: str = "text") -> DataFrame:
-    """df with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of each whole text. Null counts as empty: 0, 0, false."""
+    """df with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of each whole text.
+
+    Null counts as empty: 0, 0, false. A text of any length is scanned in chunks, whether or not it has synchronised
+    places. Repeated rows are counted each, own columns of these three names give way, and an empty table gives no rows."""
 
     names = ["n_bytes", "n_tokens", "over_limit"]
 
@@ -236,7 +234,7 @@ def with_token_counts(df: DataFrame, model_path: str, limit: int, text: str = "t
         counts = transducer(model_path).counts
         for batch in batches:
             texts = strings(batch)
-            n = [k for at in range(0, len(texts), AT_ONCE) for k in counts(texts[at : at + AT_ONCE])]
+            n = [k for group in groups(texts) for k in counts(group)]
             yield pd.DataFrame({"n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [k > limit for k in n]})
 
     return appended(df, count(F.col(text)), names)

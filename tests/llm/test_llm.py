@@ -114,21 +114,42 @@ def test_packing(edge, empty, monkeypatch):
 
 
 def test_token_counts(edge, empty):
+    import sentencepiece
+
     path = P.path("piece_bpe_32k.model")
-    f = token_counts.transducer(path)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
     for r in token_counts.with_token_counts(edge, path, 100).collect():
-        n = len(f.library.encode(r["text"] or ""))
+        n = len(library.encode(r["text"] or ""))
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((r["text"] or "").encode()), n, n > 100)
     assert token_counts.with_token_counts(empty, path, 100).count() == 0
+    f = token_counts.Transducer(path)
     r = random.Random(2)
-    parts = ["a", "th", " ", "  ", "▁", "\n", "é", "<s>", "1", "日本", "...", "\x00", "ing", "e" * 300, "=", "😀"]
-    for _ in range(800):
-        t = "".join(r.choices(parts, k=r.randint(0, 12)))
-        n = len(f.library.encode(t))
-        assert f.counts([t]) == [n] and all(f.count(t, c) == n for c in (1, 3, 7)), t
-    text = "▁" + words(200).replace(" ", "▁")
-    maps = [f.map(text[i : i + 50]) for i in range(0, len(text), 50)]
-    assert [f.total(m) for m in f.scan(maps)] == [len(f.library.encode(text[1 : i + 50].replace("▁", " "))) for i in range(0, len(text), 50)]
+    parts = ["a", "th", " ", "  ", "▁", "\n", "é", "<s>", "1", "日本", "...", "\x00", "ing", "e" * 300, "=", "😀", "inform", "ation", "s"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(800)]
+    want = [len(library.encode(t)) for t in texts]
+    for chunk in (1, 2, 3, 7, 50, token_counts.CHUNK):
+        assert f.counts(texts, chunk) == want, chunk
+    for t in (("e" * 300 + "日") * 1200, "e" * 300_000, " " * 100_000, words(3000)):
+        assert f.counts([t, "a", t]) == [len(library.encode(t)), len(library.encode("a")), len(library.encode(t))]
+
+
+def test_token_counts_scan():
+    f = token_counts.Transducer(P.path("piece_bpe_32k.model"))
+    text = "▁" + words(300).replace(" ", "▁") + "e" * 50
+    for size in (1, 3, 50):
+        chunks = [text[i : i + size] for i in range(0, len(text), size)]
+        got = f.scan([f.map(c) for c in chunks])
+        state, total = f.start, 0
+        for chunk, (after, n) in zip(chunks, got):
+            state, more = token_counts.run(state, chunk)
+            total += more
+            assert (after, n) == (state, total)
+    a, b, c = (f.map(x) for x in ("▁infor", "e" * 5, "mation▁x"))
+    for entered in (f.start, token_counts.run(f.start, "▁the")[0]):
+        assert a.then(b).then(c).apply(entered) == a.then(b.then(c)).apply(entered)
+    kept = f.counts([text])
+    f.reset()
+    assert f.counts([text]) == kept
 
 
 def slow_fingerprint(text):
