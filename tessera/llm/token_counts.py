@@ -132,28 +132,34 @@ class Transducer:
             found.machine, found.open, found.before = self, open_, before
         return found
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that the merges make of a short text: the neighbours with the best joint piece first, of equal ones the leftmost."""
-        parts, score = list(text), self.scores.get
-        while True:
-            joint = [(-s, k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (s := score(a + b)) is not None]
-            if not joint:
-                return parts
-            k = min(joint)[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-
     def neighbours(self, a: str | None, b: str) -> bool:
-        """Whether piece b can follow piece a (None: a synchronised place)."""
+        """Whether piece b can follow piece a (None: a synchronised place): whether the merges of their joint text, those
+        neighbours first whose joint piece has the best score, the leftmost of equal ones, never cross from a to b."""
         found = self.pairs.get((a, b))
         if found is None:
-            found = self.pairs[a, b] = self.merged((a or "") + b) == ([a, b] if a else [b])
+            parts, cut, score = [*(a or ""), *b], len(a or ""), self.scores.get
+            found = True
+            while found:
+                best, at = None, -1
+                for k in range(len(parts) - 1):
+                    s = score(parts[k] + parts[k + 1])
+                    if s is not None and (best is None or s > best):
+                        best, at = s, k
+                if at < 0:
+                    break
+                found = at != cut - 1
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                cut -= at < cut
+            found = self.pairs[a, b] = found and len(parts) == (2 if a else 1)
         return found
 
     def compile(self, state: State, c: str) -> tuple[State, int]:
         if c not in self.characters:  # its bytes, one token each
             return self.start, len(c.encode())
         open_ = state.open if state.before + c in self.together else self.start.open
-        [(piece, tokens)] = [(u + c, n + 1) for u, last, n in open_ if u + c in self.scores and self.neighbours(last, u + c)]
+        ending = [(u + c, last, n + 1) for u, last, n in open_ if u + c in self.scores]
+        # Exactly one of them is the tokenizer's, so the last needs no test.
+        piece, _, tokens = next((e for e in ending[:-1] if self.neighbours(e[1], e[0])), ending[-1])
         left = tuple((u + c, last, n - tokens) for u, last, n in open_ if u + c in self.beginnings)
         return self.state((*left, ("", piece, 0)), c), tokens
 

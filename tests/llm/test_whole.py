@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import licenses, vectors
 from tessera.llm.common import ready
@@ -33,6 +34,25 @@ def test_links_of_stars_and_paths(spark):
     assert found == {i: (1 if i < 10 else 12, sum(i in p for p in pairs), i in (1, 12)) for i in vecs}
 
 
+def test_repeated_ids_of_vectors(spark):
+    r = np.random.default_rng(11)
+    base = r.normal(size=(3, 16))
+    near = lambda k: base[k] + r.normal(size=16) * 0.02
+    rows = [(5, near(0), 0), (7, near(0), 0), (5, near(1), 0), (9, near(1), 0), (8, near(1), 0), (5, near(2), 1), (3, near(0), 1), (5, base[2], 1), (5, base[2], 1), (2, base[2], None)]
+    rows = [(i, [float(x) for x in v], label) for i, v, label in rows]
+    vecs = [vectors.unit(np.array([v]))[0] for _, v, _ in rows]
+    link = {(a, b) for a, b in itertools.permutations(range(len(rows)), 2) if rows[a][2] is not None and rows[a][2] == rows[b][2] and vecs[a] @ vecs[b] >= 0.98}
+    reached = [{a} for a in range(len(rows))]
+    for _ in rows:
+        reached = [set().union(m, *({b for x, b in link if x == a} for a in m)) for m in reached]
+    want = sorted((rows[a][0], sum(x == a for x, _ in link), min(rows[b][0] for b in reached[a])) for a in range(len(rows)))
+    for schema in ("array<double>", "array<float>"):
+        df = ready(spark).createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("embedding", F.col("embedding").cast(schema))
+        got = vectors.near_duplicates(df).collect()
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+        assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
 def length(x, y):
     best = [0] * (len(y) + 1)
     for p in x:
