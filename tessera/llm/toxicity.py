@@ -2,19 +2,26 @@
 
 The kernel of two strings is the sum over the character subsequences of length 4 that both hold, each weighted by
 DECAY to the power of the stretches it spans, normalised by the strings' own kernels. Inserted characters and gaps only
-stretch a subsequence, so "id-iot" stays close to "idiot". A text is scored by sentences, a sentence by its units (words
-without outer punctuation, also with none inside, and runs of single characters joined). How many units reach each of a few margins gives
-the text's probability.
+stretch a subsequence, so "id-iot" stays close to "idiot". A sentence is its units: words without outer punctuation, also
+with none inside, and runs of single characters joined.
 
-Training: a sentence carries its document's label. From a bounded sample of labelled documents, the units that are far
-more frequent in toxic sentences are its marks; a sentence counts once, in however many copies of a document it stands. They and their gapped variants against units of clean sentences, the
-nearest first, train a linear SVM on kernel values to a few landmarks, whitened by the landmarks' own kernel (Nyström).
-The landmarks are the marks that together come closest to all marks, and the clean units nearest to them.
-"""
+Training: a sentence of a labelled document carries the document's label; a sentence that clean documents hold too is
+clean. Every unit is a training row, as often as it stands in toxic sentences with label 1 and as often as it stands in
+clean ones with label -1, and a linear SVM on Nyström features decides. Where most of a kernel's values are near zero
+nothing can be learnt, so the machine looks only near a few gates, units that are many times more frequent in toxic
+sentences: a unit further than NEAR from all gates is no evidence. Landmarks are the units inside that cover the toxic and
+the clean rows best; their features are whitened by the landmarks' own kernel.
+
+A text is scored by how many of its units reach each of a few margins, in a logistic fit to the labelled documents.
+
+What is bounded: SAMPLE documents of each class, GATES and LANDMARKS, the most frequent first. A unit that no
+LEAST_SENTENCES different toxic sentences hold, or that isn't LEAST_RATIO times as frequent there, opens no gate; rarer
+insults are found only by their nearness to others. A word of one or two characters is near to itself alone."""
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +33,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import appended, staged, strings
 
 LENGTH, DECAY = 4, 0.6
-#: Stands before each word, so that subsequences from a word's beginning count on their own.
+#: Stands before each word, so that subsequences from a word's beginning count on their own, and behind words that are shorter than a subsequence.
 EDGE = "\x02"
 #: Longer words are scored by overlapping windows of this many characters, so that no insult falls between two.
 WINDOW = 24
-LONGEST_LANDMARK = 10
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…"
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -39,14 +45,15 @@ MOST_WORDS = 250_000
 
 
 def units_of(text: str) -> set[str]:
-    """The distinct units of a text that are long enough for the kernel."""
+    """The distinct units of a text."""
     low = text.lower()
     words = {w.strip(MARKS) for w in set(low.split())}
     for run in SPELLED.findall(low):
         words.add("".join(run.split()).strip(MARKS))
     for w in [w for w in words if not w.isalnum()]:
         words.add("".join(filter(str.isalnum, w)))
-    return {w for w in words if len(w) >= LENGTH}
+    words.discard("")
+    return words
 
 
 def windows(word: str) -> list[str]:
@@ -55,12 +62,16 @@ def windows(word: str) -> list[str]:
     return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
-def codes(words: list[str], alphabet: dict[str, int] | None = None) -> np.ndarray:
-    """(words, longest) character numbers; 0 is the end, and characters outside the alphabet."""
-    words = [EDGE + w for w in words]
-    out = np.zeros((len(words), max(map(len, words))), dtype=np.int64)
-    for i, w in enumerate(words):
-        out[i, : len(w)] = [alphabet.get(c, 0) for c in w] if alphabet else [ord(c) for c in w]
+def codes(words: list[str], alphabet: np.ndarray | None = None) -> np.ndarray:
+    """(words, longest) character numbers; 0 is the end, and characters outside the alphabet (ascending code points)."""
+    words = [EDGE + w + EDGE * (LENGTH - 1 - len(w)) for w in words]
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    if alphabet is not None:
+        at = np.minimum(np.searchsorted(alphabet, flat), len(alphabet) - 1)
+        flat = np.where(alphabet[at] == flat, at + 1, 0)
+    sizes = np.array([len(w) for w in words])
+    out = np.zeros((len(words), sizes.max()), dtype=np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
     return out
 
 
@@ -86,7 +97,7 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.alphabet = {c: i for i, c in enumerate(sorted({c for w in landmarks for c in EDGE + w}), 1)}
+        self.alphabet = np.unique(codes(landmarks)[codes(landmarks) > 0])
         marks = codes(landmarks, self.alphabet)
         self.m, self.size = marks.shape
         # By place in the landmark, character and landmark: whether they match, and what the character adds to subsequences of length 1.
@@ -97,6 +108,7 @@ class Kernel:
         for j in range(1, self.size):
             self.first[j] = DECAY * self.first[j - 1] + self.eq[j - 1]
         self.own = np.sqrt(own_kernel(landmarks))
+        self.at_once = max(16, min(256, 8192 // max(1, self.m)))
 
     def batch(self, words: list[str]) -> np.ndarray:
         s, n = codes(words, self.alphabet), len(words)
@@ -122,44 +134,49 @@ class Kernel:
     def __call__(self, words: list[str]) -> np.ndarray:
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         out = np.zeros((len(words), self.m))
-        for at in range(0, len(order), 256):
-            part = order[at : at + 256]
+        for at in range(0, len(order), self.at_once):
+            part = order[at : at + self.at_once]
             out[part] = self.batch([words[i] for i in part])
         return out
 
 
-#: A text's evidence: by step, the number of its units whose margin is at least that, up to MOST_EACH.
-STEPS, MOST_EACH = (0.0, 1.0, 2.0, 3.0), 3
+#: A text's evidence: by step, the logarithm of one more than the number of its units whose margin is at least that.
+STEPS = (-0.4, 0.0, 0.3, 0.6, 0.9)
+#: Kernel value to a gate from which on a unit is looked at.
+NEAR = 0.3
 
 
 @dataclass
 class Model:
+    gates: list[str]
     landmarks: list[str]
     weights: np.ndarray
     bias: float
     evidence: tuple[float, ...]
     offset: float
 
-    def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.asarray(evidence) @ np.asarray(self.evidence) + self.offset, -500, 500)))
-
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
+        self.gates = Kernel(model.gates) if model.gates else None
         self.kernel = Kernel(model.landmarks) if model.landmarks else None
         self.known: dict[str, float] = {}
 
     def learn(self, words: list[str]) -> None:
+        """The margin of each word: of its windows near a gate the largest, below all steps without such a window."""
+        self.known.update(dict.fromkeys(words, -np.inf))
         parts = [(w, p) for w in words for p in windows(w)]
+        if not parts:
+            return
+        parts = [parts[i] for i in np.flatnonzero(self.gates([p for _, p in parts]).max(axis=1) >= NEAR)]
         if parts:
             margins = self.kernel([p for _, p in parts]) @ self.model.weights + self.model.bias
             for (w, _), m in zip(parts, margins.tolist()):
-                if m > self.known.get(w, -np.inf):
-                    self.known[w] = m
+                self.known[w] = max(m, self.known[w])
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """(texts, steps): how many units of each text reach each step."""
+        """(texts, steps): see STEPS."""
         out = np.zeros((len(texts), len(STEPS)))
         if not self.kernel:
             return out
@@ -171,27 +188,34 @@ class Scorer:
             for i, s in enumerate(sets, at):
                 high = [m for m in map(self.known.__getitem__, s) if m >= STEPS[0]]
                 if high:
-                    out[i] = [min(MOST_EACH, sum(m >= step for m in high)) for step in STEPS]
-        return out
+                    out[i] = [sum(m >= step for m in high) for step in STEPS]
+        return np.log1p(out)
 
 
-def variants(word: str) -> list[str]:
-    """A word with a character inserted between two of its own."""
-    return [word[:i] + mark + word[i:] for mark in "*x" for i in range(1, len(word))]
+def svm(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Weights w that make |w|^2 / 2 + the sum of toxic * max(0, 1 - xw)^2 + clean * max(0, 1 + xw)^2 least, by Newton
+    steps with halving; the last column of x is the bias, which is hardly held back."""
+    keep = np.eye(x.shape[1])
+    keep[-1, -1] = 1e-3
 
+    def cost(w: np.ndarray) -> float:
+        f = x @ w
+        return w @ keep @ w / 2 + toxic @ np.maximum(0, 1 - f) ** 2 + clean @ np.maximum(0, 1 + f) ** 2
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Weights of a linear SVM with squared hinge loss by Newton steps; the last column of x is the bias."""
     w = np.zeros(x.shape[1])
-    keep = np.eye(x.shape[1])
-    keep[-1, -1] = 1e-3
-    for _ in range(50):
-        near = y * (x @ w) < 1
-        a = x[near] * cost[near, None]
-        new = np.linalg.solve(keep + 2 * x[near].T @ a, 2 * a.T @ y[near])
-        if np.abs(new - w).max() < 1e-9:
+    now = cost(w)
+    for _ in range(rounds):
+        f = x @ w
+        above, below = np.where(f < 1, toxic, 0.0), np.where(f > -1, clean, 0.0)
+        slope = keep @ w + 2 * x.T @ (below * (1 + f) - above * (1 - f))
+        step = np.linalg.solve(keep + 2 * (x * (above + below)[:, None]).T @ x, slope)
+        size, then = 1.0, cost(w - step)
+        while then > now and size > 1e-6:
+            size /= 2
+            then = cost(w - size * step)
+        if then >= now - 1e-12 * max(1.0, now):
             break
-        w = new
+        w, now = w - size * step, then
     return w
 
 
@@ -218,26 +242,41 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         use[:-1] &= out[:-1] > 0
 
 
-#: Labelled documents of each class that training reads at most, marks, units of clean sentences, and landmarks of either kind.
-SAMPLE, MOST_MARKS, CLEAN_UNITS, LANDMARKS, CLEAN_LANDMARKS = 2000, 160, 6000, 18, 2
+#: Labelled documents of each class that training reads at most, gates, and landmarks that cover the toxic and the clean rows.
+SAMPLE, GATES, LANDMARKS = 2000, 24, (80, 160)
+#: Different toxic sentences that a gate must occur in, and how much more frequent it must be there than in clean ones.
+LEAST_SENTENCES, LEAST_RATIO = 3, 12
+#: Marks that come this near to a gate need none of their own.
+COVERED = 0.4
+#: Cost of all toxic rows together, and how much more all clean ones cost.
+COST, CLEAN_COST = 5000.0, 8.0
 
-#: Different toxic sentences that a mark must occur in, at least and against the most widespread mark, and how much more frequent it must be there than in clean ones.
-LEAST_SENTENCES, LEAST_SHARE, LEAST_RATIO = 3, 0.04, 12
+
+def cover(words: list[str], weight: np.ndarray, most: int, enough: float = 1.0) -> list[str]:
+    """The heaviest word, then always the one with the most weight that those before leave uncovered; without those covered enough."""
+    out, near = [], np.zeros(len(words))
+    while len(out) < most:
+        left = np.where(near < enough, weight * (1 - near), 0.0)
+        if not len(left) or left.max() <= 1e-9:
+            break
+        out.append(words[int(left.argmax())])
+        near = np.maximum(near, Kernel(out[-1:])(words)[:, 0])
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from at most SAMPLE labelled documents of each class, taken by a hash of their id. Null labels and texts are
-    left out. Without both classes, or without units that mark one, every text gets the toxic share (0.5 without labels)."""
+    left out. Without both classes, or without units that open a gate, every text gets the toxic share (0.5 without labels)."""
     own = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
     picked = own.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).unionByName(own.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(SAMPLE))
     shares = dict(own.groupBy("y").count().collect())
     base = (shares.get(1, 0) + 1) / (sum(shares.values()) + 2)
-    flat = Model([], np.zeros(0), 0.0, (0.0,) * len(STEPS), float(np.log(base / (1 - base))))
+    flat = Model([], [], np.zeros(0), 0.0, (0.0,) * len(STEPS), float(np.log(base / (1 - base))))
 
     @F.pandas_udf("array<string>")
     def sentence_units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([sorted(units_of(t)) for t in strings(batch)])
+            yield pd.Series([sorted({p for u in units_of(t) for p in windows(u)}) for t in strings(batch)])
 
     read = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("t is not null")
     sample = staged(read.join(F.broadcast(picked), "id"), "toxicity-sample")
@@ -246,51 +285,43 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     totals = dict(held.groupBy("y").count().collect())
     if not totals.get(0) or not totals.get(1):
         return flat
-    by_unit = held.select("y", F.explode("units").alias("unit")).groupBy("unit").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+    by_unit = staged(held.select("y", F.explode("units").alias("unit")).groupBy("unit").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")), "toxicity-counts")
     ratio = F.col("toxic") / totals[1] / ((F.col("clean") + 0.5) / totals[0])
-    rich = by_unit.where((F.col("toxic") >= LEAST_SENTENCES) & (ratio >= LEAST_RATIO) & (F.length("unit") <= LONGEST_LANDMARK)).orderBy(F.desc("toxic"), "unit").limit(MOST_MARKS)
-    found = rich.collect()
-    marks = {r.unit: r.toxic for r in found if r.toxic >= LEAST_SHARE * found[0].toxic}
-    if not marks:
+    marks = by_unit.where((F.col("toxic") >= LEAST_SENTENCES) & (ratio >= LEAST_RATIO)).select("unit", "toxic").orderBy("unit").toPandas()
+    gates = cover(marks["unit"].to_list(), marks["toxic"].to_numpy(dtype=float), GATES, COVERED)
+    if not gates:
         return flat
-    clean = [(r.unit, r.clean) for r in by_unit.where("clean > 0 and toxic <= clean").where(F.length("unit") <= WINDOW).orderBy(F.xxhash64("unit"), "unit").limit(CLEAN_UNITS).collect()]
-    return train(marks, clean, sample, flat)
-
-
-def train(marks: dict[str, int], clean: list[tuple[str, int]], sample: DataFrame, flat: Model) -> Model:
-    names, weight = list(marks), np.array(list(marks.values()), dtype=float)
-    alike = Kernel(names)(names)
-    chosen, near = [], np.zeros(len(names))
-    for _ in range(min(LANDMARKS, len(names))):
-        gain = (np.maximum(alike - near[:, None], 0) * weight[:, None]).sum(axis=0)
-        gain[chosen] = -1
-        chosen.append(int(gain.argmax()))
-        near = np.maximum(near, alike[:, chosen[-1]])
-    landmarks = [names[i] for i in chosen]
-    close = Kernel(landmarks)([w for w, _ in clean]).max(axis=1) if clean else np.zeros(0)
-    order = np.argsort(-close, kind="stable")
-    picked = [clean[i] for i in order[:1500]] + [clean[i] for i in order[1500::5]]
-    clean, often = [w for w, _ in picked], np.array([float(n) for _, n in picked])
-    landmarks += [w for w in clean if len(w) <= LONGEST_LANDMARK][:CLEAN_LANDMARKS]
+
+    @F.pandas_udf("boolean")
+    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kernel = Kernel(gates)
+        for batch in batches:
+            yield pd.Series(kernel(batch.to_list()).max(axis=1) >= NEAR)
+
+    rows = by_unit.where(near("unit")).orderBy("unit").toPandas()
+    return train(gates, rows["unit"].to_list(), rows["toxic"].to_numpy(dtype=float), rows["clean"].to_numpy(dtype=float), totals, sample, flat)
+
+
+def train(gates: list[str], units: list[str], toxic: np.ndarray, clean: np.ndarray, totals: dict[int, int], sample: DataFrame, flat: Model) -> Model:
+    """The machine on the units near a gate, and the logistic fit of the sample's labels to what it finds in the texts."""
+    leaning = toxic / totals[1] > clean / totals[0]
+    landmarks = sorted({*cover(units, np.sqrt(np.where(leaning, toxic, 0.0)), LANDMARKS[0]), *cover(units, np.sqrt(np.where(leaning, 0.0, clean)), LANDMARKS[1])})
     whole = Kernel(landmarks)
     value, vector = np.linalg.eigh(whole(landmarks))
     whiten = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-    toxic = [(v, n / (1 + len(variants(m)) * (v != m))) for m, n in marks.items() for v in (m, *variants(m))]
-    x = np.hstack([whole([v for v, _ in toxic] + clean) @ whiten, np.ones((len(toxic) + len(clean), 1))])
-    y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
-    n = np.array([n for _, n in toxic])
-    w = svm(x, y, np.concatenate([20 * n / n.mean(), 20 * np.minimum(often, 50.0)]))
-    model = Model(landmarks, whiten @ w[:-1], float(w[-1]), flat.evidence, 0.0)
+    x = np.hstack([whole(units) @ whiten, np.ones((len(units), 1))])
+    w = svm(x, COST * toxic / totals[1], COST * CLEAN_COST * clean / totals[0])
+    model = Model(gates, landmarks, whiten @ w[:-1], float(w[-1]), flat.evidence, 0.0)
     seen = sample.select("y", evidence_column(F.col("t"), model).alias("e")).toPandas()
     evidence, offset = logistic(np.array([*seen["e"]]), seen["y"].to_numpy())
-    return Model(landmarks, model.weights, model.bias, tuple(evidence), offset) if evidence.any() else flat
+    return Model(gates, landmarks, model.weights, model.bias, tuple(evidence), offset) if evidence.any() else flat
 
 
 _SCORERS: dict[bytes, Scorer] = {}
 
 
 def evidence_column(text: Column, model: Model) -> Column:
-    name = repr((model.landmarks, model.weights.tolist(), model.bias)).encode()
+    name = repr((model.gates, model.landmarks, model.weights.tolist(), model.bias)).encode()
 
     @F.pandas_udf("array<double>")
     def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -304,10 +335,13 @@ def evidence_column(text: Column, model: Model) -> Column:
 
 
 def with_toxicity(df: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """df with score (0 to 1) and predicted (1 if score >= threshold) of each whole text. Null and empty texts get the score of a text without any unit."""
-    e = evidence_column(F.col(text), model)
-    rows = df.withColumn("_evidence", e)
-    z = sum((F.col("_evidence")[k] * float(w) for k, w in enumerate(model.evidence)), F.lit(float(model.offset)))
+    """df with score (0 to 1) and predicted (1 if score >= threshold) of each whole text.
+
+    Null and empty texts get the score of a text without any unit; very long texts and words are scored whole. Equal texts
+    get equal scores, own columns named score or predicted give way, and an empty table gives no rows."""
+    hold = "_" + uuid.uuid4().hex
+    rows = df.withColumn(hold, evidence_column(F.col(text), model))
+    z = sum((F.col(hold)[k] * float(w) for k, w in enumerate(model.evidence)), F.lit(float(model.offset)))
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))
-    scored = appended(rows, F.struct(score.alias("score")), ["score"]).drop("_evidence")
+    scored = appended(rows, F.struct(score.alias("score")), ["score"]).drop(hold)
     return appended(scored, F.struct((F.col("score") >= threshold).cast("int").alias("predicted")), ["predicted"])

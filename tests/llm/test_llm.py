@@ -289,11 +289,12 @@ def slow_kernel(s, t):
 
 def test_toxicity(spark, edge, empty):
     kinds = ["idiot", "stupid", "clown"]
-    probe = ["idiot", "id-iot", "ionti", "thestupidity", "aaaa", "zzzz"]
+    probe = ["idiot", "id-iot", "ionti", "thestupidity", "aaaa", "zzzz", "ab", "c", "é日😀"]
+    assert toxicity.Kernel(["ab"])(["ab", "abc", "a"]).round(5).tolist() == [[1], [0], [0]]
     got = toxicity.Kernel(kinds)(probe)
     for i, w in enumerate(probe):
         for j, k in enumerate(kinds):
-            a, b = toxicity.EDGE + w, toxicity.EDGE + k
+            a, b = toxicity.EDGE + w + toxicity.EDGE * (3 - len(w)), toxicity.EDGE + k
             assert got[i, j] == pytest.approx(slow_kernel(a, b) / np.sqrt(slow_kernel(a, a) * slow_kernel(b, b)), abs=1e-5)
     docs = [(i, words(60, i) + (f" {kinds[i % 3]} {kinds[(i + 1) % 3]} " if i % 4 == 0 else " ") + words(20, i + 999)) for i in range(240)]
     df = ready(spark).createDataFrame([*docs, (900, words(30, 5) + " id-iot s.t.u.p.i.d you i d i o t"), (901, "")], "doc_id long, text string")
@@ -306,13 +307,43 @@ def test_toxicity(spark, edge, empty):
     assert toxicity.with_toxicity(empty, flat).count() == 0
 
 
+def test_machine_against_plain_descent():
+    r = np.random.default_rng(0)
+    x = np.hstack([r.normal(size=(60, 4)), np.ones((60, 1))])
+    toxic, clean = r.integers(0, 4, 60).astype(float), r.integers(0, 3, 60).astype(float)
+    keep = np.array([1, 1, 1, 1, 1e-3])
+    w = np.zeros(5)
+    for _ in range(20_000):
+        f = x @ w
+        w -= 1e-3 * (keep * w + 2 * x.T @ (clean * np.maximum(0, 1 + f) - toxic * np.maximum(0, 1 - f)))
+    assert np.allclose(toxicity.svm(x, toxic, clean), w, atol=1e-6)
+
+
+def test_toxicity_learns_any_length(spark):
+    """Insults of two characters, of more than a window's, and inflected ones; rare ones beside a frequent one; columns with clashing names."""
+    long = "schwachkopf" * 4
+    kinds = ["zq", long, "krambol", "idiot"]
+    forms = {0: ["zq"], 1: [long], 2: ["krambolen", "krambols", "kramboler", "krambolig"], 3: ["idiot"]}
+    docs = [(i, words(40, i) + " " + random.Random(i).choice(forms[i % 8 % 4] if i % 8 < 4 else [""]) + " " + words(9, i + 999), 7.0, "own") for i in range(400)]
+    docs += [(1000, "x krambolst " + words(20, 3), 7.0, "own"), (1001, None, 7.0, "own"), (1000, "x krambolst " + words(20, 3), 7.0, "own")]
+    df = ready(spark).createDataFrame(docs, "doc_id long, text string, score double, _evidence string")
+    labels = spark.createDataFrame([(i, int(i % 8 < 4)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    assert kinds[0] in model.gates and any(g in long for g in model.gates)
+    rows = [r for r in toxicity.with_toxicity(df, model).collect()]
+    got = {r["doc_id"]: r for r in rows}
+    wrong = [(i, i % 8, round(got[i]["score"], 2)) for i in range(300, 400) if got[i]["predicted"] != int(i % 8 < 4)]
+    assert len(wrong) <= 3 and not [x for x in wrong if x[1] < 4] and len(rows) == len(docs)
+    assert got[1000]["predicted"] == 1 and got[1001]["predicted"] == 0 and got[1000]["_evidence"] == "own"
+
+
 def test_held_out_on_tables(spark):
     folder = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     tox = [r for r in queries.op2_toxicity(spark, folder).collect()]
     held = [(labels[r["doc_id"]]["toxic"], r["predicted"]) for r in tox if r["held_out"] and r["doc_id"] in labels]
     assert len(tox) == 1000 and sum(a == 0 and b == 1 for a, b in held) <= 0.02 * len(held)
-    assert sum(a == b == 1 for a, b in held) >= 0.6 * sum(a for a, _ in held)
+    assert sum(a == b == 1 for a, b in held) >= 0.6 * sum(a for a, _ in held)  # a few marked documents of each language to learn from
     good = [(labels[r["doc_id"]]["quality"], r["quality_kept"]) for r in queries.op9_quality(spark, folder).collect() if r["held_out"] and r["doc_id"] in labels]
     assert np.mean([bool(a) == b for a, b in good]) >= 0.97
 
