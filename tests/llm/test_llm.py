@@ -325,7 +325,7 @@ def test_toxicity_learns_any_length(spark):
     kinds = ["zq", long, "krambol", "idiot"]
     forms = {0: ["zq"], 1: [long], 2: ["krambolen", "krambols", "kramboler", "krambolig"], 3: ["idiot"]}
     docs = [(i, words(40, i) + " " + random.Random(i).choice(forms[i % 8 % 4] if i % 8 < 4 else [""]) + " " + words(9, i + 999), 7.0, "own") for i in range(400)]
-    docs += [(1000, "x krambolst " + words(20, 3), 7.0, "own"), (1001, None, 7.0, "own"), (1000, "x krambolst " + words(20, 3), 7.0, "own")]
+    docs += [(1000, "x krambolens " + words(20, 3), 7.0, "own"), (1001, None, 7.0, "own"), (1000, "x krambolens " + words(20, 3), 7.0, "own")]
     df = ready(spark).createDataFrame(docs, "doc_id long, text string, score double, _evidence string")
     labels = spark.createDataFrame([(i, int(i % 8 < 4)) for i in range(300)], "doc_id long, toxic int")
     model = toxicity.fit(df, labels)
