@@ -1,10 +1,10 @@
 """Packing of documents into token sequences, in order, with cuts at document or sentence ends.
 
 Windows are chosen by dynamic programming over the places where the stream of a partition's documents may be cut.
-best(j) = penalty of cutting at j + the least of best(i) + padding of the window from i to j. Padding is the capacity less
-the window's length, or nothing if that length is a power of two. For the first kind the least best(i) + place(i) among
-the places within one capacity of j comes from a monotone queue. The second kind serves the end of a stream: for the
-places in its last capacity, the few places a power of two before them are looked up too. All documents of a stream are placed; one that is longer than a window spans several."""
+best(j) = penalty of cutting at j + WINDOW + the least of best(i) + padding of the window from i to j. Padding is the
+capacity less the window's length, or nothing if that length is a power of two. For the first kind the least
+best(i) + place(i) among the places within one capacity of j comes from a monotone queue; for the second the few places a
+power of two before j are looked up. All documents of a stream are placed; one that is longer than a window spans several."""
 
 from __future__ import annotations
 
@@ -22,6 +22,8 @@ from tessera.llm.unit_tokens import units
 
 #: Costs of a cut, in tokens of padding: at a document's end, at a sentence's end, elsewhere.
 DOCUMENT_CUT, SENTENCE_CUT, OTHER_CUT = 0, 2, 24
+#: Cost of each window, so that a full one is better than several of the lengths that need no padding.
+WINDOW = 16
 #: Inside sentences a cut is possible at every so many tokens.
 STEP = 128
 #: Ids that are packed at a time, so that a partition of any size needs bounded memory; a longer document is packed at once.
@@ -50,8 +52,7 @@ def windows(places: np.ndarray, cost: np.ndarray, capacity: int) -> list[tuple[i
     at, penalty = places.tolist(), cost.tolist()
     n = len(at)
     best, back = [0] * n, [0] * n
-    closing = at[-1] - capacity
-    index = {p: i for i, p in enumerate(at) if p >= closing - capacity}
+    index = {p: i for i, p in enumerate(at)}
     powers = [1 << k for k in range(capacity.bit_length()) if 1 << k <= capacity]
     queue: deque[int] = deque([0])
     key = [0] * n
@@ -62,12 +63,11 @@ def windows(places: np.ndarray, cost: np.ndarray, capacity: int) -> list[tuple[i
             queue.popleft()
         source = queue[0]
         low = key[source] - least
-        if p >= closing:
-            for w in powers:
-                i = index.get(p - w)
-                if i is not None and best[i] < low:
-                    low, source = best[i], i
-        low += penalty[j]
+        for w in powers:
+            i = index.get(p - w)
+            if i is not None and best[i] < low:
+                low, source = best[i], i
+        low += penalty[j] + WINDOW
         best[j], back[j] = low, source
         key[j] = k = low + p
         while queue and key[queue[-1]] >= k:

@@ -105,7 +105,7 @@ def test_packing(edge, empty, monkeypatch):
         sizes = rng.integers(1, 60, rng.integers(1, 15))
         total = int(sizes.sum())
         places, cost = packing.cut_places(sizes, np.unique(rng.integers(1, total + 1, 5)))
-        pay = lambda a, b: 0 if (b - a) & (b - a - 1) == 0 and (b - a == 32 or b >= total - 32) else 32 - (b - a)
+        pay = lambda a, b: packing.WINDOW + (0 if (b - a) & (b - a - 1) == 0 else 32 - (b - a))
         best = [0] + [10**9] * (len(places) - 1)
         for j in range(1, len(places)):
             best[j] = min(best[i] + pay(places[i], places[j]) + cost[j] for i in range(j) if places[j] - places[i] <= 32)
