@@ -10,7 +10,7 @@ from tessera.llm import byte_bpe, licenses, media, packing, quality, simhash, to
 from tessera.llm.common import table
 
 PACK_TOKENS, TOXIC_AT, QUALITY_AT = 2048, 0.7, 0.5
-PAGE_COLUMNS = ["lang", "source"]
+PAGE_COLUMNS = ["lang", "source", "n_chars"]
 
 
 def doc_id() -> Column:
