@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import appended, per_text
 
-# License notices and openings as their publishers word them.
+# License notices, openings and whole texts as their publishers word them.
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "MIT notice": "Released under the MIT License.",
@@ -29,6 +29,15 @@ TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MIT text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "Zlib text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    "Apache-2.0 header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "GPL header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
 }
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: Up to this many pairs of words a gap without a unique word is aligned cell by cell, beyond it by bit rows.
@@ -152,16 +161,39 @@ class Template:
         self.places = {w: [i for i, x in enumerate(self.words) if x == w] for w in self.seeds}
         self.masks, self.back = masks_of(self.words), masks_of(self.words[::-1])
 
-    def possible(self, low: str) -> bool:
+    def possible(self, present: set[str]) -> bool:
         """False only if so many of the words are absent that the coverage can't be reached."""
         missing = 0
         for w, k in self.tests:
-            if w not in low:
+            if w not in present:
                 missing += k
                 if missing > self.spare:
                     return False
         return True
 
+    def spots(self, words: list[str], slack: int) -> list[int]:
+        """Places of seeds around which so many of the template's words stand that the coverage can be reached, by a sliding count."""
+        n, want, have, held = len(self.words), dict(self.tests), Counter(), 0
+        out, lo, hi = [], 0, 0
+        for p, w in enumerate(words):
+            if w not in self.places:
+                continue
+            while hi < min(len(words), p + n + slack):
+                x = words[hi]
+                hi += 1
+                if x in want:
+                    have[x] += 1
+                    held += have[x] <= want[x]
+            while lo < p - n - slack:
+                x = words[lo]
+                lo += 1
+                if x in want:
+                    held -= have[x] <= want[x]
+                    have[x] -= 1
+            if n - held <= self.spare:
+                out.append(p)
+        return out
+
     def tight(self, words: list[str], lo: int, hi: int, least: float) -> tuple[int, int] | None:
         """The stretch within words[lo:hi] that holds its longest common subsequence with the template: the first to end, from its last beginning. None if that is shorter than least asks."""
         n = len(self.words)
@@ -185,7 +217,7 @@ class Template:
     def find(self, words: list[str], least: float) -> list[tuple[float, int, int]]:
         """(coverage, first word, one past the last) of the non-overlapping matches, the best first. A match that reaches least holds one of the seeds."""
         n, slack = len(self.words), len(self.words) // 4 + 2
-        spots = [(p, 0, len(words)) for p, w in enumerate(words) if w in self.places]
+        spots = [(p, 0, len(words)) for p in self.spots(words, slack)]
         known: dict[tuple[int, int, bool], list[tuple[float, int, int]]] = {}
         out: list[tuple[float, int, int]] = []
 
@@ -235,7 +267,8 @@ def undivided(found: dict[tuple[int, int], float]) -> dict[tuple[int, int], floa
 def scan(text: str, templates: list[Template], least: float) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first character, one past the last) of all matches, by place."""
     low = text.lower()
-    wanted = [t for t in templates if t.possible(low)]
+    present = set(WORD.findall(low))
+    wanted = [t for t in templates if t.possible(present)]
     if not wanted:
         return []
     if len(low) != len(text):  # some letters change their length; places are then counted in the lower-case text
@@ -247,7 +280,10 @@ def scan(text: str, templates: list[Template], least: float) -> list[tuple[str,
 
 
 def with_licenses(df: DataFrame, least: float = 0.8, templates: dict[str, str] | None = None, text: str = "text", out: str = "licenses") -> DataFrame:
-    """df with an array of matches (license, coverage, start and end in characters) of each whole text. Null and empty texts have none; repeated notices are all listed."""
+    """df with an array of matches (license, coverage, start and end in characters) of each whole text.
+
+    Null and empty texts have none; repeated notices are all listed, in a text of any length. Repeated rows are scanned each,
+    an own column of the result's name gives way, and an empty table gives no rows."""
 
     def make():
         known = [Template(n, t, least) for n, t in (templates or TEMPLATES).items()]

@@ -62,7 +62,7 @@ def length(x, y):
     return best[-1]
 
 
-@pytest.mark.parametrize("name", ["MIT", "BSD", "GPL", "MIT notice", "CC-BY-NC-4.0 notice"])
+@pytest.mark.parametrize("name", ["MIT", "BSD", "GPL", "MIT notice", "CC-BY-NC-4.0 notice", "ISC text", "BSD-3-Clause text"])
 def test_neighbouring_licenses(name):
     known, text = [licenses.Template(n, t, 0.8) for n, t in licenses.TEMPLATES.items()], licenses.TEMPLATES[name]
     for copies in (1, 2, 3, 6, 20):
@@ -92,6 +92,50 @@ def test_large_gaps_without_a_unique_word():
     assert len(licenses.align(["a", "b"] * 50, ["b", "b", "a", "a"] * 50)) > 0
 
 
+def matched(x, y):
+    """How many words a plain recursion aligns: common ends, then a longest increasing run of the words that occur once in both, then the gaps."""
+    n = 0
+    while x and y and x[0] == y[0]:
+        x, y, n = x[1:], y[1:], n + 1
+    while x and y and x[-1] == y[-1]:
+        x, y, n = x[:-1], y[:-1], n + 1
+    at = [(i, y.index(w)) for i, w in enumerate(x) if x.count(w) == 1 and y.count(w) == 1]
+    if not at:
+        return n + length(x, y)
+    size = []
+    for k, (_, j) in enumerate(at):
+        size.append(1 + max((size[m] for m in range(k) if at[m][1] < j), default=0))
+    kept, k = [], max(range(len(at)), key=lambda m: (size[m], m))
+    while k is not None:
+        kept.insert(0, at[k])
+        k = max((m for m in range(k) if size[m] == size[k] - 1), default=None)
+    edges = [(-1, -1), *kept, (len(x), len(y))]
+    return n + len(kept) + sum(matched(x[i + 1 : a], y[j + 1 : b]) for (i, j), (a, b) in itertools.pairwise(edges))
+
+
+def test_alignment_equals_plain_recursion():
+    r = random.Random(8)
+    for _ in range(400):
+        letters = "abcdefghijklmnopqrstuvwxyz"[: r.randint(2, 26)]
+        x = r.choices(letters, k=r.randint(0, 30))
+        y = x[:] if r.random() < 0.5 else r.choices(letters, k=r.randint(0, 30))
+        for _ in range(r.randint(0, 6)):
+            if y:
+                y[r.randrange(len(y))] = r.choice(letters)
+        assert len(licenses.align(x, y)) == matched(x, y)
+
+
+def test_seeds_without_enough_words_around():
+    known = [licenses.Template(n, t, 0.8) for n, t in licenses.TEMPLATES.items()]
+    for name in ("MIT text", "BSD-3-Clause text", "Zlib text", "GPL header"):
+        text = licenses.TEMPLATES[name]
+        noisy = "software " * 20_000 + text + " license" * 20_000
+        assert [(f[0], f[2]) for f in licenses.scan(noisy, known, 0.8) if f[0] == name] == [(name, 20_000 * 9)]
+        t = next(t for t in known if t.name == name)
+        words = licenses.words_of(noisy)
+        assert len(t.spots(words, len(t.words) // 4 + 2)) < 5 * len(t.words)
+
+
 def test_components_of_whole_vectors(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     x = np.array([r["embedding"] for r in rows], dtype=float)
