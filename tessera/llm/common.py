@@ -27,18 +27,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from the session; a local one only where none is set, as in tests."""
+    """The folder that the driver and all executors share, from the session. Only a local session, which has a single
+    machine, gets one of its own where none is set; a cluster without one is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
+
+
+_RUNS: dict[str, str] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        path = f"{shared_dir(spark)}/tessera-{app}-{uuid.uuid4().hex[:8]}"
+        fs, place = file_system(spark, path)
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+        _RUNS[app] = path
+    return _RUNS[app]
+
+
+def file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that no later step reads."""
+    for df in tables:
+        fs, place = file_system(df.sparkSession, df._staged_at)
+        fs.delete(place, True)
 
 
 def strings(values) -> list[str]:

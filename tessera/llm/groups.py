@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import discard, staged
 
 
 def cells(rows: DataFrame, key: str, ident: str, limit: int) -> DataFrame:
@@ -60,12 +60,13 @@ def components(edges: DataFrame) -> DataFrame:
         if not before[0]:
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-star")
-        large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        large_least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-star")
+        large = staged(both.where("v > u").join(large_least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "links")
         least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "small-star")
         met = large.join(least, "a")
         small = met.select("a", F.col("m").alias("b")).unionByName(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = staged(small.distinct(), "links")
+        old, now = now, staged(small.distinct(), "links")
+        discard(old, large_least, large, least)
         after = state(now)
         if after == before:
             break

@@ -39,7 +39,7 @@ def a_law_table() -> np.ndarray:
 
 
 def ima_steps() -> np.ndarray:
-    """The 89 step sizes of IMA ADPCM: each a tenth above the one before, up to 32767."""
+    """The 89 step sizes of IMA ADPCM, about a tenth apart, up to 32767."""
     # Fixed values of the IMA ADPCM format.
     return np.array([
         7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118,
@@ -165,16 +165,24 @@ def store(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
 
 
 #: ADPCM blocks that are decoded together.
-LANES = 8192
+LANES = 4096
 
 
 def features(df: DataFrame, media: str = "media") -> DataFrame:
     """df with the digests of what its containers hold, read back from the stored bytes, and a feature string.
 
     The stored samples are expanded as mu-law and as A-law (sum of squares and sign changes), decoded as ADPCM blocks
-    (checksum) and resampled to 16 kHz PCM (checksum and length). All are whole numbers, so equal media give equal values."""
+    (checksum) and resampled to 16 kHz PCM (checksum and length). All are whole numbers, so equal media give equal values.
+    A null or unreadable container gives nulls, one without samples zeros; one of any length is read whole. Repeated rows are
+    read each, own columns of these names give way, and an empty table gives no rows."""
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
+    def readable(m: bytes | None) -> tuple | None:
+        try:
+            return None if m is None else parse(m)
+        except (ValueError, struct.error):
+            return None
+
     @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -182,14 +190,18 @@ def features(df: DataFrame, media: str = "media") -> DataFrame:
             while at < len(media):
                 end, held = at, 0
                 while end < len(media) and (end == at or held < LANES * BLOCK):
-                    held += len(media[end])
+                    held += len(media[end] or b"")
                     end += 1
-                parsed = [parse(m) for m in media[at:end]]
-                raws = [np.frombuffer(p[3], np.uint8) for p in parsed]
+                parsed = [readable(m) for m in media[at:end]]
+                raws = [np.frombuffer(p[3], np.uint8) if p else np.zeros(0, np.uint8) for p in parsed]
                 blocks = [r[: len(r) // BLOCK * BLOCK].reshape(-1, BLOCK) for r in raws]
                 ends = np.cumsum([len(b) for b in blocks])
                 spoken = adpcm(np.concatenate(blocks))
-                for m, (_, rate, _, data), raw, b, e in zip(media[at:end], parsed, raws, blocks, ends):
+                for m, p, raw, b, e in zip(media[at:end], parsed, raws, blocks, ends):
+                    if p is None:
+                        rows.append((None,) * len(names))
+                        continue
+                    _, rate, _, data = p
                     mu, a = MU[raw], A[raw]
                     wide = resample(mu, rate, 2 * rate)
                     voice = np.ascontiguousarray(spoken[e - len(b) : e])
@@ -198,6 +210,6 @@ def features(df: DataFrame, media: str = "media") -> DataFrame:
                     feature = f"mu:{power[0]}/{turns[0]} a:{power[1]}/{turns[1]} adpcm:{voice.size}/{zlib.crc32(voice):08x} pcm16k:{wide.size}/{zlib.crc32(wide):08x}"
                     rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
                 at = end
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return appended(df, describe(F.col(media)), names)

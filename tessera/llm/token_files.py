@@ -23,7 +23,7 @@ from tessera.llm.unit_tokens import units
 BLOCK_IDS = 1 << 18
 #: Lengths of the four ids that each control byte describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
-BLOCKS = "file_no int, first_id long, doc_ids binary, doc_tokens binary, n_ids long, ranked binary, control binary, data binary"
+BLOCKS = "file_no int, first_id long, n_null int, doc_ids binary, doc_tokens binary, n_ids long, ranked binary, control binary, data binary"
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -75,8 +75,9 @@ def unpack(n: int, ranked: bytes, control: bytes, data: bytes) -> np.ndarray:
     return np.frombuffer(ranked, "<u4")[codes]
 
 
-def write(df: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The written blocks of all documents, read back as a table; files follow one another by file_no, ids inside by first_id.
+def write(df: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """The blocks of all documents, written to path and read back as a table; files follow one another by file_no, ids inside by
+    first_id. Without a path they lie in the shared folder until the driver ends.
 
     Null texts count as empty; each document ends with end_id. Rows are dealt by ranges of doc_id (repeated ids stay
     together in one file, null ids come first) and sorted inside. An empty table gives no blocks."""
@@ -85,23 +86,24 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id
         encode, file_no, first = units(tokenizer_path).encode, TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         ids: list[bytes] = []
-        docs: list[int] = []
+        docs: list[int | None] = []
         sizes: list[int] = []
 
         def block() -> pd.DataFrame:
             nonlocal first
             joined = np.frombuffer(b"".join(ids), "<u4")
-            row = (file_no, first, np.array(docs, "<i8").tobytes(), np.array(sizes, "<i8").tobytes(), len(joined), *pack(joined))
+            known = [d for d in docs if d is not None]  # null ids lead
+            row = (file_no, first, len(docs) - len(known), np.array(known, "<i8").tobytes(), np.array(sizes, "<i8").tobytes(), len(joined), *pack(joined))
             first += len(joined)
             for x in (ids, docs, sizes):
                 x.clear()
-            return pd.DataFrame([row], columns=["file_no", "first_id", "doc_ids", "doc_tokens", "n_ids", "ranked", "control", "data"])
+            return pd.DataFrame([row], columns=[f.split()[0] for f in BLOCKS.split(", ")])
 
         held = 0
         for batch in batches:
             for key, found in zip(batch["d"], encode(strings(batch["t"]))):
                 ids.append(found + end)
-                docs.append(NO_ID if pd.isna(key) else int(key))
+                docs.append(None if pd.isna(key) else int(key))
                 sizes.append(len(found) // 4 + 1)
                 held += sizes[-1]
                 if held >= BLOCK_IDS:
@@ -112,12 +114,11 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id
 
     rows = df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
     ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(ranges, "d").sortWithinPartitions("d")
-    return staged(ordered.mapInPandas(blocks, BLOCKS), "token-files")
-
-
-#: Stands for a null doc_id inside a block.
-NO_ID = -(1 << 63)
+    found = rows.repartitionByRange(ranges, "d").sortWithinPartitions(F.col("d").asc_nulls_first()).mapInPandas(blocks, BLOCKS)
+    if path is None:
+        return staged(found, "token-files")
+    found.write.parquet(path)
+    return df.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def read(files: DataFrame, fields: str, of) -> DataFrame:
@@ -134,9 +135,9 @@ def read(files: DataFrame, fields: str, of) -> DataFrame:
         for batch in batches:
             for b in batch.itertuples(index=False):
                 ids = unpack(b.n_ids, b.ranked, b.control, b.data)
-                keys, n = np.frombuffer(b.doc_ids, "<i8"), np.frombuffer(b.doc_tokens, "<i8")
+                keys, n = [*[None] * b.n_null, *np.frombuffer(b.doc_ids, "<i8").tolist()], np.frombuffer(b.doc_tokens, "<i8")
                 ends = np.cumsum(n)
-                out = pd.DataFrame({"doc_id": keys, "start": b.base + b.first_id + ends - n, "n_tokens": n})
+                out = pd.DataFrame({"doc_id": pd.array(keys, dtype="Int64"), "start": b.base + b.first_id + ends - n, "n_tokens": n})
                 found = [of(k, ids[e - c : e]) for k, e, c in zip(keys, ends, n)]
                 for i, name in enumerate(names):
                     out[name] = [x[i] for x in found]
@@ -144,8 +145,7 @@ def read(files: DataFrame, fields: str, of) -> DataFrame:
 
     placed = files.join(F.broadcast(base), "file_no")
     schema = f"doc_id long, start long, n_tokens long, {fields}"
-    got = placed.mapInPandas(docs, schema)
-    return got.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return placed.mapInPandas(docs, schema)
 
 
 def checksums(files: DataFrame) -> DataFrame:

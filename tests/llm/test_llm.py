@@ -60,7 +60,7 @@ def test_unit_tokens():
         assert np.frombuffer(e, "<u4").tolist() == u.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
-def test_token_files(edge, empty):
+def test_token_files(spark, edge, empty, tmp_path):
     path = P.path("byte_bpe_50k.json")
     t = unit_tokens.units(path).tokenizer
     got = sorted(map(tuple, token_files.checksums(token_files.write(edge, path, 2)).collect()), key=lambda r: r[1])
@@ -72,6 +72,9 @@ def test_token_files(edge, empty):
         assert (at, n, crc) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += n
     assert token_files.checksums(token_files.write(empty, path, 2)).count() == 0
+    odd = ready(spark).createDataFrame([(-(1 << 63), "a"), (None, "b c"), (None, None), ((1 << 63) - 1, "d"), (-(1 << 63), "e")], "doc_id long, text string")
+    kept = token_files.write(odd, path, 2, path=f"file://{tmp_path}/files")
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_files.checksums(kept).collect()) == sorted([(str(-(1 << 63)), 2), (str(-(1 << 63)), 2), ("None", 3), ("None", 1), (str((1 << 63) - 1), 2)])
     rng = np.random.default_rng(0)
     for n, high in itertools.product((0, 1, 3, 4, 5, 999), (2, 300, 50000, 70000, 1 << 22)):
         ids = rng.integers(0, high, n).astype("<u4")
@@ -239,6 +242,23 @@ def test_media(edge, empty):
         kind, rate, _, data = media.parse(r["pcm"])
         assert (kind, rate, len(data)) == (media.PCM, 16000, 4 * len(payload))
     assert media.features(media.store(empty)).count() == 0
+    odd = media.features(stored.select("media").limit(1).unionByName(stored.sparkSession.createDataFrame([(None,), (b"RIFF",), (media.wav(b"", media.MU_LAW),)], "media binary"))).collect()
+    assert [r["payload_bytes"] for r in odd][1:] == [None, None, 0] and odd[1]["feature"] is None and odd[0]["payload_bytes"] > 0
+    assert media.pcm_column(stored.sparkSession.createDataFrame([(None,), (b"RIFF",)], "media binary")).where("pcm is null").count() == 2
+    rng = np.random.default_rng(4)
+    for rate, to in ((8000, 16000), (8000, 11025), (11025, 8000), (16000, 16000)):
+        pcm = rng.integers(-32768, 32768, 101).astype(np.int16)
+        held = [*pcm.tolist(), int(pcm[-1])]
+        if rate == to:
+            want = pcm.tolist()
+        else:
+            want = [(held[k * rate // to] * (to - k * rate % to) + held[k * rate // to + 1] * (k * rate % to)) // to for k in range(len(pcm) * to // rate)]
+        assert media.resample(pcm, rate, to).tolist() == want, (rate, to)
+    raw = bytes(rng.integers(0, 256, 2 * media.BLOCK).astype(np.uint8))
+    [row] = media.features(stored.sparkSession.createDataFrame([(media.wav(raw, media.MU_LAW),)], "media binary")).collect()
+    mu, a = ([int(table[x]) for x in raw] for table in (media.MU, media.A))
+    turns = [sum((x < 0) != (y < 0) for x, y in itertools.pairwise(v)) for v in (mu, a)]
+    assert row["feature"].split()[:2] == [f"mu:{sum(x * x for x in mu)}/{turns[0]}", f"a:{sum(x * x for x in a)}/{turns[1]}"]
     blocks = np.random.default_rng(0).integers(0, 256, (5, 576)).astype(np.uint8)
     for b, got in zip(blocks, media.adpcm(blocks)):
         s, i = int.from_bytes(bytes(b[:2]), "little", signed=True), min(int(b[2]), 88)
