@@ -219,15 +219,14 @@ def fit(docs: DataFrame, labels: DataFrame, columns: list[str], doc_id: str = "d
     return Model(columns, *scale, *learners[2].weights, steps, tuple(float(m) for m in mix), offset)
 
 
-def with_quality(df: DataFrame, model: Model | None, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """df with quality_score (0 to 1) and quality_kept (score >= threshold) of each row.
+def with_quality(df: DataFrame, model: Model | None, threshold: float = 0.5, text: str = "text", out: tuple[str, str] = ("quality_score", "quality_kept")) -> DataFrame:
+    """df with quality_score (0 to 1) and quality_kept (score >= threshold) of each row, under the names in out.
 
     Null texts count as empty, null metadata as a value; very long texts are read whole. Rows with equal text and metadata get
     equal scores, own columns of these two names give way, an empty table gives no rows, and without a model all rows get
     0.5 and are kept."""
-    names = ["quality_score"]
     if model is None:
-        scored = appended(df, F.struct(F.lit(0.5).alias("quality_score")), names)
+        scored = appended(df, F.struct(F.lit(0.5).alias(out[0])), [out[0]])
     else:
 
         @F.pandas_udf("quality_score double")
@@ -237,5 +236,5 @@ def with_quality(df: DataFrame, model: Model | None, threshold: float = 0.5, tex
                 pages = np.array([page_view(v, len(model.columns)) for v in zip(*meta)], dtype=int).reshape(len(texts), -1)
                 yield pd.DataFrame({"quality_score": model.score(x, pages) if len(texts) else []})
 
-        scored = appended(df, score(F.col(text), *page_values(df, model.columns)), names)
-    return appended(scored, F.struct((F.col("quality_score") >= threshold).alias("quality_kept")), ["quality_kept"])
+        scored = appended(df, score(F.col(text), *page_values(df, model.columns)).cast(f"struct<`{out[0]}`:double>"), [out[0]])
+    return appended(scored, F.struct((F.col(out[0]) >= threshold).alias(out[1])), [out[1]])

@@ -334,14 +334,14 @@ def evidence_column(text: Column, model: Model) -> Column:
     return evidence(text)
 
 
-def with_toxicity(df: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """df with score (0 to 1) and predicted (1 if score >= threshold) of each whole text.
+def with_toxicity(df: DataFrame, model: Model, threshold: float = 0.7, text: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """df with score (0 to 1) and predicted (1 if score >= threshold) of each whole text, under the names in out.
 
     Null and empty texts get the score of a text without any unit; very long texts and words are scored whole. Equal texts
-    get equal scores, own columns named score or predicted give way, and an empty table gives no rows."""
+    get equal scores, own columns of these two names give way, and an empty table gives no rows."""
     hold = "_" + uuid.uuid4().hex
     rows = df.withColumn(hold, evidence_column(F.col(text), model))
     z = sum((F.col(hold)[k] * float(w) for k, w in enumerate(model.evidence)), F.lit(float(model.offset)))
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))
-    scored = appended(rows, F.struct(score.alias("score")), ["score"]).drop(hold)
-    return appended(scored, F.struct((F.col("score") >= threshold).cast("int").alias("predicted")), ["predicted"])
+    scored = appended(rows, F.struct(score.alias(out[0])), [out[0]]).drop(hold)
+    return appended(scored, F.struct((F.col(out[0]) >= threshold).cast("int").alias(out[1])), [out[1]])

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import simhash
 from tessera.llm.common import ready
@@ -36,6 +38,7 @@ def test_stages_on_odd_rows(spark):
         kept = out.collect()
         assert len(kept) > 0.5 * len(plain) and {tuple(r) for r in kept} <= set(rows)
         if name == "near_copies":
-            assert len(kept) == simhash.near_duplicates(df).select("component_id").distinct().count()
+            prints = simhash.near_duplicates(df).select(F.col("fingerprint").alias("fp")).distinct()
+            assert len(kept) == simhash.rooted(prints).select("root").distinct().count()
     pieces = corpus_pipeline.STAGES[-1][1](spark, df, folder)
     assert pieces.where("start = 0").count() == len(rows)
