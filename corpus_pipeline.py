@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import packing, quality, simhash, toxicity
@@ -9,16 +11,23 @@ from tessera.llm.common import ready, staged, table
 from tessera.llm.queries import PACK_TOKENS, PAGE_COLUMNS, QUALITY_AT, TOXIC_AT, learnable, path
 
 
+def own_names(n: int) -> list[str]:
+    """Column names that no table has."""
+    return [f"_{uuid.uuid4().hex}" for _ in range(n)]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose toxicity score is below 0.7; the classifier learns from those of them that are labelled."""
     model = toxicity.fit(docs, learnable(spark, sf_dir))
-    return toxicity.with_toxicity(docs, model, TOXIC_AT).where("predicted = 0").select(*docs.columns)
+    score, toxic = own_names(2)
+    return toxicity.with_toxicity(docs, model, TOXIC_AT, out=(score, toxic)).where(f"{toxic} = 0").drop(score, toxic)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose quality score is at least 0.5."""
     model = quality.fit(docs, learnable(spark, sf_dir), PAGE_COLUMNS)
-    return quality.with_quality(docs, model, QUALITY_AT).where("quality_kept").select(*docs.columns)
+    score, kept = own_names(2)
+    return quality.with_quality(docs, model, QUALITY_AT, out=(score, kept)).where(kept).drop(score, kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
