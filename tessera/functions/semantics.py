@@ -53,14 +53,6 @@ def fixed_bin(x, edges: Sequence[float], labels: Sequence[str]) -> Column:
     return out
 
 
-def quantile_bin(df: DataFrame, x: str, q: int, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Bins 1..q by interpolated quantile edges, right-closed, the lowest included; ties share a bin and equal edges merge."""
-    edges = df.groupBy(*by).agg(F.percentile(x, F.array(*[F.lit(i / q) for i in range(1, q)])).alias("_edges"))
-    joined = df.join(F.broadcast(edges), list(by)) if by else df.crossJoin(F.broadcast(edges))
-    below = F.size(F.filter(F.array_distinct("_edges"), lambda e: e < F.col(x)))
-    return joined.withColumn(out, F.when(F.col(x).isNotNull(), (below + 1).cast("long"))).drop("_edges")
-
-
 def row_sum(*xs) -> Column:
     """Nulls count as 0."""
     return reduce(lambda a, b: a + b, [F.coalesce(col(x).cast("double"), F.lit(0.0)) for x in xs])
@@ -121,7 +113,9 @@ def dot(a, b) -> Column:
 
 
 def unit_vector(v, floor: float = 1e-12) -> Column:
-    return F.transform(col(v), lambda x: x.cast("double") / F.greatest(F.sqrt(dot(v, v)), F.lit(floor)))
+    """v by its length; the length is computed once, not for each component."""
+    size = F.greatest(F.sqrt(dot(v, v)), F.lit(floor))
+    return F.element_at(F.transform(F.array(size), lambda n: F.transform(col(v), lambda x: x.cast("double") / n)), 1)
 
 
 def ratio_error(num, num_se, den, den_se, proportion: bool = True) -> Column:

@@ -11,16 +11,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordered import numbered, quantiles
+from tessera.operators.regional import hash_number
 from tessera.operators.statistics import r2, uniform
 
 
 def random_fold(key: str, folds: int = 5, seed: int = 42) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int")
+    return (hash_number(key, seed) % folds).cast("int")
 
 
 def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """(group, n, fold): whole groups, the largest first, to the fold with the fewest rows. One row a group reaches the driver."""
-    sizes = sorted(((r[group], r["n"]) for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (-x[1], x[0]))
+    sizes = sorted(((r[group], r["n"]) for r in df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (-x[1], x[0]))
     load, out = [0] * folds, []
     for g, n in sizes:
         f = load.index(min(load))
@@ -118,34 +120,28 @@ def out_of_fold(df: DataFrame, models: dict[str, Sequence[str]], y: str, fold: s
 def impute(df: DataFrame, columns: Sequence[str], fold: str) -> DataFrame:
     """Medians of the other folds for nulls, and an indicator <column>_missing for each column."""
     folds = [r[0] for r in df.select(fold).distinct().collect()]
-    medians = df.agg(*[F.percentile(F.when(F.col(fold) != f, F.col(c).cast("double")), F.lit(0.5)).alias(f"{c}_{f}") for c in columns for f in folds]).first()
+    others = F.explode(F.filter(F.array(*map(F.lit, folds)), lambda f: f != F.col(fold)))
     made = {}
     for c in columns:
+        counts = df.where(F.col(c).isNotNull()).groupBy(fold, c).agg(F.count(F.lit(1)).alias("_n")).withColumn("_without", others)
+        medians = quantiles(counts, c, [0.5], ["_without"], "_n").collect()
         fill = F.lit(0.0)
-        for f in folds:
-            fill = F.when(F.col(fold) == f, F.lit(medians[f"{c}_{f}"])).otherwise(fill)
+        for r in medians:
+            fill = F.when(F.col(fold) == r["_without"], F.lit(r["q"][0])).otherwise(fill)
         made[c] = F.coalesce(F.col(c).cast("double"), fill)
     return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in columns}).withColumns(made)
 
 
 def shuffled(df: DataFrame, key: str, block: Sequence[str], turn: int) -> DataFrame:
-    """df with a block's rows dealt to other rows: ranks by key meet ranks by a hash. Ranks come from sorted partitions and their sizes, without a window over all rows."""
-    n = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    """df with a block's rows dealt to other rows: what stands at a place of one random order meets what stands at that place of the turn's own."""
+    return shuffles(df, key, block, [turn]).drop("turn")
 
-    def ranked(rows: DataFrame, order: str) -> DataFrame:
-        sorted_rows = rows.repartitionByRange(int(n), order, key).sortWithinPartitions(order, key).withColumn("_m", F.monotonically_increasing_id())
-        part = F.shiftright("_m", 33)
-        sizes = sorted_rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()
-        before, total = {}, 0
-        for r in sorted(sizes, key=lambda r: r["_part"]):
-            before[r["_part"]] = total
-            total += r["_n"]
-        offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), part) if before else F.lit(0)
-        return sorted_rows.withColumn("_i", offset + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
 
-    left = ranked(df.drop(*block).withColumn("_o", F.col(key)), "_o").drop("_o")
-    right = ranked(df.select(key, *block).withColumn("_o", F.xxhash64(key, F.lit(turn))), "_o").select("_i", *block)
-    return left.join(right, "_i").drop("_i")
+def shuffles(df: DataFrame, key: str, block: Sequence[str], turns: Sequence[int]) -> DataFrame:
+    """(turn, ...): df once for each turn, with the block's rows dealt anew; all turns are one join."""
+    left = numbered(df.drop(*block), key, 0)
+    many = df.select(key, *block).withColumn("turn", F.explode(F.array(*map(F.lit, turns))))
+    return left.join(numbered(many, key, 1, ["turn"]).drop(key), "position").drop("position")
 
 
 def gaussian(width: int, key: str, draw: int, prefix: str = "noise") -> dict[str, Column]:
@@ -197,9 +193,11 @@ def kmeans(df: DataFrame, columns: Sequence[str], k: int, seeds: int = 10, out:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(df).cache()
+    plain = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(df)
+    rows = plain.cache()
     best = min((KMeans(k=k, seed=42 + s, featuresCol="_x", predictionCol=out).fit(rows) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).drop("_x")
+    rows.unpersist()
+    return best.transform(plain).drop("_x")
 
 
 def boosted(df: DataFrame, columns: Sequence[str], y: str, fold: str, trees: int = 200, step: float = 0.06, leaf: int = 40) -> DataFrame:
@@ -208,9 +206,11 @@ def boosted(df: DataFrame, columns: Sequence[str], y: str, fold: str, trees: int
     from pyspark.ml.regression import GBTRegressor
 
     filled = df.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(-1e12)) for c in columns}).where(F.col(y).isNotNull())
-    rows = VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="_x").transform(filled).cache()
+    plain = VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="_x").transform(filled)
+    rows = plain.cache()
     model = GBTRegressor(featuresCol="_x", labelCol=y, maxIter=trees, stepSize=step, minInstancesPerNode=leaf, seed=42, predictionCol="predicted")
-    parts = [model.fit(rows.where(F.col(fold) != f)).transform(rows.where(F.col(fold) == f)) for f in sorted(r[0] for r in rows.select(fold).distinct().collect())]
+    parts = [model.fit(rows.where(F.col(fold) != f)).transform(plain.where(F.col(fold) == f)) for f in sorted(r[0] for r in rows.select(fold).distinct().collect())]
+    rows.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -47,9 +47,14 @@ def pivot_sum(df: DataFrame, keys: Sequence[str], column: str, values: Sequence[
 
 
 def pivot_strict(df: DataFrame, keys: Sequence[str], column: str, values: Sequence[str], amount: str, prefix: str = "") -> DataFrame:
-    """One column for each of the fixed values, absent ones null; a second row for a cell raises."""
-    assert_unique(df, *keys, column)
-    return df.groupBy(*keys).agg(*[F.max(F.when(F.col(column) == v, F.col(amount))).alias(f"{prefix}{v}") for v in values])
+    """One column for each of the fixed values, absent ones null. A second row for a cell raises when the result is computed: the
+    same aggregate counts the cell's rows, so no job of its own checks them."""
+    cells = []
+    for v in values:
+        mine = F.col(column) == v
+        many = F.raise_error(F.lit(f"{', '.join(keys)}, {column} isn't unique at {v}"))
+        cells.append(F.when(F.count_if(mine) > 1, many).otherwise(F.max(F.when(mine, F.col(amount)))).alias(f"{prefix}{v}"))
+    return df.groupBy(*keys).agg(*cells)
 
 
 def weighted_mean(value, weight) -> Column:
@@ -113,8 +118,13 @@ def modal(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def keyed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows by a hash of key and seed: the same rows however the table is partitioned."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows by a hash of key and seed that other engines have too: the same rows however the table is partitioned."""
+    return df.orderBy(hash_number(key, seed), key).limit(n)
+
+
+def hash_number(key: str, seed: int) -> Column:
+    """A whole number below 2^32: the first eight hex digits of the MD5 of key, a dash and seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def bh(df: DataFrame, p: str, out: str = "q") -> DataFrame:
@@ -123,9 +133,3 @@ def bh(df: DataFrame, p: str, out: str = "q") -> DataFrame:
     down = Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = df.withColumn("_rank", F.row_number().over(up)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
     return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))).drop("_rank", "_m")
-
-
-def average_rank(x: str, by: Sequence[str] = ()) -> Column:
-    """Ranks from 1, ties by their mean."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(w.partitionBy(*by, x) if by else Window.partitionBy(x)) - 1) / 2.0

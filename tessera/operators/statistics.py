@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import col, ratio
-from tessera.operators.regional import average_rank
+from tessera.operators.ordered import average_ranks, cumulative, numbered
 
 
 def clean(x) -> Column:
@@ -49,14 +49,16 @@ def r2(y: str, predicted: str) -> Column:
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumn("_a", average_rank(x, by)).withColumn("_b", average_rank(y, by))
+    ranked = average_ranks(average_ranks(both, x, "_a", by), y, "_b", by)
     return ranked.groupBy(*by).agg(F.when(F.count(F.lit(1)) > 2, corr("_a", "_b")).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def signed_ranks(df: DataFrame, difference: str) -> DataFrame:
     """(w_plus, n): sum of the average ranks of |difference| over positive ones; zeros are left out."""
     d = df.where(F.col(difference) != 0).withColumn("_a", F.abs(difference))
-    return d.withColumn("_r", average_rank("_a")).agg(F.sum(F.when(F.col(difference) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.count(F.lit(1)).alias("n"))
+    sizes = cumulative(d, "_a", extra=[F.count_if(F.col(difference) > 0).alias("_up")])
+    rank = F.col("below") + (F.col("n") + 1) / 2.0
+    return sizes.agg(F.coalesce(F.sum(F.col("_up") * rank), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def cluster_dependence(df: DataFrame, value: str, cluster: str) -> DataFrame:
@@ -77,12 +79,12 @@ def uniform(*keys) -> Column:
 
 
 def permutation_p(df: DataFrame, key: str, x: str, y: str, rounds: int = 499, seed: int = 42) -> DataFrame:
-    """(r, p): two-sided, (as large or larger + 1) / (rounds + 1). Round k pairs y's order by one hash with x's order by another; rows meet by their rank, so every round is one equi-join partitioned by round."""
+    """(r, p): two-sided, (as large or larger + 1) / (rounds + 1). All rounds are one join: the x at a place of one random order
+    meet the y at that place of the round's own, so y's rows are shuffled once a round, in buckets of bounded size."""
     rows = df.select(key, clean(x).alias("x"), clean(y).alias("y")).where("x is not null and y is not null")
-    turns = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    a = turns.select("k", "x", F.row_number().over(Window.partitionBy("k").orderBy(key)).alias("i"))
-    b = turns.select("k", "y", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(F.col(key), F.col("k"), F.lit(seed)), key)).alias("i"))
-    null = a.join(b, ["k", "i"]).groupBy("k").agg(corr("x", "y").alias("rk"))
+    turns = rows.select(key, "y", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_k"))
+    a, b = numbered(rows.select(key, "x"), key, seed).select("position", "x"), numbered(turns, key, seed, ["_k"]).select("position", "_k", "y")
+    null = a.join(b, "position").groupBy("_k").agg(corr("x", "y").alias("rk"))
     seen = rows.agg(corr("x", "y").alias("r"))
     return null.crossJoin(F.broadcast(seen)).groupBy("r").agg(((F.sum((F.abs("rk") >= F.abs("r") - 1e-12).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 

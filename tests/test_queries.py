@@ -8,7 +8,6 @@ import pytest
 
 from tessera.plans import catalog
 
-SLOW = {"q92_boosted_arm", "q88_placebo"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +29,7 @@ def rows(columns, data):
     return sorted((tuple(value(r[i]) for i in order) for r in data), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, sf_dir, db, name):
     df = catalog.QUERIES[name](spark, sf_dir)
     got = df.collect()

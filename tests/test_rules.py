@@ -10,6 +10,7 @@ from tessera.functions import distributions as D
 from tessera.functions import semantics as S
 from tessera.functions import text as T
 from tessera.operators import models as M
+from tessera.operators import ordered as O
 from tessera.operators import regional as R
 from tessera.operators import sections as X
 from tessera.operators import statistics as ST
@@ -56,14 +57,44 @@ def test_text_rules(spark):
 
 def test_bins_and_ranks(spark):
     df = spark.createDataFrame([(float(x),) for x in (1, 1, 1, 2, 3, 4)], "x double")
-    assert sorted(r["b"] for r in S.quantile_bin(df, "x", 2, "b").collect()) == [1, 1, 1, 2, 2, 2]
-    assert sorted(r["r"] for r in df.select(R.average_rank("x").alias("r")).collect()) == [2, 2, 2, 4, 5, 6]
+    assert sorted(r["b"] for r in O.quantile_bin(df, "x", 2, "b").collect()) == [1, 1, 1, 2, 2, 2]
+    assert sorted(r["r"] for r in O.average_ranks(df, "x", "r").collect()) == [2, 2, 2, 4, 5, 6]
+
+
+def test_order_statistics_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-12, 12, 3000), np.repeat([0.0, -3.5, 7.25], 400), [1e300, -1e300, 1e-300, 2.0**-31]])
+    g = rng.integers(0, 3, len(x))
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x)] + [(0, None), (1, float("nan")), (None, 1.0)], "g int, x double").repartition(6)
+    shares = [0.0, 0.1, 0.5, 0.95, 1.0]
+    got = {r["g"]: r["q"] for r in O.quantiles(df, "x", shares, ["g"]).collect() if r["g"] is not None}
+    for k in range(3):
+        assert np.allclose(got[k], np.quantile(x[g == k], shares), rtol=1e-12)
+    ranks = sorted((r["x"], r["r"]) for r in O.average_ranks(df.where("g = 1"), "x", "r").collect())
+    own = np.sort(x[g == 1])
+    want = (np.searchsorted(own, own, "left") + np.searchsorted(own, own, "right") + 1) / 2
+    assert ranks == list(zip(own.tolist(), want.tolist()))
+    keys = spark.range(5000).withColumn("g", F.col("id") % 2)
+    for _ in range(2):
+        places = O.numbered(keys, "id", 3, ["g"]).groupBy("g").agg(F.count_distinct("position").alias("n"), F.max("position").alias("m")).collect()
+        assert {(r["n"], r["m"]) for r in places} == {(2500, 2499)}
+
+
+def test_shuffles_keep_every_row(spark):
+    df = spark.range(50_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("a"), (F.col("id") % 7).alias("b")).repartition(9)
+    moved = M.shuffles(df, "k", ["a"], [1, 2])
+    for turn in (1, 2):
+        rows = moved.where(F.col("turn") == turn)
+        assert rows.agg(F.count_distinct("k"), F.count_distinct("a"), F.count(F.lit(1)), F.sum("a"), F.count_if(F.col("a") == 2 * F.col("k"))).first()[:4] == (50_000, 50_000, 50_000, 49_999 * 50_000)
+        assert rows.where("a = 2 * k").count() < 20
+    a, b = ({(r["k"], r["a"]) for r in moved.where(f"turn = {t}").limit(10**6).collect()} for t in (1, 2))
+    assert len(a & b) < 20
 
 
 def test_pivot_and_joins(spark):
     df = spark.createDataFrame([(1, "a", 2.0), (1, "a", 3.0)], "k int, c string, v double")
-    with pytest.raises(ValueError):
-        R.pivot_strict(df, ["k"], "c", ["a"], "v")
+    with pytest.raises(Exception, match="isn't unique at a"):
+        R.pivot_strict(df, ["k"], "c", ["a"], "v").collect()
     assert R.pivot_sum(df, ["k"], "c", ["a", "b"], "v").first()[1:] == (5.0, 0.0)
     with pytest.raises(ValueError):
         R.star(df.select("k", "v"), "k", [df.select("k", "v")])
