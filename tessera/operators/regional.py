@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import col, ratio
+from tessera.functions.text import last_part
 
 
 def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
@@ -133,3 +134,30 @@ def bh(df: DataFrame, p: str, out: str = "q") -> DataFrame:
     down = Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = df.withColumn("_rank", F.row_number().over(up)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
     return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))).drop("_rank", "_m")
+
+
+def missing_by_place(df: DataFrame, name: str, value: str) -> DataFrame:
+    """(state, n_missing, city_share, rate) of the rows without a value: by what follows the last comma of their display name, the
+    share of independent cities among them, and their share of all rows."""
+    everyone = df.agg(F.count(F.lit(1)).alias("_all"))
+    gone = df.where(F.col(value).isNull()).groupBy(last_part(name).alias("state"))
+    found = gone.agg(F.count(F.lit(1)).alias("n_missing"), F.avg(F.contains(F.col(name), F.lit(" City,")).cast("int")).alias("city_share"))
+    return found.crossJoin(F.broadcast(everyone)).withColumn("rate", ratio("n_missing", "_all")).drop("_all")
+
+
+def complete(keys: DataFrame, found: DataFrame, columns: Sequence[str], defaults: dict[str, object]) -> DataFrame:
+    """All rows of keys, with defaults where found has none."""
+    return keys.join(found, list(columns), "left").na.fill(defaults)
+
+
+def feature_columns(columns: Sequence[str], identifiers: Sequence[str], size: Sequence[str]) -> list[str]:
+    """A block's feature columns: all but identifiers and size controls."""
+    return [c for c in columns if c not in {*identifiers, *size}]
+
+
+def other_columns(blocks: dict[str, Sequence[str]], without: Sequence[str]) -> list[str]:
+    """The columns of all blocks but the named ones; a column that two blocks share raises."""
+    names = [c for b in blocks.values() for c in b]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns in two blocks: {sorted({c for c in names if names.count(c) > 1})}")
+    return [c for name, b in blocks.items() if name not in without for c in b]

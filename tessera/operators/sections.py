@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.functions.semantics import ratio
 
 
@@ -70,12 +74,59 @@ def conformity(df: DataFrame, unit: str, title: str, modal: float = 0.5, rare: f
     return both.crossJoin(F.broadcast(n_modal)).select(unit, ratio("_in", F.col("_n") + F.col("_modal") - F.col("_in"), 1.0).alias("jaccard"), (F.col("_modal") - F.col("_in")).alias("n_missing"), "n_rare", "mean_rarity")
 
 
-def joined_text(order: str, text: str, sep: str = " ") -> Column:
+def joined_text(order: str, text: str, sep: str = " ", where: Column | None = None) -> Column:
     """An aggregate: texts in order, joined; bounded by the sections of one unit."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda r: r[text]), sep)
+    rows = F.struct(order, text)
+    return F.array_join(F.transform(F.array_sort(F.collect_list(rows if where is None else F.when(where, rows))), lambda r: r[text]), sep)
 
 
 def densities(text: str) -> list[Column]:
     """Aggregates: shares of character classes in a unit's characters, 0 without any."""
     total = F.sum(F.length(text))
     return [ratio(F.sum(F.regexp_count(text, F.lit(p))), total, 0.0).alias(n) for n, p in (("digit_share", "[0-9]"), ("upper_share", "[A-Z]"), ("comma_share", ","), ("stop_share", r"\."))]
+
+
+def title_flags(s: DataFrame, unit: str, title: Column, vocabulary: Sequence[str], prefix: str = "has_title_") -> DataFrame:
+    """One 0/1 column for each title of the vocabulary, by one aggregate; two titles with one slug raise."""
+    slugs: dict[str, str] = {}
+    for v in vocabulary:
+        name = re.sub(r"[^a-z0-9]+", "_", v.lower()).strip("_") or "untitled"
+        if name in slugs:
+            raise ValueError(f"titles {slugs[name]!r} and {v!r} share the column {name!r}")
+        slugs[name] = v
+    return s.groupBy(unit).agg(*[F.max((title == v).cast("double")).alias(prefix + name) for name, v in slugs.items()])
+
+
+def bucket_shares(s: DataFrame, unit: str, bucket: str, amount: str, buckets: Sequence[str], prefix: str = "share_") -> DataFrame:
+    """Each bucket's share of a unit's amount, absent ones 0; a unit without any amount is all of the last bucket."""
+    parts = [F.coalesce(F.sum(F.when(F.col(bucket) == b, F.col(amount))), F.lit(0)).cast("double").alias(f"_{b}") for b in buckets]
+    sums = s.groupBy(unit).agg(*parts)
+    total = sum((F.col(f"_{b}") for b in buckets), F.lit(0.0))
+    return sums.select(unit, *[F.coalesce(ratio(f"_{b}", total), F.lit(float(b == buckets[-1]))).alias(prefix + b) for b in buckets])
+
+
+def bucket_densities(s: DataFrame, unit: str, bucket: str, text: str, buckets: Sequence[str], pattern: str, prefix: str = "density_") -> DataFrame:
+    """How often a pattern occurs for each character of a unit's texts of each bucket; 0 without any character."""
+    mine = lambda b, x: F.sum(F.when(F.col(bucket) == b, x))
+    return s.groupBy(unit).agg(*[ratio(mine(b, F.regexp_count(text, F.lit(pattern))), mine(b, F.length(text)), 0.0).alias(prefix + b) for b in buckets])
+
+
+def section_lexicon(units: DataFrame, s: DataFrame, unit: str, order: str, title: str, text: str, scope: str = "economy", prefix: str = "sec_") -> DataFrame:
+    """For each unit: whether its sections in a scope, joined in order, hold the industries' words, how many do, whether it has
+    such a section, and its number of sections. Units without one get false and 0."""
+    inside = T.in_scope(title, scope)
+    # The texts of one unit's sections are joined, so that a phrase across their border counts.
+    found = s.groupBy(unit).agg(joined_text(order, text, where=inside).alias("_text"), F.max(inside.cast("int")).alias("_has"), F.count(F.lit(1)).alias("_n"))
+    flags = T.flags(F.coalesce("_text", F.lit("")), T.INDUSTRY)
+    out = units.select(unit).join(found, unit, "left").select(unit, *[c.alias(prefix + n) for n, c in flags.items()], (F.coalesce("_has", F.lit(0)) == 1).alias(f"has_{scope}_section"), F.coalesce("_n", F.lit(0)).alias("n_body_sections"))
+    return out.withColumn(f"{prefix}n_industry_mentions", sum((F.col(prefix + n).cast("long") for n in flags), F.lit(0)))
+
+
+def assembled(units: DataFrame, s: DataFrame, unit: str, lead: str, tier: str, order: str, title: str, text: str, scopes: dict[str, str]) -> DataFrame:
+    """(unit, text): a unit's lead, and for the tiers with a scope its sections of that scope in order, joined by spaces."""
+    tiers = units.select(unit, tier)
+    wanted = F.lit(False)
+    for name, scope in scopes.items():
+        wanted = wanted | ((F.col(tier) == name) & T.in_scope(title, scope))
+    more = s.join(tiers, unit).groupBy(unit).agg(joined_text(order, text, where=wanted).alias("_more"))
+    return units.join(more, unit, "left").select(unit, T.squeeze(F.concat_ws(" ", F.coalesce(lead, F.lit("")), F.coalesce("_more", F.lit("")))).alias("text"))

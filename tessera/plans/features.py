@@ -22,27 +22,28 @@ def q37_lexicon_flags(t):
     return t.documents.select("doc_id", *[c.alias(k) for k, c in f.items()], S.row_sum(*[c.cast("int") for c in f.values()]).cast("long").alias("n_flags"))
 
 
-# Counts of the standard lexicons over English texts and page titles, whose word edges both engines see alike.
 STANDARD = T.INDUSTRY | T.INSTITUTION | T.TRANSPORT | T.OTHER_FLAGS
 
 
-@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS {k}" for k, p in STANDARD.items()) + " FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'The mills and a coal mine near National Park, named after X' WHEN 1 THEN 'Port of Y, Highway 5, University of Z, farming' ELSE text END AS text FROM documents WHERE lang = 'en')")
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS {k}" for k, p in STANDARD.items()) + " FROM documents")
 def q38_standard_lexicon(t):
-    m = F.col("doc_id") % 5
-    x = F.when(m == 0, "The mills and a coal mine near National Park, named after X").when(m == 1, "Port of Y, Highway 5, University of Z, farming").otherwise(F.col("text"))
-    d = t.documents.where("lang = 'en'").select("doc_id", x.alias("text"))
-    return d.select("doc_id", *[c.alias(k) for k, c in T.flags("text", STANDARD).items()])
+    return t.documents.select("doc_id", *[c.alias(k) for k, c in T.flags("text", STANDARD).items()])
 
 
-@query("SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_extract_all(text, '(?:^|[^A-Za-z])([A-Z][a-z]{2,})', 1)), lambda x: x NOT IN ('The', 'This', 'For', 'From', 'And'))) AS BIGINT) AS n_names FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+')), lambda x: regexp_full_match(x, '[A-Z][a-z]{2,}') AND x NOT IN (" + ", ".join(f"'{w}'" for w in T.COMMON_NAMES) + "))) AS BIGINT) AS n_names FROM documents")
 def q39_proper_nouns(t):
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("(?:^|[^A-Za-z])([A-Z][a-z]{2,})"), 1))
-    return t.documents.where("lang = 'en'").select("doc_id", F.size(F.array_except(found, F.array(*map(F.lit, ("The", "This", "For", "From", "And"))))).cast("long").alias("n_names"))
+    return t.documents.select("doc_id", T.proper_nouns("text").alias("n_names"))
 
 
-@query("SELECT doc_id, list_min(list_transform(regexp_extract_all(text, '(1[5-9][0-9]{2}|20[0-2][0-9])', 1), lambda x: CAST(x AS INT))) AS first_year FROM documents")
-def q40_first_year(t):
-    return t.documents.select("doc_id", F.array_min(F.transform(F.regexp_extract_all("text", F.lit("(1[5-9][0-9]{2}|20[0-2][0-9])"), 1), lambda y: y.cast("int"))).alias("first_year"))
+FOUNDED = "concat('The town was ', CASE k % 3 WHEN 0 THEN 'founded in ' WHEN 1 THEN 'first incorporated as a city. In ' ELSE 'established by settlers about ' END, 1480 + k % 600, ', and organized in ', 1500 + k % 97)"
+
+
+@query(f"SELECT kind, k, list_min(list_transform(regexp_extract_all(text, '{T.FOUNDING}', 1), lambda x: CAST(x AS INT))) AS founded FROM (SELECT 'document' AS kind, doc_id AS k, text FROM documents UNION ALL SELECT 'customer', k, {FOUNDED} FROM (SELECT c_custkey AS k FROM customer))")
+def q40_founding_year(t):
+    """Of the documents, and of a sentence about each customer."""
+    d = t.documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("k"), "text")
+    c = t.customer.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("k")).withColumn("text", F.expr(FOUNDED))
+    return d.unionByName(c).select("kind", "k", T.founding_year("text").alias("founded"))
 
 
 @query()
@@ -64,19 +65,96 @@ def q43_slug(t):
     return t.pages.select("page_id", T.slug(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("slug"))
 
 
-BUCKETS = {"opening": "^(system)$", "question": "^(user|system)$", "answer": "^(assistant)$"}
+#: A title for each turn of a conversation, which has none: some of every theme, blanks and one that two themes claim.
+TITLES = ["Demographics", " Cities ", "Major highways", "History", "Economy", "Geography", "Education", "Population ranking", "", "Agriculture", "Sights"]
+TITLED = "titled AS (SELECT conv_id, turn, text, [" + ", ".join(f"'{x}'" for x in TITLES) + f"][CAST((conv_id + turn) % {len(TITLES)} + 1 AS INT)] AS title FROM conversations)"
+THEME = "CASE " + " ".join(f"WHEN regexp_matches(lower(trim(title)), '{p}') THEN '{k}'" for k, p in T.TITLES.items()) + " ELSE 'other' END"
+THEMES = [*T.TITLES, "other"]
+
+
+def titled(t):
+    return t.conversations.select("conv_id", "turn", "text", F.get(F.array(*map(F.lit, TITLES)), ((F.col("conv_id") + F.col("turn")) % len(TITLES)).cast("int")).alias("title"))
 
 
-@query("SELECT bucket, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, round(sum(length(text)) / (SELECT sum(length(text)) FROM conversations), 6) AS share FROM (SELECT text, CASE WHEN regexp_matches(role, '^(system)$') THEN 'opening' WHEN regexp_matches(role, '^(user|system)$') THEN 'question' WHEN regexp_matches(role, '^(assistant)$') THEN 'answer' ELSE 'other' END AS bucket FROM conversations) GROUP BY 1")
+@query(f"WITH {TITLED} SELECT bucket, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, round(sum(length(text)) / (SELECT sum(length(text)) FROM conversations), 6) AS share FROM (SELECT text, {THEME} AS bucket FROM titled) GROUP BY 1")
 def q44_title_buckets(t):
-    c = t.conversations.select(T.first_match(T.title("role"), BUCKETS).alias("bucket"), F.length("text").alias("n_chars"))
+    c = titled(t).select(T.title_theme("title").alias("bucket"), F.length("text").alias("n_chars"))
     total = c.agg(F.sum("n_chars").alias("all"))
     return c.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")).crossJoin(F.broadcast(total)).select("bucket", "n", "chars", r6(F.col("chars") / F.col("all")).alias("share"))
 
 
-@query("SELECT doc_id, translate(substr(text, CAST(greatest(p - 20, 1) AS BIGINT), CAST(p - greatest(p - 20, 1) + length(m) + 20 AS BIGINT)), chr(10), ' ') AS snippet FROM (SELECT doc_id, text, regexp_extract(text, '[Ll]icensed? ') AS m, instr(text, regexp_extract(text, '[Ll]icensed? ')) AS p FROM documents WHERE regexp_matches(text, '[Ll]icensed? '))")
+@query(f"WITH {TITLED}, b AS (SELECT conv_id, {THEME} AS bucket, CASE WHEN conv_id % 10 = 0 THEN 0 ELSE length(text) END AS n FROM titled) SELECT conv_id, " + ", ".join(f"round(CASE WHEN sum(n) > 0 THEN coalesce(sum(CASE WHEN bucket = '{b}' THEN n END), 0) / sum(n) ELSE {float(b == 'other')} END, 6) AS share_{b}" for b in THEMES) + " FROM b GROUP BY 1")
+def q98_bucket_shares(t):
+    """Every tenth conversation counts as empty, for the rule on units without any character."""
+    s = titled(t).withColumn("bucket", T.title_theme("title")).withColumn("n", F.when(F.col("conv_id") % 10 == 0, 0).otherwise(F.length("text")))
+    out = X.bucket_shares(s, "conv_id", "bucket", "n", THEMES)
+    return out.select("conv_id", *[r6(f"share_{b}").alias(f"share_{b}") for b in THEMES])
+
+
+@query(f"WITH {TITLED}, b AS (SELECT conv_id, {THEME} AS bucket, text FROM titled) SELECT conv_id, " + ", ".join(f"round(coalesce(sum(CASE WHEN bucket = '{b}' THEN length(text) - length(replace(text, ',', '')) END) / nullif(sum(CASE WHEN bucket = '{b}' THEN length(text) END), 0), 0), 6) AS density_{b}" for b in THEMES) + " FROM b GROUP BY 1")
+def q99_bucket_densities(t):
+    out = X.bucket_densities(titled(t).withColumn("bucket", T.title_theme("title")), "conv_id", "bucket", "text", THEMES, ",")
+    return out.select("conv_id", *[r6(f"density_{b}").alias(f"density_{b}") for b in THEMES])
+
+
+def scope_sql(scope):
+    wanted, unwanted = T.SCOPES[scope]
+    return f"regexp_matches(lower(trim(title)), '{wanted}')" + (f" AND NOT regexp_matches(lower(trim(title)), '{unwanted}')" if unwanted else "")
+
+
+@query(f"WITH {TITLED} " + " UNION ALL ".join(f"SELECT '{s}' AS scope, count(*) AS n, count(DISTINCT conv_id) AS units, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM titled WHERE {scope_sql(s)}" for s in T.SCOPES))
+def q100_scopes(t):
+    """All scopes from one scan: a section counts for each scope that it belongs to."""
+    s = titled(t).withColumn("scope", F.explode(F.filter(F.array(*[F.when(T.in_scope("title", x), x) for x in T.SCOPES]), lambda x: x.isNotNull())))
+    return s.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("units"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query(f"WITH {TITLED}, e AS (SELECT conv_id, coalesce(string_agg(CASE WHEN {scope_sql('economy')} THEN text END, ' ' ORDER BY turn), '') AS text, max(CAST({scope_sql('economy')} AS INT)) = 1 AS has_economy_section, count(*) AS n_body_sections FROM titled GROUP BY 1) SELECT conv_id, has_economy_section, n_body_sections, " + ", ".join(f"regexp_matches(text, '{p}') AS sec_{k}" for k, p in T.INDUSTRY.items()) + ", CAST(" + " + ".join(f"CAST(regexp_matches(text, '{p}') AS INT)" for p in T.INDUSTRY.values()) + " AS BIGINT) AS sec_n_industry_mentions FROM e")
+def q101_section_lexicon(t):
+    s = titled(t)
+    return X.section_lexicon(s.select("conv_id").distinct(), s, "conv_id", "turn", "title", "text")
+
+
+VOCABULARY = f"v AS (SELECT lower(trim(title)) AS title FROM titled GROUP BY 1 HAVING count(DISTINCT conv_id) / (SELECT count(DISTINCT conv_id) FROM titled) > 0.05)"
+
+
+@query(f"WITH {TITLED}, {VOCABULARY} SELECT conv_id, " + ", ".join(f"max(CAST(lower(trim(title)) = '{x.strip().lower()}' AND lower(trim(title)) IN (SELECT title FROM v) AS INT))::DOUBLE AS has_title_{x.strip().lower().replace(' ', '_') or 'untitled'}" for x in TITLES) + " FROM titled GROUP BY 1")
+def q102_title_flags(t):
+    """A column for each title that more than a twentieth of the units have; all of them do here."""
+    s = titled(t).withColumn("title", T.title("title"))
+    common = [r["title"] for r in X.vocabulary(s, "conv_id", "title", 0.05).orderBy(F.desc("n_units"), "title").collect()]
+    return X.title_flags(s, "conv_id", F.col("title"), common)
+
+
+@query(f"WITH {TITLED}, u AS (SELECT conv_id, min(text) AS lead, CASE WHEN count(*) < 3 THEN 'stub' WHEN count(*) < 6 THEN 'mid' ELSE 'rich' END AS tier FROM titled GROUP BY 1), m AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS more FROM titled JOIN u USING (conv_id) WHERE (tier = 'stub' AND {scope_sql('all_sections')}) OR (tier = 'mid' AND {scope_sql('no_narrative')}) GROUP BY 1) SELECT conv_id, md5(regexp_replace(regexp_replace(lead || ' ' || coalesce(more, ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM u LEFT JOIN m USING (conv_id)")
+def q103_text_assembly(t):
+    s = titled(t)
+    n = F.count(F.lit(1))
+    units = s.groupBy("conv_id").agg(F.min("text").alias("lead"), F.when(n < 3, "stub").when(n < 6, "mid").otherwise("rich").alias("tier"))
+    out = X.assembled(units, s, "conv_id", "lead", "tier", "turn", "title", "text", {"stub": "all_sections", "mid": "no_narrative"})
+    return out.select("conv_id", F.md5("text").alias("digest"))
+
+
+PLAIN = "'Benton is a county located in the U.S. state of Oregon. As of the 2020 census, the population was ' || c_custkey || '. Its county seat is ' || c_name || '.'"
+
+
+@query(f"SELECT c_custkey AS k, 'Benton Oregon. the population was ' || c_custkey || '. ' || c_name || '.' AS text FROM customer UNION ALL SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^[\s,;:.]+', ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), '^ | $', '', 'g') FROM documents")
+def q104_boilerplate(t):
+    c = t.customer.select(F.col("c_custkey").alias("k"), F.expr(PLAIN).alias("text"))
+    return c.unionByName(t.documents.select(F.col("doc_id").alias("k"), "text")).select("k", T.without_boilerplate("text").alias("text"))
+
+
+@query("SELECT place AS state, count(*) AS n_missing, round(avg(CAST(city AS INT)), 6) AS city_share, round(count(*) / (SELECT count(*) FROM customer), 6) AS rate FROM (SELECT n_name AS place, c_custkey % 4 = 0 AS city FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0) GROUP BY 1")
+def q105_missing_by_place(t):
+    """Customers whose balance counts as missing, by the state in their display name."""
+    name = F.concat("c_name", F.when(F.col("c_custkey") % 4 == 0, " City").otherwise(" County"), F.lit(", "), "n_name")
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(name.alias("name"), S.non_negative("c_acctbal").alias("value"))
+    return R.missing_by_place(c, "name", "value").withColumns({"city_share": r6("city_share"), "rate": r6("rate")})
+
+
+@query("SELECT *, regexp_matches(snippet, '" + T.PAST_YEAR + "') OR regexp_matches(snippet, '(?i)" + T.PAST_PHRASE + "') AS tells_past FROM (SELECT doc_id, translate(substr(text, CAST(greatest(p - 20, 1) AS BIGINT), CAST(p - greatest(p - 20, 1) + length(m) + 20 AS BIGINT)), chr(10), ' ') AS snippet FROM (SELECT doc_id, text, regexp_extract(text, '[Ll]icensed? ') AS m, instr(text, regexp_extract(text, '[Ll]icensed? ')) AS p FROM documents WHERE regexp_matches(text, '[Ll]icensed? ')))")
 def q45_snippets(t):
-    return t.documents.select("doc_id", T.snippet("text", "[Ll]icensed? ", 20).alias("snippet")).where("snippet is not null")
+    return t.documents.select("doc_id", T.snippet("text", "[Ll]icensed? ", 20).alias("snippet")).where("snippet is not null").withColumn("tells_past", T.tells_past("snippet"))
 
 
 @query("SELECT doc_id, CAST(i AS INT) AS chunk, substr(text, i * 900 + 1, 900) AS text FROM (SELECT doc_id, text, unnest(range(CAST(least(ceil(length(text) / 900.0), 64) AS BIGINT))) AS i FROM documents)")

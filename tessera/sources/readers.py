@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,26 @@ def crosswalk(spark: SparkSession, path: str, states: dict[str, str]) -> DataFra
     return df.where(F.element_at(names, F.col("USPS")).isNotNull()).select(F.concat(suffixed, F.lit(", "), names[F.col("USPS")]).alias("county_name"), zfill("GEOID", 5).alias("fips_code"))
 
 
+def unzipped(spark: SparkSession, path: str, out: str) -> str:
+    """The folder out with the member of each zip file at path as a text file of its own, unpacked by the executors in pieces; later
+    scans can split them. Files with other than one member are an error."""
+    import io
+    import zipfile
+
+    @F.pandas_udf("array<string>")
+    def lines(batches):
+        for batch in batches:
+            found = []
+            for data in batch:
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    [name] = z.namelist()
+                    found.append(z.read(name).decode("latin-1").splitlines())
+            yield pd.Series(found, dtype=object)
+
+    spark.read.format("binaryFile").load(path).select(F.explode(lines("content")).alias("value")).write.mode("overwrite").option("encoding", "ISO-8859-1").text(out)
+    return out
+
+
 def centroids(spark: SparkSession, path: str) -> DataFrame:
     df = text_table(spark, path, ["GEOID", "INTPTLAT", "INTPTLONG"], sep="\t", encoding="ISO-8859-1")
     return df.select(zfill("GEOID", 5).alias("fips_code"), numeric("INTPTLAT").alias("lat"), numeric(F.trim("INTPTLONG")).alias("lon"))
