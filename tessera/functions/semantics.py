@@ -41,6 +41,11 @@ def sentinel(x, *codes) -> Column:
     return F.when(~col(x).isin(*codes), col(x))
 
 
+def three_state(hidden, value) -> Column:
+    """disclosed, suppressed or absent, from a flag and a value: a missing flag means that there is no cell."""
+    return F.when(col(hidden).isNull(), "absent").when(col(hidden), "suppressed").when(col(value).isNotNull(), "disclosed").otherwise("absent")
+
+
 def non_negative(x) -> Column:
     return F.when(col(x) >= 0, col(x))
 

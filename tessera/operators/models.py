@@ -168,9 +168,12 @@ def with_components(df: DataFrame, columns: Sequence[str], k: int, prefix: str =
 
 
 def curvature(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Squares, cubes and products of size columns without what the columns themselves explain, whitened; degenerate directions are dropped."""
-    made = {f"{c}^2": F.col(c) ** 2 for c in columns} | {f"{c}^3": F.col(c) ** 3 for c in columns}
-    made |= {f"{a}*{b}": F.col(a) * F.col(b) for i, a in enumerate(columns) for b in columns[i + 1 :]}
+    """Squares, cubes and products of size columns without what the columns themselves explain, whitened; degenerate directions are
+    dropped. The columns are standardised first, so that none is taken for degenerate for its unit."""
+    about = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    z = {c: (F.col(c) - F.lit(about[f"m_{i}"])) / F.lit(about[f"s_{i}"] or 1.0) for i, c in enumerate(columns)}
+    made = {f"{c}^2": z[c] * z[c] for c in columns} | {f"{c}^3": z[c] * z[c] * z[c] for c in columns}
+    made |= {f"{a}*{b}": z[a] * z[b] for i, a in enumerate(columns) for b in columns[i + 1 :]}
     wide = df.withColumns(made)
     names, k = list(made), len(columns)
     g = gram(wide.withColumn("_one", F.lit(0)), [*columns, *names], "_one").total()

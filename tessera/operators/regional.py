@@ -107,9 +107,9 @@ def velocity(df: DataFrame, unit: str, time: str, value: str, steps: int = 3, ou
     return back.where("_r = 1").select(unit, ((F.col(value) - F.col("_b")) / steps).alias(out), F.col(value).alias(f"{value}_latest"))
 
 
-def best_per_group(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """The first row of each group; the order must end with a unique key."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+def best_per_group(df: DataFrame, keys: Sequence[str], *order: Column, most: int = 1) -> DataFrame:
+    """The first row of each group, or the first few; the order must end with a unique key."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
 
 
 def modal(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -35,6 +35,16 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return df.agg(*parts).select(F.explode(rows).alias("p")).select("p.*")
 
 
+def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n, mean, sd, low, high) of each numeric column, by one aggregate; the deviation of a single row is 0."""
+    parts = []
+    for i, c in enumerate(columns):
+        x = clean(c)
+        parts += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"s{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(n) for k, n in (("n", "n"), ("m", "mean"), ("s", "sd"), ("a", "low"), ("b", "high"))]) for i, c in enumerate(columns)])
+    return df.agg(*parts).select(F.explode(rows).alias("r")).select("r.*")
+
+
 def partial(rxy, rxz, ryz) -> Column:
     """Correlation of x and y given z; 0 where z leaves nothing of one."""
     x, y, z = col(rxy), col(rxz), col(ryz)
@@ -91,7 +101,7 @@ def permutation_p(df: DataFrame, key: str, x: str, y: str, rounds: int = 499, se
 
 def bootstrap(df: DataFrame, key: str, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """(mean, low, high): percentiles 2.5 and 97.5 of means of resampled rows. A row's count in a round is Poisson(1), drawn from its hash, so rounds need no join and no shuffle of rows."""
-    u = uniform(F.col(key), F.col("k"), F.lit(seed))
+    u = uniform(F.col(key), F.col("_k"), F.lit(seed))
     steps, total = [], 0.0
     p = 0.36787944117144233
     for i in range(8):
@@ -99,8 +109,8 @@ def bootstrap(df: DataFrame, key: str, value: str, rounds: int = 1000, seed: int
         steps.append(total)
         p /= i + 1
     n = sum(((u >= s).cast("int") for s in steps), F.lit(0))
-    drawn = df.where(F.col(value).isNotNull()).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", n)
-    means = drawn.groupBy("k").agg(ratio(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
+    drawn = df.where(F.col(value).isNotNull()).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_w", n)
+    means = drawn.groupBy("_k").agg(ratio(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("m"))
     out = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return df.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(out))
 

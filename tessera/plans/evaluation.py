@@ -122,7 +122,7 @@ def q84_flag_check(t):
     return o.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("o_totalprice")).alias("mean")).crossJoin(F.broadcast(r))
 
 
-@query()
+@query("WITH RECURSIVE s AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS i FROM (SELECT c_nationkey AS g, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY 1)), a AS (SELECT 0 AS i, NULL::INT AS g, 0::BIGINT AS n, -1 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS held UNION ALL SELECT i, g, n, fold, list_transform(held, lambda x, j: CASE WHEN j = fold + 1 THEN x + n ELSE x END) FROM (SELECT s.i, s.g, s.n, CAST(list_position(held, list_min(held)) - 1 AS INT) AS fold, held FROM a JOIN s ON s.i = a.i + 1)) SELECT g, n, fold FROM a WHERE i > 0")
 def q85_group_kfold(t):
     return M.group_folds(units(t), "g", 5)
 

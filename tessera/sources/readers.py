@@ -5,7 +5,7 @@ leading zeros survive; schemas are given, so that no inference pass runs and Spa
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +38,7 @@ def unzipped(spark: SparkSession, path: str, out: str) -> str:
     import zipfile
 
     @F.pandas_udf("array<string>")
-    def lines(batches):
+    def lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             found = []
             for data in batch:
@@ -114,6 +114,23 @@ def population(spark: SparkSession, path: str, column: str = "POPESTIMATE2024")
     return df.select(F.concat(zfill("STATE", 2), zfill("COUNTY", 3)).alias("fips_code"), n.alias("population"), floored_log10(n).alias("size"))
 
 
+def artifact(spark: SparkSession, path: str, schema: str, texts: Sequence[str] = ()) -> DataFrame:
+    """A result table that was written as CSV or as JSON lines. CSV knows no empty strings: in the columns named in texts a missing one is empty again."""
+    df = spark.read.schema(schema).json(path) if path.endswith((".json", ".jsonl")) else spark.read.schema(schema).csv(path, header=True)
+    return df.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
+
+
+def panel(keys: DataFrame, blocks: Sequence[DataFrame], places: DataFrame, key: str, needed: Sequence[str]) -> DataFrame:
+    """keys joined with each block (rows without one go) and with places (rows stay); ValueError where a row then lacks a needed column."""
+    for b in blocks:
+        keys = keys.join(b, key)
+    out = keys.join(places, key, "left")
+    gaps = out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in needed]).first().asDict() if needed else {}
+    if any(gaps.values()):
+        raise ValueError(f"rows without {', '.join(c for c, n in gaps.items() if n)}")
+    return out
+
+
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at path, built and written first where it is absent; Spark's success marker decides, so half-written folders count as absent."""
     fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
