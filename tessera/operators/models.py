@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ordered import numbered, quantiles
+from tessera.operators.products import cross_products
 from tessera.operators.regional import hash_number
 from tessera.operators.statistics import r2, uniform
 
@@ -44,18 +45,7 @@ class Gram:
 
 def gram(df: DataFrame, columns: Sequence[str], fold: str) -> Gram:
     """Rows with a null in any column are left out."""
-    full = df.select(F.col(fold).alias("_f"), *[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    vector = F.array(F.lit(1.0), *[F.col(c) for c in columns])
-    k = len(columns) + 1
-    sums = [F.sum(vector[i] * vector[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
-    out = {}
-    for r in full.groupBy("_f").agg(*sums).collect():
-        m = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                m[i, j] = m[j, i] = r[f"s{i}_{j}"]
-        out[r["_f"]] = m
-    return Gram(list(columns), out)
+    return Gram(list(columns), {key[0]: sums for key, sums in cross_products(df, columns, [fold]).sums.items()})
 
 
 def solve(m: np.ndarray, columns: Sequence[str], xs: Sequence[str], y: str, alpha: float = 0.0) -> tuple[float, dict[str, float]]:

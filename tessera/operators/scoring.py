@@ -6,10 +6,9 @@ and a residual is again such a vector. So no model needs another scan, whatever
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,61 +16,9 @@ from tessera.functions import distributions as D
 from tessera.functions.semantics import ratio
 from tessera.operators.models import shuffles
 from tessera.operators.ordered import quantiles
+from tessera.operators.products import Cells, Weights, cross_products
 from tessera.operators.statistics import uniform
 
-#: Up to this many columns the products are column expressions of one aggregate, beyond it products of matrices.
-EXPRESSIONS = 24
-Weights = np.ndarray
-
-
-class Cells:
-    """Sums of products of [1, columns] by cell; a cell's key is a tuple that begins with its fold."""
-
-    def __init__(self, columns: Sequence[str], sums: dict[tuple, np.ndarray]):
-        self.columns, self.sums = list(columns), sums
-        self.at = {c: i + 1 for i, c in enumerate(self.columns)}
-
-    @property
-    def folds(self) -> list:
-        return sorted({k[0] for k in self.sums})
-
-    def total(self, wanted: Callable[[tuple], bool]) -> np.ndarray:
-        size = len(self.columns) + 1
-        return sum((m for k, m in self.sums.items() if wanted(k)), np.zeros((size, size)))
-
-    def unit(self, column: str) -> Weights:
-        w = np.zeros(len(self.columns) + 1)
-        w[self.at[column]] = 1.0
-        return w
-
-
-def cross_products(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> Cells:
-    """Rows with a null in any column or key are left out."""
-    full = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    k = len(columns) + 1
-    sums: dict[tuple, np.ndarray] = {}
-    if len(columns) <= EXPRESSIONS:
-        vector = [F.lit(1.0), *[F.col(c) for c in columns]]
-        for r in full.groupBy(*by).agg(*[F.sum(vector[i] * vector[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]).collect():
-            m = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-            sums[tuple(r[b] for b in by)] = m
-        return Cells(columns, sums)
-
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for key, rows in batch.groupby(list(by), sort=False):
-                v = np.hstack([np.ones((len(rows), 1)), rows[list(columns)].to_numpy(dtype=float)])
-                held[key] = held.get(key, 0.0) + v.T @ v
-        for key, m in held.items():
-            place = np.arange(m.size)
-            yield pd.DataFrame({**{b: [x] * m.size for b, x in zip(by, key)}, "_i": place, "_s": m.reshape(-1)})
-
-    schema = ", ".join(f"{b} {full.schema[b].dataType.simpleString()}" for b in by) + ", _i int, _s double"
-    for r in full.mapInPandas(products, schema).groupBy(*by, "_i").agg(F.sum("_s").alias("s")).collect():
-        sums.setdefault(tuple(r[b] for b in by), np.zeros((k, k))).flat[r["_i"]] = r["s"]
-    return Cells(columns, sums)
-
 
 def ridge(m: np.ndarray, xs: np.ndarray, target: Weights, alpha: float) -> Weights:
     """Weights over [1, columns] of the model of a target (itself such weights) on the design rows xs (each such weights too),

@@ -25,8 +25,9 @@ def q37_lexicon_flags(t):
 STANDARD = T.INDUSTRY | T.INSTITUTION | T.TRANSPORT | T.OTHER_FLAGS
 
 
-@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS {k}" for k, p in STANDARD.items()) + " FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(text, '{p}') AS {k}" for k, p in STANDARD.items()) + " FROM (SELECT doc_id, regexp_replace(text, '[À-ɏ]', '7', 'g') AS text FROM documents)")
 def q38_standard_lexicon(t):
+    """The SQL has word edges at letters outside ASCII only where another word character stands in for them."""
     return t.documents.select("doc_id", *[c.alias(k) for k, c in T.flags("text", STANDARD).items()])
 
 
@@ -138,7 +139,7 @@ def q103_text_assembly(t):
 PLAIN = "'Benton is a county located in the U.S. state of Oregon. As of the 2020 census, the population was ' || c_custkey || '. Its county seat is ' || c_name || '.'"
 
 
-@query(f"SELECT c_custkey AS k, 'Benton Oregon. the population was ' || c_custkey || '. ' || c_name || '.' AS text FROM customer UNION ALL SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^[\s,;:.]+', ''), '[ \t\n\x0B\f\r]+', ' ', 'g'), '^ | $', '', 'g') FROM documents")
+@query("SELECT c_custkey AS k, 'Benton Oregon. the population was ' || c_custkey || '. ' || c_name || '.' AS text FROM customer UNION ALL SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^[\\s,;:.]+', ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '^ | $', '', 'g') FROM documents")
 def q104_boilerplate(t):
     c = t.customer.select(F.col("c_custkey").alias("k"), F.expr(PLAIN).alias("text"))
     return c.unionByName(t.documents.select(F.col("doc_id").alias("k"), "text")).select("k", T.without_boilerplate("text").alias("text"))

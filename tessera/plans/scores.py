@@ -32,8 +32,8 @@ def residual_sql(z: str, alpha: float, keys: str = "") -> str:
     on = f"d.f = p.fold{f' AND d.{keys} = p.{keys}' if keys else ''}"
     return f"""c AS (SELECT f, regr_intercept(y, size) AS a, regr_slope(y, size) AS b FROM p, (SELECT DISTINCT fold AS f FROM p) WHERE fold <> f GROUP BY f),
 r AS (SELECT f, p.*, y - a - b * size AS e FROM p, c WHERE fold <> f),
-d AS (SELECT f{k}, count(*) AS m, avg(e) AS me, avg({z}) AS mz, covar_pop(e, {z}) / (var_pop({z}) * (1 + {alpha} / count(*))) AS s, avg(y) AS my, covar_pop(y, {z}) / (var_pop({z}) * (1 + {alpha} / count(*))) AS t FROM r GROUP BY f{k}),
-o AS (SELECT p.*, a + b * size AS base, a + b * size + CASE WHEN m >= 60 THEN me + s * ({z} - mz) ELSE 0 END AS full_, my + t * ({z} - mz) AS alone FROM p JOIN c ON c.f = p.fold LEFT JOIN d ON {on})"""
+d AS (SELECT f{k}, count(*) AS cnt, avg(e) AS me, avg({z}) AS mz, covar_pop(e, {z}) / (var_pop({z}) * (1 + {alpha} / count(*))) AS s, avg(y) AS my, covar_pop(y, {z}) / (var_pop({z}) * (1 + {alpha} / count(*))) AS t FROM r GROUP BY f{k}),
+o AS (SELECT p.*, a + b * size AS base, a + b * size + CASE WHEN cnt >= 60 THEN me + s * ({z} - mz) ELSE 0 END AS full_, my + t * ({z} - mz) AS alone FROM p JOIN c ON c.f = p.fold LEFT JOIN d ON {on})"""
 
 
 def arm_sql(name: str, z: str) -> str:
@@ -186,7 +186,7 @@ def q120_tier_interactions(t):
     return out.select("k", *[(r6(c) if c.endswith("_n") else F.col(c)).alias(c) for c in names])
 
 
-@query("SELECT vec_id, round(CASE WHEN label IN (1, 2) AND vec_id % 3 <> 0 THEN -embedding[1] ELSE embedding[1] END, 6) AS first FROM embeddings")
+@query("SELECT vec_id, round(CASE WHEN label IN (1, 2) AND vec_id % 3 <> 0 THEN -embedding[1] ELSE embedding[1] END::DOUBLE, 6) AS first FROM embeddings")
 def q121_spliced_vectors(t):
     """Rows of two labels take their vectors from another set, which lacks a third of them."""
     other = t.embeddings.where("vec_id % 3 <> 0").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"))
