@@ -41,7 +41,7 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…"
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Words whose margins a worker keeps; all are dropped beyond it.
-MOST_WORDS = 250_000
+MOST_WORDS = 120_000
 
 
 def units_of(text: str) -> set[str]:

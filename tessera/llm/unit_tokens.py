@@ -23,7 +23,7 @@ HARD = re.compile(r"\s\s|[\x1c-\x1f]")
 #: Commas and stops beside other marks, which one word of the pre-tokenizer may hold together.
 MARKS = re.compile(r"[,.](?<=[\W_][,.])|[,.](?=[^\w\s]|_)")
 #: Cached units in a worker, about 250 bytes each; all are dropped beyond it.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 400_000
 LONGEST_CACHED = 64
 #: Characters of text that are cut into units at a time.
 AT_ONCE = 1_000_000
