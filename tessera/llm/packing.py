@@ -47,13 +47,30 @@ def cut_places(sizes: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray
     return places, cost
 
 
+def power_pairs(places: np.ndarray, capacity: int) -> tuple[list[int], list[int]]:
+    """All pairs of places a power of two apart, up to the capacity, as two lists of their numbers in the order of the later
+    one; a last entry of no place ends the first list."""
+    number = np.full(int(places[-1]) + 1, -1, dtype=np.int32)
+    number[places] = np.arange(len(places), dtype=np.int32)
+    later, earlier = [], []
+    for k in range(capacity.bit_length()):
+        first = int(np.searchsorted(places, 1 << k))
+        found = number[places[first:] - (1 << k)]
+        met = np.flatnonzero(found >= 0)
+        later.append(met + first)
+        earlier.append(found[met])
+    whole = np.concatenate(later)
+    order = np.argsort(whole, kind="stable")
+    return [*whole[order].tolist(), -1], np.concatenate(earlier)[order].tolist()
+
+
 def windows(places: np.ndarray, cost: np.ndarray, capacity: int) -> list[tuple[int, int]]:
     """The (begin, end) of each window of the cheapest cutting. Neighbouring places lie at most capacity apart."""
     at, penalty = places.tolist(), cost.tolist()
     n = len(at)
     best, back = [0] * n, [0] * n
-    index = {p: i for i, p in enumerate(at)}
-    powers = [1 << k for k in range(capacity.bit_length()) if 1 << k <= capacity]
+    later, earlier = power_pairs(places, capacity)
+    pair = 0
     queue: deque[int] = deque([0])
     key = [0] * n
     for j in range(1, n):
@@ -63,9 +80,10 @@ def windows(places: np.ndarray, cost: np.ndarray, capacity: int) -> list[tuple[i
             queue.popleft()
         source = queue[0]
         low = key[source] - least
-        for w in powers:
-            i = index.get(p - w)
-            if i is not None and best[i] < low:
+        while later[pair] == j:
+            i = earlier[pair]
+            pair += 1
+            if best[i] < low:
                 low, source = best[i], i
         low += penalty[j] + WINDOW
         best[j], back[j] = low, source
