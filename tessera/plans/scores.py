@@ -231,17 +231,26 @@ def q125_imputation_trial(t):
     return held.agg(r6(F.avg(F.abs(F.col("lq") - F.col("fallback")))).alias("mae"), r6(ST.corr("lq", "fallback"), 5).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH x AS (SELECT l_extendedprice AS v, l_quantity AS q, l_extendedprice / l_quantity AS p, 1 - l_discount AS d FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 AND l_discount < 1) SELECT count(*) AS n, 1.0 AS quantity, 1.0 AS price, 0.0 AS discount, 1.0 AS r2 FROM x")
+#: Normal equations of three centred predictors, solved by determinants.
+ELASTICITIES = """WITH x AS (SELECT ln(l_extendedprice) AS y, ln(l_quantity) AS a, ln(1 - l_discount) AS b, ln(1 + l_tax) AS c FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 AND l_discount < 1 AND l_tax > -1),
+s AS (SELECT count(*) AS n, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy, var_pop(y) AS yy FROM x),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+w AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS quantity, (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS discount, (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS tax FROM d)
+SELECT n, round(quantity, 6) AS quantity, round(discount, 6) AS discount, round(tax, 6) AS tax, round((quantity * ay + discount * by_ + tax * cy) / yy, 6) AS r2 FROM w"""
+
+
+@query(ELASTICITIES)
 def q126_elasticities(t):
-    """Log value on log quantity, price and discount: value is quantity by price, so the elasticities are known."""
-    x = t.lineitem.where("l_quantity > 0 AND l_extendedprice > 0 AND l_discount < 1").select(F.ln("l_extendedprice").alias("v"), F.ln("l_quantity").alias("quantity"), F.ln(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.ln(1 - F.col("l_discount")).alias("discount")).withColumn("all", F.lit(0))
-    found = C.cross_products(x, ["quantity", "price", "discount", "v"], ["all"])
+    """The elasticity of an order line's value with respect to its quantity, net of its discount and tax; the unit price is the residual."""
+    known = t.lineitem.where("l_quantity > 0 AND l_extendedprice > 0 AND l_discount < 1 AND l_tax > -1")
+    x = known.select(F.ln("l_extendedprice").alias("v"), F.ln("l_quantity").alias("quantity"), F.ln(1 - F.col("l_discount")).alias("discount"), F.ln(1 + F.col("l_tax")).alias("tax")).withColumn("all", F.lit(0))
+    names = ["quantity", "discount", "tax"]
+    found = C.cross_products(x, [*names, "v"], ["all"])
     m, target = found.total(lambda k: True), found.unit("v")
-    w = C.ridge(m, C.designs(found, ["quantity", "price", "discount"]), target, 0.0)
-    n, r2 = int(m[0, 0]), C.r2_of(found, "v", {(0,): w})[1]
-    rows = [(n, *[float(w[found.at[c]]) + 0.0 for c in ("quantity", "price", "discount")], r2)]
-    out = t.spark.createDataFrame(rows, "n long, quantity double, price double, discount double, r2 double")
-    return out.select("n", *[(F.abs(r6(c, 5)) if c == "discount" else r6(c, 5)).alias(c) for c in ("quantity", "price", "discount", "r2")])
+    w = C.ridge(m, C.designs(found, names), target, 0.0)
+    rows = [(int(m[0, 0]), *[float(w[found.at[c]]) for c in names], float(C.r2_of(found, "v", {(0,): w})[1]))]
+    out = t.spark.createDataFrame(rows, "n long, quantity double, discount double, tax double, r2 double")
+    return out.select("n", *[r6(c).alias(c) for c in (*names, "r2")])
 
 
 @query("WITH c AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT label, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM c), m AS (SELECT label, d, avg(x) AS m FROM x GROUP BY 1, 2), s AS (SELECT label, vec_id, sum(x * m) / sqrt(sum(x * x)) / sqrt(sum(m * m)) AS near FROM x JOIN m USING (label, d) GROUP BY 1, 2) SELECT label, vec_id, n, round(near, 6) AS near, round(mean_near, 6) AS mean_near FROM (SELECT *, count(*) OVER (PARTITION BY label) AS n, avg(near) OVER (PARTITION BY label) AS mean_near, row_number() OVER (PARTITION BY label ORDER BY round(near, 9) DESC, vec_id) AS r FROM s) WHERE r <= 5")
