@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, licenses, media, packing, quality, simhash, token_counts, token_files, toxicity, vectors
+from tessera.llm import byte_bpe, cascade, licenses, media, packing, quality, simhash, token_counts, token_files, toxicity, vectors
 from tessera.llm.common import table
 
 PACK_TOKENS, TOXIC_AT, QUALITY_AT = 2048, 0.7, 0.5
@@ -81,6 +81,10 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), least=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_token_files, op5_packing, op6_token_counts, op7_simhash, op8_telephony, op9_quality, op10_vectors)}
+def op11_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.replay(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_token_files, op5_packing, op6_token_counts, op7_simhash, op8_telephony, op9_quality, op10_vectors, op11_cascade)}
 #: SQL for the queries that DuckDB can express; none can, so the tests hold them against brute force, round trips and held-out rows.
 ORACLES: dict[str, str] = {}
