@@ -87,7 +87,7 @@ class Pieces:
                 self.forget()
             lists = pc.split_pattern(pa.array([t for t, p in zip(texts, plain) if p], pa.large_string()), " ")
             coded = lists.flatten().dictionary_encode()
-            words, kept = coded.dictionary.to_pylist(), self.ids.count
+            words, kept = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.ids.count
             missing = sorted((w for w in words if w not in self.number), key=len)
             found = self.model.encode(missing, num_threads=1)
             self.number.update(zip(missing, range(kept, kept + len(missing))))

@@ -106,7 +106,7 @@ class Units:
     def numbers(self, units: pa.Array) -> np.ndarray:
         """The number of each unit in the cache; its library is asked for those that aren't there yet."""
         coded = units.dictionary_encode()
-        texts = coded.dictionary.to_pylist()
+        texts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         missing = [u for u in texts if u not in self.number]
         self.learn([u for u in missing if len(u) <= LONGEST_CACHED])
         self.learn([u for u in missing if len(u) > LONGEST_CACHED])
