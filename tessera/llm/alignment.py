@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import staged, strings
-from tessera.llm.unit_tokens import CACHE_UNITS, Rows, units
+from tessera.llm.unit_tokens import Rows, Units
 
 SPACE = "▁"
 SIDES = 16
@@ -31,7 +31,8 @@ SIDES = 16
 AT_ONCE, PART = 1_500_000, 64
 #: Bits of an id and of a document's place in its batch in the keys that are sorted.
 ID, PLACE = 20, 19
-#: Words longer than this are encoded anew each time.
+#: Words that a worker keeps the ids of, on either side; longer ones are encoded anew each time.
+CACHE_WORDS = 400_000
 LONGEST_CACHED = 64
 BATCHES = "batch long, side int, docs binary, codes binary, runs binary, places binary, times binary"
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -83,7 +84,7 @@ class Pieces:
         plain = [self.apart and "  " not in t and SPACE not in t and not t.startswith(" ") and not t.endswith(" ") and t != "" for t in texts]
         out = [None if p else np.asarray(self.model.encode(t), "<u4") for t, p in zip(texts, plain)]
         if any(plain):
-            if self.ids.count > CACHE_UNITS:
+            if self.ids.count > CACHE_WORDS:
                 self.forget()
             lists = pc.split_pattern(pa.array([t for t, p in zip(texts, plain) if p], pa.large_string()), " ")
             coded = lists.flatten().dictionary_encode()
@@ -106,7 +107,7 @@ class Pieces:
 
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = units(a_path, False), Pieces(b_path)
+        self.a, self.b = Units(a_path, special=False, most=CACHE_WORDS), Pieces(b_path)
         table, t = byte_level(), self.a.tokenizer
         self.bytes = Bytes([bytes(table[c] for c in t.id_to_token(i) or "" if c in table) for i in range(t.get_vocab_size())])
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, byte_bpe, cascade, licenses, media, packing, quality, simhash, token_counts, token_files, toxicity, vectors
+from tessera.llm import alignment, byte_bpe, cascade, licenses, media, packing, quality, secret_scan, simhash, token_counts, token_files, toxicity, vectors
 from tessera.llm.common import table
 
 PACK_TOKENS, TOXIC_AT, QUALITY_AT = 2048, 0.7, 0.5
@@ -89,6 +89,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(texts(spark, sf_dir), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))[0]
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_token_files, op5_packing, op6_token_counts, op7_simhash, op8_telephony, op9_quality, op10_vectors, op11_cascade, op12_alignment)}
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir)
+    return secret_scan.with_findings(docs, secret_scan.fit(docs)).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_token_files, op5_packing, op6_token_counts, op7_simhash, op8_telephony, op9_quality, op10_vectors, op11_cascade, op12_alignment, op13_secrets)}
 #: SQL for the queries that DuckDB can express; none can, so the tests hold them against brute force, round trips and held-out rows.
 ORACLES: dict[str, str] = {}

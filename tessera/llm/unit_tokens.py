@@ -68,14 +68,15 @@ class Rows:
 
 
 class Units:
-    def __init__(self, path: str, special: bool = True):
-        """special: the strings of special tokens inside texts are those tokens, as is the library's default."""
+    def __init__(self, path: str, special: bool = True, most: int = CACHE_UNITS):
+        """special: the strings of special tokens inside texts are those tokens, as is the library's default. most: cached units."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = not special
+        self.most = most
         [self.line_feed] = self.whole("\n")
         self.forget()
 
@@ -129,7 +130,7 @@ class Units:
     def cut_texts(self, marked: list[str]) -> Iterator[np.ndarray]:
         if not marked:
             return
-        if self.ids.count > CACHE_UNITS:
+        if self.ids.count > self.most:
             self.forget()
         lists = pc.split_pattern(pa.array(marked, pa.large_string()), CUT)
         short = self.ids.count
@@ -158,5 +159,5 @@ def marked_units(text: str) -> str | None:
 
 
 @functools.lru_cache(maxsize=2)
-def units(path: str, special: bool = True) -> Units:
-    return Units(path, special)
+def units(path: str) -> Units:
+    return Units(path)
