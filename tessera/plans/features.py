@@ -10,6 +10,7 @@ from tessera.operators import regional as R
 from tessera.operators import sections as X
 from tessera.operators import statistics as ST
 from tessera.plans.registry import query, r6
+from tessera.sources import html as H
 
 # Patterns of words that the test texts have, in ASCII classes only.
 LEXICON = {"has_license": "[Ll]icensed? ", "has_the": "(^|[^A-Za-z])the([^A-Za-z]|$)", "has_mail": "[a-z0-9.]+@[a-z]+", "has_caps": "[A-Z]{4}", "has_bar": "[|]"}
@@ -53,6 +54,27 @@ def q41_introduction_features(t):
     return t.documents.select("doc_id", T.founding_year("text").alias("founded"), T.proper_nouns("text", own).alias("n_names"), F.length(T.without_self("text", own)).alias("n_chars"), *[c.alias(k) for k, c in T.flags("text", T.INSTITUTION | T.TRANSPORT).items()])
 
 
+#: A page's words in two halves, set into an article with nested sections; every third page has none.
+HALVES = "substr(w, 1, length(w) // 2) AS a, substr(w, length(w) // 2 + 1) AS b"
+SQUEEZED = "trim(regexp_replace({}, ' +', ' ', 'g'))"
+
+
+@query(
+    f"WITH x AS (SELECT page_id, trim(regexp_replace(html, '[^A-Za-z0-9]+', ' ', 'g')) AS w FROM pages), p AS (SELECT page_id, {HALVES} FROM x), s AS ("
+    f"SELECT page_id, 0 AS section_id, '' AS section_title, {SQUEEZED.format("CASE page_id % 3 WHEN 0 THEN concat('All ', a, ' Mills ', b) ELSE a END")} AS section_text FROM p "
+    f"UNION ALL SELECT page_id, 1, 'Economy', {SQUEEZED.format("concat('Economy ', a, ' Mills ', page_id, ' ', b, ' end')")} FROM p WHERE page_id % 3 > 0 "
+    f"UNION ALL SELECT page_id, 2, concat('Mills ', page_id), {SQUEEZED.format("concat('Mills ', page_id, ' ', b)")} FROM p WHERE page_id % 3 > 0) SELECT * FROM s WHERE section_text <> ''"
+)
+def q128_nested_sections(t):
+    """Text goes to every section around it with its headings, dropped elements go, and an article without sections is all lead."""
+    x = t.pages.select("page_id", F.trim(F.regexp_replace("html", "[^A-Za-z0-9]+", " ")).alias("w"))
+    half = F.floor(F.length("w") / 2).cast("int")
+    p = x.withColumns({"a": F.substring("w", F.lit(1), half), "b": F.substring("w", half + 1, F.length("w"))})
+    nested = F.concat(F.lit('<section data-mw-section-id="0"><p>'), "a", F.lit("</p><table><tr><td>"), "b", F.lit('</td></tr></table></section><section data-mw-section-id="1"><h2>Economy</h2><p>'), "a", F.lit('</p><section data-mw-section-id="2"><h3>Mills '), F.col("page_id").cast("string"), F.lit("</h3>"), "b", F.lit("<sup>"), "a", F.lit('</sup></section>end</section><section data-mw-section-id="-1">x</section><section data-mw-section-id="3"><h2>See also</h2>'), "b", F.lit("</section>"))
+    flat = F.concat(F.lit("<h2>All</h2><p>"), "a", F.lit("</p>Mills <b>"), "b", F.lit("</b>"))
+    return H.sections(p.select("page_id", F.when(F.col("page_id") % 3 == 0, flat).otherwise(nested).alias("page")), "page_id", "page")
+
+
 TAGS = "regexp_replace(regexp_replace(html, '(?is)<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g')"
 
 

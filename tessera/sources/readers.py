@@ -5,13 +5,13 @@ leading zeros survive; schemas are given, so that no inference pass runs and Spa
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import floored_log10, numeric, zfill
+from tessera.sources.zipped import FILE, zipped_table
 
 
 def text_table(spark: SparkSession, path: str | list[str], columns: Sequence[str] = (), sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
@@ -25,46 +25,52 @@ def text_table(spark: SparkSession, path: str | list[str], columns: Sequence[str
 
 def crosswalk(spark: SparkSession, path: str, states: dict[str, str]) -> DataFrame:
     """(county_name, fips_code) from a tab-separated gazetteer; territories without a state name are left out."""
-    df = text_table(spark, path, ["USPS", "GEOID", "NAME"], sep="\t")
+    columns = ["USPS", "GEOID", "NAME"]
+    df = zipped_table(spark, path, columns, sep="\t") if path.endswith(".zip") else text_table(spark, path, columns, sep="\t")
     names = F.create_map(*[F.lit(x) for kv in states.items() for x in kv])
     suffixed = F.regexp_replace("NAME", " city$", " City")
     return df.where(F.element_at(names, F.col("USPS")).isNotNull()).select(F.concat(suffixed, F.lit(", "), names[F.col("USPS")]).alias("county_name"), zfill("GEOID", 5).alias("fips_code"))
 
 
-def unzipped(spark: SparkSession, path: str, out: str) -> str:
-    """The folder out with the member of each zip file at path as a text file of its own, unpacked by the executors in pieces; later
-    scans can split them. Files with other than one member are an error."""
-    import io
-    import zipfile
-
-    @F.pandas_udf("array<string>")
-    def lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            found = []
-            for data in batch:
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    [name] = z.namelist()
-                    found.append(z.read(name).decode("latin-1").splitlines())
-            yield pd.Series(found, dtype=object)
-
-    spark.read.format("binaryFile").load(path).select(F.explode(lines("content")).alias("value")).write.mode("overwrite").option("encoding", "ISO-8859-1").text(out)
-    return out
-
-
 def centroids(spark: SparkSession, path: str) -> DataFrame:
-    df = text_table(spark, path, ["GEOID", "INTPTLAT", "INTPTLONG"], sep="\t", encoding="ISO-8859-1")
+    columns = ["GEOID", "INTPTLAT", "INTPTLONG"]
+    df = zipped_table(spark, path, columns, sep="\t", encoding="latin-1") if path.endswith(".zip") else text_table(spark, path, columns, sep="\t", encoding="ISO-8859-1")
     return df.select(zfill("GEOID", 5).alias("fips_code"), numeric("INTPTLAT").alias("lat"), numeric(F.trim("INTPTLONG")).alias("lon"))
 
 
-def county_sectors(spark: SparkSession, path: str) -> DataFrame:
-    """Fourth-quarter private rows by sector, and the totals; the filter is pushed into the scan. ValueError where nothing is left."""
-    df = text_table(spark, path, ["area_fips", "industry_code", "agglvl_code", "own_code", "qtr", "disclosure_code"])
+#: Columns of the county sectors that are read.
+SECTOR_COLUMNS = ["area_fips", "industry_code", "agglvl_code", "own_code", "qtr", "disclosure_code"]
+
+
+def county_sectors(spark: SparkSession, path: str, more: Sequence[str] = ()) -> DataFrame:
+    """Fourth-quarter private rows by sector, and the totals; the filter is pushed into the scan. A zip file is inflated as a stream
+    and filtered inside its reader. ValueError where nothing is left."""
+    columns = [*SECTOR_COLUMNS, *more]
+    if path.endswith(".zip"):
+        df = zipped_table(spark, path, columns, "*.csv", only={"qtr": ["4"], "own_code": ["5"], "agglvl_code": ["71", "74"]})
+    else:
+        df = text_table(spark, path, columns)
     kept = df.where("qtr = '4' AND own_code = '5' AND (agglvl_code = '74' OR (agglvl_code = '71' AND industry_code = '10'))")
     if kept.limit(1).count() == 0:
         raise ValueError(f"no county sector rows in {path}")
     return kept
 
 
+#: The tables of a state's zip file of flows, by member.
+FLOW_TABLES = {"county_to_county": "1.County-to-County.csv", "county_to_zone": "2.County-to-FAF.csv", "zone_to_county": "2.FAF-to-County.csv"}
+
+
+def zipped_flows(spark: SparkSession, path: str, columns: dict[str, Sequence[str]]) -> dict[str, DataFrame]:
+    """By table the domestic rows of all states' zip files in a folder: the given columns, tons_2022 as a number, and the state, which
+    is the file's name. A state without one of the tables is a ValueError."""
+    state = F.regexp_extract(FILE, r"([^/]+)\.zip$", 1)
+    return {
+        name: zipped_table(spark, path, [*columns[name], "tons_2022", "trade_type", FILE], member, only={"trade_type": ["1"]}).select(state.alias("state"), *columns[name], numeric("tons_2022").alias("tons_2022"))
+        for name, member in FLOW_TABLES.items()
+        if name in columns
+    }
+
+
 def state_flows(spark: SparkSession, path: str) -> DataFrame:
     """Origin-destination rows of all states' files, the state from the folder name state=XX; domestic trade only."""
     df = text_table(spark, path, ["tons_2022", "trade_type"])

@@ -71,8 +71,7 @@ def test_articles(tmp_path):
 def test_zipped_and_derived(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "g.zip", "w") as z:
         z.writestr("g.txt", "USPS\tGEOID\tNAME\tINTPTLAT\tINTPTLONG \nNM\t35013\tDoña Ana County\t32.3\t -106.8\n".encode("latin-1"))
-    folder = readers.unzipped(spark, f"file://{tmp_path}/g.zip", f"file://{tmp_path}/out")
-    assert [tuple(r) for r in readers.centroids(spark, folder).collect()] == [("35013", 32.3, -106.8)]
+    assert [tuple(r) for r in readers.centroids(spark, f"file://{tmp_path}/g.zip").collect()] == [("35013", 32.3, -106.8)]
     (tmp_path / "s.csv").write_text("model,reference,v\na,,1.5\nb,size,2\n")
     got = readers.artifact(spark, f"file://{tmp_path}/s.csv", "model string, reference string, v double", ["reference"]).collect()
     assert [tuple(r) for r in got] == [("a", "", 1.5), ("b", "size", 2.0)]

@@ -178,9 +178,63 @@ def test_readers_and_sinks(spark, tmp_path):
 
 def test_html_sections(spark):
     page = '<section data-mw-section-id="0">Lead<table><tr><td>t<table>u</table></td></tr></table><sup>[1]</sup> text.</section><section data-mw-section-id="1"><h2>Economy</h2>Mills [[a|b]].<section data-mw-section-id="2"><h3>Coal</h3>Dug.</section></section><section data-mw-section-id="3"><h2>See also</h2>x</section>'
-    df = spark.createDataFrame([("p", page), ("q", None)], "k string, html string")
-    got = [tuple(r) for r in html.sections(df, "k", "html").orderBy("section_id").collect()]
-    assert got == [("p", 0, "", "Lead text."), ("p", 1, "Economy", "Mills b."), ("p", 2, "Coal", "Dug.")]
+    df = spark.createDataFrame([("p", page), ("q", None), ("r", "<h2>All</h2><p>of it<br>here</p><script>no</script>")], "k string, html string")
+    got = [tuple(r) for r in html.sections(df, "k", "html").orderBy("k", "section_id").collect()]
+    assert got == [("p", 0, "", "Lead text."), ("p", 1, "Economy", "Economy Mills b. Coal Dug."), ("p", 2, "Coal", "Coal Dug."), ("r", 0, "", "All of it here")]
+
+
+def test_nested_sections_against_a_tree_walk():
+    import random
+
+    r = random.Random(5)
+
+    def tree(depth):
+        kind = r.choice(["text"] * 4 + ["p", "div", "section", "section", "section", "h2", "h3", "table", "sup", "br"])
+        if depth > 5 or kind == "text":
+            return r.choice(["coal", "a & b", "  ", "\n", "x < y", "[3]", "[[q|steel]]", "See also"])
+        mark = r.choice([None, "0", "-1", "x", *map(str, range(1, 9))]) if kind == "section" else None
+        return kind, mark, [] if kind == "br" else [tree(depth + 1) for _ in range(r.randrange(4))]
+
+    def shown(t):
+        if isinstance(t, str):
+            return t.replace("&", "&amp;").replace("<", "&lt;")
+        kind, mark, inner = t
+        return f"<br>" if kind == "br" else f"<{kind}" + (f' data-mw-section-id="{mark}"' if mark else "") + ">" + "".join(map(shown, inner)) + f"</{kind}>"  # noqa: F541
+
+    def strings(t, drop):
+        """The strings below t; those side by side are one."""
+        out, held = [], ""
+        for x in t[2]:
+            if isinstance(x, str):
+                held += x
+                continue
+            out, held = out + [held] * bool(held), ""
+            if not drop or x[0] not in html.DROPPED:
+                out += strings(x, drop)
+        return out + [held] * bool(held)
+
+    def below(t, kinds):
+        for x in t[2]:
+            if not isinstance(x, str):
+                if x[0] in kinds:
+                    yield x
+                yield from below(x, kinds)
+
+    met = set()
+    for _ in range(400):
+        root = ("body", None, [tree(0) for _ in range(r.randrange(6))])
+        marked = [s for s in below(root, {"section"}) if s[1] is not None and s[1] != "x"]
+        lead = html.clean(strings(next((s for s in marked if s[1] == "0"), root), True))
+        want = [(0, "", lead)] if lead else []
+        for s in marked:
+            heading = next(below(s, html.HEADINGS), None)
+            title = " ".join(x if x.strip() else "\n" if "\n" in x else " " for x in strings(heading, False)).strip() if heading else ""
+            text = html.clean(strings(s, True))
+            if int(s[1]) > 0 and text and title.lower() not in html.SKIPPED_TITLES:
+                want.append((int(s[1]), title, text))
+        assert html.split("<body>" + "".join(map(shown, root[2])) + "</body>") == want
+        met.add(len(want))
+    assert len(met) > 5
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
