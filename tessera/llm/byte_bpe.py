@@ -75,7 +75,11 @@ def with_text_bytes(df: DataFrame, ranks_path: str, pattern: str, ids: str = "to
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256 of each row's whole text, by encode() and decode(). Null: empty text."""
+    """df with n_tokens, ids_sha256 and decoded_sha256 of each row's whole text, by encode() and decode().
+
+    Null and empty texts have no ids, and the digests of nothing. Very long texts are encoded in parts that meet where a match
+    of the pattern must begin, and decoded whole. Repeated rows are encoded each, alike; own columns of these three names give
+    way, others stay; an empty table gives no rows."""
 
     def make():
         enc = encoder(ranks_path, pattern)

@@ -152,7 +152,10 @@ def padded(text: str, unit: int = BLOCK) -> tuple[int, bytes]:
 
 
 def store(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """df with n_bytes and a mu-law container whose samples are the text's UTF-8 bytes, padded by 255 to a positive multiple of 576. Null counts as empty."""
+    """df with n_bytes and a mu-law container whose samples are the text's UTF-8 bytes, padded by 255 to a positive multiple of 576.
+
+    Null and empty texts are one padded stretch. A very long text is one container of its length. Repeated rows are stored
+    each, alike; own columns of the two new names give way; an empty table gives no rows."""
 
     @F.pandas_udf("n_bytes long, media binary")
     def build(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

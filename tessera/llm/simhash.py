@@ -127,7 +127,8 @@ def near_duplicates(df: DataFrame, bits: int = 4, words_in_shingle: int = 4, doc
 
     Texts without words (null, empty, white space) have fingerprint zero and are linked like any other. Rows with a repeated
     doc_id keep their own fingerprints and components. Rows whose doc_id is null are linked but never name a component.
-    Columns other than the two named aren't read. An empty table gives no rows."""
+    Columns other than the two named aren't read, whatever their names. A very long text is hashed whole, in memory that grows
+    with its length. An empty table gives no rows."""
     prints = staged(df.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint_column(F.col(text), words_in_shingle).alias("fp")), "fingerprints")
     named = staged(rooted(staged(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes"), bits), "roots")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -26,9 +26,9 @@ from tessera.llm.common import appended, strings
 SPACE = "▁"
 #: Characters of a chunk.
 CHUNK = 1 << 14
-#: States that a worker keeps, about 600 bytes each with their steps; beyond it they are compiled anew, between batches.
-MOST_STATES = 300_000
-#: Characters of texts that are scanned together; a longer text alone.
+#: States and pairs of pieces that a worker keeps, about 600 bytes each with their steps; beyond it they are compiled anew.
+MOST_STATES = 400_000
+#: Characters that are scanned together: of several texts, or of one stretch of a longer text.
 AT_ONCE = 1 << 21
 
 
@@ -170,13 +170,13 @@ class Transducer:
                 return Map(Text(chunk[:k]), n, state)
         return Map(Text(chunk), 0, None)
 
-    def scan(self, maps: list[Map]) -> list[tuple[State, int]]:
+    def scan(self, maps: list[Map], start: State | None = None) -> list[tuple[State, int]]:
         """The state and the tokens so far after each map, from the start on, in a logarithmic number of rounds; what a round does to its maps doesn't depend on each other."""
         rounds = [maps]
         while len(rounds[-1]) > 1:
             now = rounds[-1]
             rounds.append([now[i].then(now[i + 1]) if i + 1 < len(now) else now[i] for i in range(0, len(now), 2)])
-        entered = [(self.start, 0)]
+        entered = [(start or self.start, 0)]
         for now in reversed(rounds[:-1]):
             below = []
             for i, (state, n) in enumerate(entered):
@@ -193,11 +193,12 @@ class Transducer:
 
     def counts(self, texts: list[str], chunk: int = CHUNK) -> list[int]:
         """Tokens of each whole text, as the library counts them; the empty text has none."""
-        if len(self.states) > MOST_STATES:
-            self.reset()
-        maps, ends = [], []
-        for text in texts:
-            if text:
+        self.forget()
+        maps, ends, long = [], [], {}
+        for i, text in enumerate(texts):
+            if len(text) > AT_ONCE:
+                long[i] = self.count_long(self.prefix + text.replace(" ", SPACE), chunk)
+            elif text:
                 text = self.prefix + text.replace(" ", SPACE)
                 # The first chunk of a text is entered in no other state than the start.
                 state, n = run(self.start, text[:chunk])
@@ -205,7 +206,23 @@ class Transducer:
                 maps += [self.map(text[i : i + chunk]) for i in range(chunk, len(text), chunk)]
             ends.append(len(maps))
         so_far = [0, *(n for _, n in self.scan(maps))]
-        return [so_far[b] - so_far[a] for a, b in zip([0, *ends], ends)]
+        return [long.get(i, so_far[b] - so_far[a]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
+
+    def forget(self, state: State | None = None) -> State | None:
+        """Begin anew where too much is kept; only the given state is kept then."""
+        if len(self.states) + len(self.pairs) > MOST_STATES:
+            self.reset()
+            return state and self.state(state.open, state.before)
+        return state
+
+    def count_long(self, text: str, chunk: int) -> int:
+        """A text beyond AT_ONCE by stretches, each scanned from the state that the one before ends in, in bounded memory."""
+        state, total = self.start, 0
+        for at in range(0, len(text), AT_ONCE):
+            part = text[at : at + AT_ONCE]
+            state, n = self.scan([self.map(part[i : i + chunk]) for i in range(0, len(part), chunk)], state)[-1]
+            state, total = self.forget(state), total + n
+        return total
 
 
 @functools.lru_cache(maxsize=2)

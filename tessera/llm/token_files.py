@@ -75,12 +75,14 @@ def unpack(n: int, ranked: bytes, control: bytes, data: bytes) -> np.ndarray:
     return np.frombuffer(ranked, "<u4")[codes]
 
 
-def write(df: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+def write(df: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", path: str | None = None, ranges: int | None = None) -> DataFrame:
     """The blocks of all documents, written to path and read back as a table; files follow one another by file_no, ids inside by
     first_id. Without a path they lie in the shared folder until the driver ends.
 
     Null texts count as empty; each document ends with end_id. Rows are dealt by ranges of doc_id (repeated ids stay
-    together in one file, null ids come first) and sorted inside. An empty table gives no blocks."""
+    together in one file, null ids come first) and sorted inside. A very long text is a block of its own length. Columns other
+    than the two named aren't read. An empty table gives no blocks. ranges: how many files, by default one for each partition
+    of the input, so that a file has about what a task reads."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, file_no, first = units(tokenizer_path).encode, TaskContext.get().partitionId(), 0
@@ -113,7 +115,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_id
             yield block()
 
     rows = df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
-    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or max(1, rows.rdd.getNumPartitions())
     found = rows.repartitionByRange(ranges, "d").sortWithinPartitions(F.col("d").asc_nulls_first()).mapInPandas(blocks, BLOCKS)
     if path is None:
         return staged(found, "token-files")

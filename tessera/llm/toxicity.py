@@ -8,15 +8,16 @@ with none inside, and runs of single characters joined.
 Training: a sentence of a labelled document carries the document's label; a sentence that clean documents hold too is
 clean. Every unit is a training row, as often as it stands in toxic sentences with label 1 and as often as it stands in
 clean ones with label -1, and a linear SVM on Nyström features decides. Where most of a kernel's values are near zero
-nothing can be learnt, so the machine looks only near a few gates, units that are many times more frequent in toxic
+nothing can be learnt, so the machine looks only near some gates, units that are many times more frequent in toxic
 sentences: a unit further than NEAR from all gates is no evidence. Landmarks are the units inside that cover the toxic and
 the clean rows best; their features are whitened by the landmarks' own kernel.
 
 A text is scored by how many of its units reach each of a few margins, in a logistic fit to the labelled documents.
 
-What is bounded: SAMPLE documents of each class, GATES and LANDMARKS, the most frequent first. A unit that no
-LEAST_SENTENCES different toxic sentences hold, or that isn't LEAST_RATIO times as frequent there, opens no gate; rarer
-insults are found only by their nearness to others. A word of one or two characters is near to itself alone."""
+There are as many gates as it takes to cover all units that are LEAST_RATIO times as frequent in toxic sentences, and that by
+more than chance explains among so many units: by a likelihood ratio whose logarithm is that of the units' number. Rarer
+insults are found by their nearness to others alone. What is bounded: SAMPLE documents of each class, and the LANDMARKS, the
+rank of the approximation. A word of one or two characters is near to itself alone; an insult of two words is not a unit."""
 
 from __future__ import annotations
 
@@ -220,9 +221,11 @@ def svm(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, rounds: int = 100)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights, none negative, and offset by penalised Newton steps; targets are softened as Platt proposes."""
+    """Weights, none negative, and offset by penalised Newton steps; both classes weigh the same, whatever their shares among the
+    labelled documents, and targets are softened as Platt proposes."""
     pos, neg = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    heavy = np.where(y == 1, neg / max(pos, 1), 1.0)
     full = np.hstack([x, np.ones((len(x), 1))])
     use = np.ones(full.shape[1], dtype=bool)
     while True:
@@ -230,8 +233,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         v[-1] = np.log((pos + 1) / (neg + 1))
         for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(part @ v, -30, 30)))
-            h = part.T @ (part * np.maximum(p * (1 - p), 1e-6)[:, None]) + 1e-2 * np.eye(len(v))
-            d = np.linalg.solve(h, part.T @ (p - t) + 1e-2 * v)
+            h = part.T @ (part * (heavy * np.maximum(p * (1 - p), 1e-6))[:, None]) + 1e-2 * np.eye(len(v))
+            d = np.linalg.solve(h, part.T @ (heavy * (p - t)) + 1e-2 * v)
             v -= d * min(1.0, 5 / max(np.abs(d).max(), 1e-9))
             if np.abs(d).max() < 1e-8:
                 break
@@ -242,17 +245,17 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         use[:-1] &= out[:-1] > 0
 
 
-#: Labelled documents of each class that training reads at most, gates, and landmarks that cover the toxic and the clean rows.
-SAMPLE, GATES, LANDMARKS = 2000, 24, (80, 160)
-#: Different toxic sentences that a gate must occur in, and how much more frequent it must be there than in clean ones.
-LEAST_SENTENCES, LEAST_RATIO = 3, 12
+#: Labelled documents of each class that training reads at most, and the rank of the features: landmarks that cover the toxic and the clean rows.
+SAMPLE, LANDMARKS = 2000, (80, 160)
+#: How much more frequent a gate must be in toxic sentences than in clean ones.
+LEAST_RATIO = 12
 #: Marks that come this near to a gate need none of their own.
 COVERED = 0.4
 #: Cost of all toxic rows together, and how much more all clean ones cost.
 COST, CLEAN_COST = 5000.0, 8.0
 
 
-def cover(words: list[str], weight: np.ndarray, most: int, enough: float = 1.0) -> list[str]:
+def cover(words: list[str], weight: np.ndarray, most: float, enough: float = 1.0) -> list[str]:
     """The heaviest word, then always the one with the most weight that those before leave uncovered; without those covered enough."""
     out, near = [], np.zeros(len(words))
     while len(out) < most:
@@ -266,7 +269,7 @@ def cover(words: list[str], weight: np.ndarray, most: int, enough: float = 1.0)
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from at most SAMPLE labelled documents of each class, taken by a hash of their id. Null labels and texts are
-    left out. Without both classes, or without units that open a gate, every text gets the toxic share (0.5 without labels)."""
+    left out; of several texts of one id that with the smallest hash is read. Without both classes, or without units that open a gate, every text gets the toxic share (0.5 without labels)."""
     own = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct()
     picked = own.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).unionByName(own.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(SAMPLE))
     shares = dict(own.groupBy("y").count().collect())
@@ -279,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pd.Series([sorted({p for u in units_of(t) for p in windows(u)}) for t in strings(batch)])
 
     read = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where("t is not null")
-    sample = staged(read.join(F.broadcast(picked), "id"), "toxicity-sample")
+    sample = staged(read.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")), "toxicity-sample")
     parts = sample.select("y", F.explode(F.split("t", SENTENCE.pattern)).alias("s")).groupBy("s").agg(F.min("y").alias("y"))
     held = staged(parts.select("y", sentence_units("s").alias("units")), "toxicity-units")
     totals = dict(held.groupBy("y").count().collect())
@@ -287,8 +290,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return flat
     by_unit = staged(held.select("y", F.explode("units").alias("unit")).groupBy("unit").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")), "toxicity-counts")
     ratio = F.col("toxic") / totals[1] / ((F.col("clean") + 0.5) / totals[0])
-    marks = by_unit.where((F.col("toxic") >= LEAST_SENTENCES) & (ratio >= LEAST_RATIO)).select("unit", "toxic").orderBy("unit").toPandas()
-    gates = cover(marks["unit"].to_list(), marks["toxic"].to_numpy(dtype=float), GATES, COVERED)
+    n, share = F.col("toxic") + F.col("clean"), totals[1] / (totals[0] + totals[1])
+    log = lambda k, q: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (n * q))).otherwise(0.0)
+    surprise = log("toxic", share) + log("clean", 1 - share)
+    marks = by_unit.where((ratio >= LEAST_RATIO) & (surprise >= float(np.log(by_unit.count() + 1)))).select("unit", "toxic").orderBy("unit").toPandas()
+    gates = cover(marks["unit"].to_list(), marks["toxic"].to_numpy(dtype=float), np.inf, COVERED)
     if not gates:
         return flat
 

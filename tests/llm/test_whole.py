@@ -134,15 +134,3 @@ def test_seeds_without_enough_words_around():
         t = next(t for t in known if t.name == name)
         words = licenses.words_of(noisy)
         assert len(t.spots(words, len(t.words) // 4 + 2)) < 5 * len(t.words)
-
-
-def test_components_of_whole_vectors(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
-    x = np.array([r["embedding"] for r in rows], dtype=float)
-    assert x.shape[1] == 64
-    x -= x.mean(axis=0)
-    want = x @ np.linalg.svd(x, full_matrices=False)[2][:2].T
-    got = {r["vec_id"]: (r["pc1"], r["pc2"]) for r in catalog.QUERIES["q90_pca_scores"](spark, sf_dir).collect()}
-    have = np.array([got[r["vec_id"]] for r in rows])
-    for k in range(2):
-        assert min(np.abs(have[:, k] - want[:, k]).max(), np.abs(have[:, k] + want[:, k]).max()) < 1e-4
