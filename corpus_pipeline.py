@@ -17,26 +17,38 @@ def own_names(n: int) -> list[str]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose toxicity score is below 0.7; the classifier learns from those of them that are labelled."""
+    """The documents whose toxicity score is below 0.7; the classifier learns from those of them that are labelled.
+
+    Null and empty texts score as texts without any word, very long ones by all their words; repeated rows are judged each,
+    alike; rows with a null id stay unless their text is toxic; other columns, whatever their names, stay as they are; an empty table stays empty."""
     model = toxicity.fit(docs, learnable(spark, sf_dir))
     score, toxic = own_names(2)
     return toxicity.with_toxicity(docs, model, TOXIC_AT, out=(score, toxic)).where(f"{toxic} = 0").drop(score, toxic)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose quality score is at least 0.5."""
+    """The documents whose quality score is at least 0.5; null texts count as empty and null columns as a value of their own.
+
+    Very long texts are read whole; repeated rows are judged each, alike; rows with a null id are judged like the others; other
+    columns stay as they are; an empty table stays empty."""
     model = quality.fit(docs, learnable(spark, sf_dir), PAGE_COLUMNS)
     score, kept = own_names(2)
     return quality.with_quality(docs, model, QUALITY_AT, out=(score, kept)).where(kept).drop(score, kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one row: that with the smallest doc_id; rows without an id give way to those with one."""
+    """Of each group of near copies one row: that with the smallest doc_id; rows without an id give way to those with one.
+
+    Texts without words (null, empty) are copies of each other, and so are repeated rows; very long texts are compared by the
+    fingerprint of all their words; other columns stay as they are; an empty table stays empty."""
     return simhash.one_of_each(docs, bits=4, words_in_shingle=4)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
+    """The pieces of all documents in sequences of at most 2048 tokens.
+
+    Null and empty texts are their end id alone; a very long text spans sequences; repeated rows are packed each; rows with a
+    null id are packed with that id; other columns aren't read; an empty table gives no pieces."""
     return packing.pack(docs, path("byte_bpe_50k.json"), end_id=1, capacity=PACK_TOKENS)
 
 
