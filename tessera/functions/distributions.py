@@ -70,18 +70,23 @@ def n_for_power(dz: float, power: float, alpha: float = 0.05, most: int = 2000)
     return max(hi, 3)
 
 
-def signed_rank_p(w: float, n: int) -> float:
-    """Two-sided p of a signed-rank sum without ties or zeros: exact up to 50 pairs, normal beyond."""
+def signed_rank_z(w: float, n: int, tie_sum: float = 0.0) -> float:
+    """How many deviations a signed-rank sum lies from its mean; ties of t equal differences give t^3 - t each to tie_sum."""
+    spread = n * (n + 1) * (2 * n + 1) / 24 - tie_sum / 48
+    return (w - n * (n + 1) / 4) / math.sqrt(spread) if spread > 0 else 0.0
+
+
+def signed_rank_p(w: float, n: int, ranks: list[float] | None = None, tie_sum: float = 0.0) -> float:
+    """Two-sided p of a signed-rank sum without zeros. With the ranks (1..n if there are no ties), which may be halves, it is exact: the
+    share of all choices of signs that reach as far; beyond 50 pairs, or without ranks where there are ties, it is normal."""
     if n == 0:
         return 1.0
-    if n > 50:
-        z = (w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-        return min(1.0, 2 * normal_cdf(-abs(z)))
-    ways = np.zeros(n * (n + 1) // 2 + 1)
+    if n > 50 or (ranks is None and tie_sum):
+        return min(1.0, 2 * normal_cdf(-abs(signed_rank_z(w, n, tie_sum))))
+    doubled = [round(2 * r) for r in (ranks if ranks is not None else range(1, n + 1))]
+    ways = np.zeros(sum(doubled) + 1)
     ways[0] = 1
-    for k in range(1, n + 1):
-        ways[k:] = ways[k:] + np.concatenate((np.zeros(0), ways[:-k].copy()))
-    share = np.cumsum(ways) / ways.sum()
-    low = share[int(math.floor(w))]
-    high = 1 - (share[int(math.ceil(w)) - 1] if w > 0 else 0)
-    return float(min(1.0, 2 * min(low, high)))
+    for k in doubled:
+        ways[k:] = ways[k:] + np.concatenate((np.zeros(0), ways[: len(ways) - k].copy()))
+    share, at = np.cumsum(ways) / ways.sum(), round(2 * w)
+    return float(min(1.0, 2 * min(share[at], 1 - (share[at - 1] if at else 0))))

@@ -1,17 +1,14 @@
-"""Linear scoring from cross-product sums: one scan gathers X'X by fold, and every model of every fold is a small solve of its parts.
-
-The sums' size is the square of the number of columns times the folds, whatever the number of rows."""
+"""What models are made of: folds, shuffles and noise by hashes, components and curvature from sums of products, clusters and trees."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ordered import numbered, quantiles
+from tessera.operators.ordered import numbered
 from tessera.operators.products import cross_products
 from tessera.operators.regional import hash_number
 from tessera.operators.statistics import r2, uniform
@@ -32,96 +29,6 @@ def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     return df.sparkSession.createDataFrame(out, f"{group} {df.schema[group].dataType.simpleString()}, n long, fold int")
 
 
-@dataclass
-class Gram:
-    """Sums of products of [1, columns] by fold."""
-
-    columns: list[str]
-    by_fold: dict[int, np.ndarray]
-
-    def total(self, without: int | None = None) -> np.ndarray:
-        return sum(m for f, m in self.by_fold.items() if f != without)
-
-
-def gram(df: DataFrame, columns: Sequence[str], fold: str) -> Gram:
-    """Rows with a null in any column are left out."""
-    return Gram(list(columns), {key[0]: sums for key, sums in cross_products(df, columns, [fold]).sums.items()})
-
-
-def solve(m: np.ndarray, columns: Sequence[str], xs: Sequence[str], y: str, alpha: float = 0.0) -> tuple[float, dict[str, float]]:
-    """Intercept and coefficients of y on xs, with an unnormalised penalty on standardised columns; constant columns get 0."""
-    at = {c: i + 1 for i, c in enumerate(columns)}
-    ix, iy, n = [at[c] for c in xs], at[y], m[0, 0]
-    mean, my = m[0, ix] / n, m[0, iy] / n
-    c = m[np.ix_(ix, ix)] / n - np.outer(mean, mean)
-    cy = m[ix, iy] / n - mean * my
-    sd = np.sqrt(np.maximum(np.diag(c), 0))
-    use = sd > 1e-12 * np.maximum(1, np.abs(mean))
-    beta = np.zeros(len(ix))
-    if use.any():
-        z = c[np.ix_(use, use)] / np.outer(sd[use], sd[use]) + alpha / n * np.eye(use.sum())
-        beta[use] = np.linalg.lstsq(z, cy[use] / sd[use], rcond=None)[0] / sd[use]
-    return float(my - mean @ beta), dict(zip(xs, beta.tolist()))
-
-
-def prediction(fits: dict[int, tuple[float, dict[str, float]]], fold: str) -> Column:
-    """The out-of-fold prediction as one expression: each fold's rows by the model fitted without them."""
-    out = F.lit(None).cast("double")
-    for f, (a, b) in fits.items():
-        out = F.when(F.col(fold) == f, sum((F.col(c) * w for c, w in b.items()), F.lit(a))).otherwise(out)
-    return out
-
-
-def inner_alpha(g: Gram, without: int, xs: Sequence[str], y: str, alphas: Sequence[float]) -> float:
-    """The penalty with the least squared error over the training folds, each predicted from the others, all from the same sums."""
-    best, least = alphas[0], np.inf
-    at = [0] + [g.columns.index(c) + 1 for c in xs]
-    iy = g.columns.index(y) + 1
-    for alpha in alphas:
-        error = 0.0
-        for f, m in g.by_fold.items():
-            if f == without:
-                continue
-            rest = [o for o in g.by_fold if o not in (f, without)]
-            if not rest:
-                continue
-            a, b = solve(sum(g.by_fold[o] for o in rest), g.columns, xs, y, alpha)
-            w = np.array([a, *b.values()])
-            error += m[iy, iy] - 2 * w @ m[at, iy] + w @ m[np.ix_(at, at)] @ w
-        if error < least - 1e-9:
-            best, least = alpha, error
-    return best
-
-
-def out_of_fold(df: DataFrame, models: dict[str, Sequence[str]], y: str, fold: str, alphas: Sequence[float] = (0.0,)) -> DataFrame:
-    """(model, n, r2) of each named column list, all from one gram and one scoring scan."""
-    columns = sorted({c for xs in models.values() for c in xs} - {y})
-    g = gram(df, [*columns, y], fold)
-    full = df.select(F.col(fold), *[F.col(c).cast("double").alias(c) for c in [*columns, y]]).na.drop()
-    made = {}
-    for name, xs in models.items():
-        fits = {f: solve(g.total(f), g.columns, list(xs), y, inner_alpha(g, f, xs, y, alphas) if len(alphas) > 1 else alphas[0]) for f in g.by_fold}
-        made[f"_p_{name}"] = prediction(fits, fold)
-    scored = full.withColumns(made).agg(F.count(F.lit(1)).alias("n"), *[r2(y, p).alias(p) for p in made])
-    rows = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_p_{n}").alias("r2")) for n in models])
-    return scored.select("n", F.explode(rows).alias("m")).select("m.model", "n", "m.r2")
-
-
-def impute(df: DataFrame, columns: Sequence[str], fold: str) -> DataFrame:
-    """Medians of the other folds for nulls, and an indicator <column>_missing for each column."""
-    folds = [r[0] for r in df.select(fold).distinct().collect()]
-    others = F.explode(F.filter(F.array(*map(F.lit, folds)), lambda f: f != F.col(fold)))
-    made = {}
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(fold, c).agg(F.count(F.lit(1)).alias("_n")).withColumn("_without", others)
-        medians = quantiles(counts, c, [0.5], ["_without"], "_n").collect()
-        fill = F.lit(0.0)
-        for r in medians:
-            fill = F.when(F.col(fold) == r["_without"], F.lit(r["q"][0])).otherwise(fill)
-        made[c] = F.coalesce(F.col(c).cast("double"), fill)
-    return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in columns}).withColumns(made)
-
-
 def shuffled(df: DataFrame, key: str, block: Sequence[str], turn: int) -> DataFrame:
     """df with a block's rows dealt to other rows: what stands at a place of one random order meets what stands at that place of the turn's own."""
     return shuffles(df, key, block, [turn]).drop("turn")
@@ -142,7 +49,7 @@ def gaussian(width: int, key: str, draw: int, prefix: str = "noise") -> dict[str
 
 def principal(df: DataFrame, columns: Sequence[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, components, explained shares) from one gram; the largest weight of each component is positive."""
-    g = gram(df.withColumn("_one", F.lit(0)), columns, "_one").total()
+    g = cross_products(df.withColumn("_one", F.lit(0)), columns, ["_one"]).total(lambda k: True)
     n = g[0, 0]
     mean = g[0, 1:] / n
     values, vectors = np.linalg.eigh(g[1:, 1:] / n - np.outer(mean, mean))
@@ -166,7 +73,7 @@ def curvature(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     made |= {f"{a}*{b}": z[a] * z[b] for i, a in enumerate(columns) for b in columns[i + 1 :]}
     wide = df.withColumns(made)
     names, k = list(made), len(columns)
-    g = gram(wide.withColumn("_one", F.lit(0)), [*columns, *names], "_one").total()
+    g = cross_products(wide.withColumn("_one", F.lit(0)), [*columns, *names], ["_one"]).total(lambda k: True)
     n = g[0, 0]
     coef = np.linalg.lstsq(g[: k + 1, : k + 1], g[: k + 1, k + 1 :], rcond=None)[0]
     rest = g[k + 1 :, k + 1 :] - g[k + 1 :, : k + 1] @ coef
@@ -193,18 +100,39 @@ def kmeans(df: DataFrame, columns: Sequence[str], k: int, seeds: int = 10, out:
     return best.transform(plain).drop("_x")
 
 
-def boosted(df: DataFrame, columns: Sequence[str], y: str, fold: str, trees: int = 200, step: float = 0.06, leaf: int = 40) -> DataFrame:
-    """Out-of-fold predictions of gradient-boosted trees; nulls stand as a value far below the others."""
+#: What stands for a null in a boosted column, on either side of all values.
+FAR = 1e12
+
+
+def boosted(df: DataFrame, columns: Sequence[str], y: str, fold: str, trees: int = 200, step: float = 0.06, leaf: int = 40, depth: int = 5, bins: int = 32) -> DataFrame:
+    """Out-of-fold predictions of gradient-boosted trees on the rows with a target.
+
+    A null has a direction of its own at each split: a column with nulls is offered twice, with them below and above all its
+    values, and a split that takes the one or the other sends them to that side (to either, where a split was grown without
+    any). Columns of no value at all are left out."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    filled = df.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(-1e12)) for c in columns}).where(F.col(y).isNotNull())
-    plain = VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="_x").transform(filled)
-    rows = plain.cache()
-    model = GBTRegressor(featuresCol="_x", labelCol=y, maxIter=trees, stepSize=step, minInstancesPerNode=leaf, seed=42, predictionCol="predicted")
-    parts = [model.fit(rows.where(F.col(fold) != f)).transform(plain.where(F.col(fold) == f)) for f in sorted(r[0] for r in rows.select(fold).distinct().collect())]
-    rows.unpersist()
+    rows = df.where(F.col(y).isNotNull() & F.col(fold).isNotNull())
+    known = rows.agg(F.count(F.lit(1)).alias("_all"), *[F.count(c).alias(c) for c in columns]).first()
+    made = {}
+    for c in columns:
+        if known[c] == known["_all"]:
+            made[f"_{c}"] = F.col(c).cast("double")
+        elif known[c]:
+            made |= {f"_{c}_{side}": F.coalesce(F.col(c).cast("double"), F.lit(at)) for side, at in (("low", -FAR), ("high", FAR))}
+    plain = VectorAssembler(inputCols=list(made), outputCol="_x").transform(rows.withColumns(made))
+    model = GBTRegressor(featuresCol="_x", labelCol=y, maxIter=trees, stepSize=step, minInstancesPerNode=leaf, maxDepth=depth, maxBins=bins, seed=42, predictionCol="predicted")
+    parts = [model.fit(plain.where(F.col(fold) != f)).transform(plain.where(F.col(fold) == f)) for f in sorted(r[0] for r in rows.select(fold).distinct().collect())]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.drop("_x", *[f"_{c}" for c in columns])
+    return out.drop("_x", *made)
+
+
+def boosted_lifts(df: DataFrame, baseline: Sequence[str], blocks: dict[str, Sequence[str]], y: str, fold: str, **settings) -> DataFrame:
+    """(block, n, r2_baseline, r2_full, lift_gbm) of each block beside the baseline, in trees of the same settings."""
+    score = lambda columns: boosted(df, columns, y, fold, **settings).agg(F.count(F.lit(1)).alias("n"), r2(y, "predicted").alias("r2")).first()
+    low = score(list(baseline))
+    rows = [(name, low["n"], low["r2"], high, high - low["r2"]) for name, block in blocks.items() for high in [score([*baseline, *block])["r2"]]]
+    return df.sparkSession.createDataFrame(rows, "block string, n long, r2_baseline double, r2_full double, lift_gbm double")

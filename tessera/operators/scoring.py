@@ -16,8 +16,8 @@ from tessera.functions import distributions as D
 from tessera.functions.semantics import ratio
 from tessera.operators.models import shuffles
 from tessera.operators.ordered import quantiles
-from tessera.operators.products import Cells, Weights, cross_products
-from tessera.operators.statistics import uniform
+from tessera.operators.products import Cells, Weights, cross_products, filled_cells
+from tessera.operators.statistics import clean, uniform
 
 
 def ridge(m: np.ndarray, xs: np.ndarray, target: Weights, alpha: float) -> Weights:
@@ -69,27 +69,40 @@ def r2_of(cells: Cells, y: str, fits: dict[tuple, Weights], wanted: Callable[[tu
 
 
 def designs(cells: Cells, columns: Sequence[str]) -> np.ndarray:
-    return np.array([cells.unit(c) for c in columns]).reshape(len(columns), len(cells.columns) + 1)
+    return cells.design(columns)
 
 
-def by_fold(cells: Cells, fit: Callable[[Callable[[tuple], bool]], Weights]) -> dict[tuple, Weights]:
-    found = {f: fit(lambda k, f=f: k[0] != f) for f in cells.folds}
+def by_fold(cells: Cells, fit: Callable[[object, Callable[[tuple], bool]], Weights]) -> dict[tuple, Weights]:
+    found = {f: fit(f, lambda k, f=f: k[0] != f) for f in cells.folds}
     return {k: found[k[0]] for k in cells.sums}
 
 
 def linear(cells: Cells, xs: Sequence[str], y: str, alphas: Sequence[float] = (0.0,)) -> dict[tuple, Weights]:
     """One joint model a fold."""
-    x, target = designs(cells, xs), cells.unit(y)
-    return by_fold(cells, lambda inside: ridge(cells.total(inside), x, target, chosen(cells, inside, x, target, alphas)))
+    target = cells.unit(y)
+
+    def fit(fold, inside):
+        x = cells.design(xs, fold)
+        return ridge(cells.total(inside), x, target, chosen(cells, inside, x, target, alphas))
+
+    return by_fold(cells, fit)
+
+
+def out_of_fold(df: DataFrame, models: dict[str, Sequence[str]], y: str, fold: str, alphas: Sequence[float] = (0.0,)) -> DataFrame:
+    """(model, n, r2) of each named column list, all from one scan. Rows need a target; nulls of other columns are filled by each
+    fold's training median, beside a mark that the models see too."""
+    cells = filled_cells(df, sorted({c for xs in models.values() for c in xs}), y, fold)[None]
+    rows = [(name, *r2_of(cells, y, linear(cells, xs, y, alphas))) for name, xs in models.items()]
+    return df.sparkSession.createDataFrame(rows, "model string, n long, r2 double")
 
 
 def residual(cells: Cells, controls: Sequence[str], block: Sequence[str], y: str, alphas: Sequence[float] = (0.0,)) -> dict[tuple, Weights]:
     """Unpenalised controls, then the block on what they leave of the training rows; both are added up."""
-    x, z, target = designs(cells, controls), designs(cells, block), cells.unit(y)
+    target = cells.unit(y)
 
-    def fit(inside):
-        m = cells.total(inside)
-        base = ridge(m, x, target, 0.0)
+    def fit(fold, inside):
+        m, z = cells.total(inside), cells.design(block, fold)
+        base = ridge(m, cells.design(controls, fold), target, 0.0)
         return base + ridge(m, z, target - base, chosen(cells, inside, z, target - base, alphas))
 
     return by_fold(cells, fit)
@@ -112,7 +125,7 @@ def reduced(cells: Cells, controls: Sequence[str], vectors: Sequence[str], y: st
     """A joint model on the controls and the first principal components of the vectors, which each fold takes from its training rows alone."""
     x, v, target = designs(cells, controls), designs(cells, vectors), cells.unit(y)
 
-    def fit(inside):
+    def fit(_, inside):
         m = cells.total(inside)
         mean = v @ m[0] / m[0, 0]
         values, parts = np.linalg.eigh(v @ m @ v.T / m[0, 0] - np.outer(mean, mean))
@@ -145,9 +158,10 @@ def spliced(a: DataFrame, b: DataFrame, key: str, tier: str, tiers: Sequence[str
 
 def arms(df: DataFrame, baseline: Sequence[str], blocks: dict[str, Sequence[str]], y: str, fold: str, alphas: Sequence[float] = (0.0,), tier: str | None = None) -> DataFrame:
     """(arm, n, r2_baseline, r2_alone, lift) of each block: alone, and on what the baseline leaves, against the baseline's
-    out-of-fold R2, which is the same for all. With a tier also (tier, ...) rows that score the same predictions inside each."""
+    out-of-fold R2, which is the same for all. With a tier also (tier, ...) rows that score the same predictions inside each.
+    Rows need a target; nulls of other columns are filled by each fold's training median, beside a mark."""
     columns = sorted({*baseline, *(c for b in blocks.values() for c in b)} - {y})
-    cells = cross_products(df, [*columns, y], [fold, *([tier] if tier else [])])
+    cells = filled_cells(df, columns, y, fold, [tier] if tier else [])[None]
     base = linear(cells, baseline, y)
     fits = {name: (linear(cells, block, y, alphas), residual(cells, baseline, block, y, alphas)) for name, block in blocks.items()}
     rows = []
@@ -163,21 +177,19 @@ def arms(df: DataFrame, baseline: Sequence[str], blocks: dict[str, Sequence[str]
 
 def marginal(df: DataFrame, key: str, base: Sequence[str], block: Sequence[str], y: str, fold: str, alphas: Sequence[float] = (0.0,), turns: int = 49, ablate: Sequence[str] = ()) -> DataFrame:
     """(n, n_added, r2_reduced, r2_full, lift, lift_ablated, null_lift_mean, null_lift_p95, p): what a block adds to a base, also
-    without some columns on both sides, against the lifts of the block with its rows shuffled. All shuffles are one join."""
+    without some columns on both sides, against the lifts of the block with its rows shuffled. All shuffles are one join. Rows need
+    a target; nulls of other columns are filled by each fold's training median, beside a mark, in each shuffle anew."""
     columns = sorted({*base, *block} - {y})
-    cells = cross_products(df, [*columns, y], [fold])
+    cells = filled_cells(df, columns, y, fold)[None]
     n, low = r2_of(cells, y, linear(cells, base, y, alphas))
     high = r2_of(cells, y, linear(cells, [*base, *block], y, alphas))[1]
     rest, more = [c for c in base if c not in ablate], [c for c in block if c not in ablate]
     ablated = r2_of(cells, y, linear(cells, [*rest, *more], y, alphas))[1] - r2_of(cells, y, linear(cells, rest, y, alphas))[1] if more else 0.0
     x, target = designs(cells, [*base, *block]), cells.unit(y)
     fixed = [chosen(cells, lambda k: True, x, target, alphas)]
-    whole = df.select(key, fold, *[F.col(c).cast("double").alias(c) for c in [*columns, y]]).na.drop()
-    null = cross_products(shuffles(whole, key, list(block), range(1, turns + 1)), [*columns, y], [fold, "turn"]) if turns else Cells(columns, {})
-    lifts = []
-    for turn in range(1, turns + 1):
-        own = Cells(null.columns, {k: m for k, m in null.sums.items() if k[1] == turn})
-        lifts.append(r2_of(own, y, linear(own, [*base, *block], y, fixed))[1] - low)
+    whole = df.select(key, fold, *[F.col(c).cast("double").alias(c) for c in [*columns, y]]).na.drop(subset=[key, fold, y])
+    null = filled_cells(shuffles(whole, key, list(block), range(1, turns + 1)), columns, y, fold, turn="turn") if turns else {}
+    lifts = [r2_of(own, y, linear(own, [*base, *block], y, fixed))[1] - low for _, own in sorted(null.items())]
     lift = high - low
     row = (n, len(block), low, high, lift, ablated, float(np.mean(lifts)) if lifts else None, float(np.percentile(lifts, 95)) if lifts else None, (sum(v >= lift for v in lifts) + 1) / (turns + 1))
     return df.sparkSession.createDataFrame([row], "n long, n_added long, r2_reduced double, r2_full double, lift double, lift_ablated double, null_lift_mean double, null_lift_p95 double, p double")
@@ -228,13 +240,23 @@ def centred(df: DataFrame, columns: Sequence[str], group: str | None) -> tuple[n
 
 
 def partial_effects(df: DataFrame, columns: Sequence[str], y: str, controls: Sequence[str], group: str | None = None) -> DataFrame:
-    """(column, is_flag, partial_r, effect, column_sd, effect_per_sd, p, q): each column's relation with y when both are freed of the
-    controls, and of the groups' means; p by Student's t, q by Benjamini and Hochberg over the columns."""
-    rows = df.where(F.col(y).isNotNull())
+    """(column, is_flag, n_true, raw_difference, partial_r, effect, column_sd, effect_per_sd, p, q): each column's relation with y when
+    both are freed of the controls, and of the groups' means; p by Student's t, q by Benjamini and Hochberg over the columns.
+
+    All columns are measured on the same rows, those with target, controls and group: a column's nulls are filled with its
+    median over them. n_true and the raw difference of the target's means are those of flags that are neither all nor none."""
     names = [*controls, *columns, y]
+    rows = df.select(*([group] if group else []), *[clean(c).alias(c) for c in dict.fromkeys(names)]).na.drop(subset=[y, *controls, *([group] if group else [])])
+    gaps = rows.agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    fills = {c: (quantiles(rows, c, [0.5]).first() or [[0.0]])[0][0] for c in columns if gaps[c]}
+    rows = rows.na.fill({c: v if v is not None else 0.0 for c, v in fills.items()}) if fills else rows
     c, n, groups = centred(rows, names, group)
     k, last = len(controls), len(names) - 1
-    about = rows.agg(*[F.stddev_samp(x).alias(f"sd{i}") for i, x in enumerate(columns)], *[F.bool_and(F.col(x).cast("double").isin(0.0, 1.0)).alias(f"f{i}") for i, x in enumerate(columns)]).first()
+    parts = []
+    for i, x in enumerate(columns):
+        v = F.col(x)
+        parts += [F.stddev_samp(v).alias(f"sd{i}"), F.bool_and(v.isin(0.0, 1.0)).alias(f"f{i}"), F.count_if(v == 1).alias(f"n{i}"), (F.avg(F.when(v == 1, F.col(y))) - F.avg(F.when(v == 0, F.col(y)))).alias(f"d{i}")]
+    about = rows.agg(*parts).first()
     inner = c[:k, :k]
     rank = groups + (int(np.linalg.matrix_rank(inner)) if k else 0)
     solve = lambda j: np.linalg.lstsq(inner, c[:k, j], rcond=None)[0] if k else np.zeros(0)
@@ -248,13 +270,13 @@ def partial_effects(df: DataFrame, columns: Sequence[str], y: str, controls: Seq
         r, effect = (both / np.sqrt(left_x * left_y), both / left_x) if known else (0.0, 0.0)
         free = n - rank - 1
         p = 2 * D.t_sf(abs(r) * np.sqrt(free / max(1e-12, 1 - r * r)), free) if free > 0 else 1.0
-        sd = about[f"sd{i}"] or 0.0
-        out.append([name, about[f"f{i}"], float(r), float(effect), float(sd), float(effect * sd), float(p), 1.0])
+        sd, flag = about[f"sd{i}"] or 0.0, about[f"f{i}"]
+        out.append([name, flag, about[f"n{i}"] if flag else None, about[f"d{i}"] if flag else None, float(r), float(effect), float(sd), float(effect * sd), float(p), 1.0])
     best = 1.0
-    for place, i in enumerate(sorted(range(len(out)), key=lambda i: -out[i][6])):
-        best = min(best, out[i][6] * len(out) / (len(out) - place))
-        out[i][7] = best
-    return df.sparkSession.createDataFrame([tuple(r) for r in out], "column string, is_flag boolean, partial_r double, effect double, column_sd double, effect_per_sd double, p double, q double")
+    for place, i in enumerate(sorted(range(len(out)), key=lambda i: -out[i][8])):
+        best = min(best, out[i][8] * len(out) / (len(out) - place))
+        out[i][9] = best
+    return df.sparkSession.createDataFrame([tuple(r) for r in out], "column string, is_flag boolean, n_true long, raw_difference double, partial_r double, effect double, column_sd double, effect_per_sd double, p double, q double")
 
 
 def tier_gradient(df: DataFrame, y: str, tier: str, levels: Sequence[str], size: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import distributions as D
 from tessera.functions.semantics import col, ratio
 from tessera.operators.ordered import average_ranks, cumulative, numbered
 
@@ -71,6 +72,18 @@ def signed_ranks(df: DataFrame, difference: str) -> DataFrame:
     return sizes.agg(F.coalesce(F.sum(F.col("_up") * rank), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
+def signed_rank_test(df: DataFrame, difference: str) -> DataFrame:
+    """(n, w_plus, z, p): Wilcoxon's signed-rank test, two-sided; exact over the ranks as they are, ties included, up to 50 pairs, normal
+    with the ties' correction beyond. Zeros are left out; without any pair p is 1."""
+    d = df.where(F.col(difference) != 0).withColumn("_a", F.abs(difference))
+    sizes = cumulative(d, "_a", extra=[F.count_if(F.col(difference) > 0).alias("_up")]).withColumn("_r", F.col("below") + (F.col("n") + 1) / 2.0)
+    t = F.col("n").cast("double")
+    r = sizes.agg(F.coalesce(F.sum(F.col("_up") * F.col("_r")), F.lit(0.0)).alias("w"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(t * t * t - t), F.lit(0.0)).alias("ties")).first()
+    ranks = [x["_r"] for x in sizes.select("_r", "n").collect() for _ in range(x["n"])] if 0 < r["n"] <= 50 else None
+    row = (r["n"], r["w"], D.signed_rank_z(r["w"], r["n"], r["ties"]), D.signed_rank_p(r["w"], r["n"], ranks, r["ties"]))
+    return df.sparkSession.createDataFrame([row], "n long, w_plus double, z double, p double")
+
+
 def cluster_dependence(df: DataFrame, value: str, cluster: str) -> DataFrame:
     """(n, k, m0, icc, design_effect, n_effective): one-way ICC floored at 0, Kish's mean cluster size and what follows from them."""
     g = df.groupBy(cluster).agg(F.count(F.lit(1)).cast("double").alias("m"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("s2"))

@@ -8,6 +8,7 @@ from tessera.functions import semantics as S
 from tessera.operators import models as M
 from tessera.operators import ordered as O
 from tessera.operators import regional as R
+from tessera.operators import scoring as C
 from tessera.operators import statistics as ST
 from tessera.plans.registry import query, r6
 
@@ -86,6 +87,20 @@ def q71_signed_rank(t):
     return ST.signed_ranks(t.customer.withColumn("d", F.col("c_acctbal") - 4500), "d")
 
 
+#: The normal distribution's tails by a rational approximation, to 1.5e-7.
+TAILS = "(0.254829592 * t - 0.284496736 * t * t + 1.421413741 * pow(t, 3) - 1.453152027 * pow(t, 4) + 1.061405429 * pow(t, 5)) * exp(-z * z / 2)"
+
+
+@query(
+    f"WITH d AS (SELECT c_mktsegment AS s, round(c_acctbal / 100) - 45 AS d FROM customer WHERE round(c_acctbal / 100) <> 45), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d), n AS (SELECT count(*) AS n, CAST(sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS DOUBLE) AS w FROM r), t AS (SELECT sum(pow(c, 3) - c) AS ties FROM (SELECT count(*) AS c FROM d GROUP BY abs(d))), "
+    f"z AS (SELECT n, w, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM n, t), x AS (SELECT *, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z) SELECT n, w AS w_plus, round(z, 6) AS z, round({TAILS}, 5) AS p FROM x"
+)
+def q141_signed_rank_test(t):
+    """Balances in hundreds against 45: many equal differences, so ties count."""
+    d = t.customer.withColumn("d", F.round(F.col("c_acctbal") / 100) - 45)
+    return ST.signed_rank_test(d, "d").select("n", "w_plus", r6("z").alias("z"), r6("p", 5).alias("p"))
+
+
 @query("SELECT CAST(least(10, floor((o_totalprice - 0) / 50000) + 1) AS BIGINT) AS bx, CAST(least(10, floor((month(o_orderdate) - 1) / 1.1) + 1) AS BIGINT) AS by, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 0 AND 500000 GROUP BY 1, 2")
 def q72_trend_hist2d(t):
     return ST.histogram2d(t.orders.withColumn("month", F.month("o_orderdate").cast("double")), "o_totalprice", "month", 10, (0.0, 500000.0), (1.0, 12.0))
@@ -134,19 +149,19 @@ def panel(t):
 
 @query()
 def q86_ridge_oof(t):
-    p = M.impute(panel(t), ["gap"], "fold")
-    arms = {"size": ["size"], "size_bal": ["size", "gap", "gap_missing"], "all": ["size", "n", "gap", "gap_missing"]}
-    return M.out_of_fold(p, arms, "y", "fold", (0.1, 1.0, 10.0, 100.0)).withColumn("r2", r6("r2"))
+    """Penalties chosen inside each fold, nulls filled by its training median."""
+    arms = {"size": ["size"], "size_bal": ["size", "gap"], "all": ["size", "n", "gap"]}
+    return C.out_of_fold(panel(t), arms, "y", "fold", (0.1, 1.0, 10.0, 100.0)).withColumn("r2", r6("r2"))
 
 
 @query()
 def q87_drop_one(t):
     """Blocked folds: whole nations; the contribution of each block is the loss without it."""
-    u = panel(t).drop("fold").join(F.broadcast(M.group_folds(units(t), "g", 5).select("g", "fold")), "g")
+    u = panel(t).drop("fold").join(M.group_folds(units(t), "g", 5).select("g", "fold"), "g")
     blocks = {"size": ["size"], "count": ["n"], "balance": ["bal"]}
     full = [c for b in blocks.values() for c in b]
     arms = {"full": full} | {f"without_{k}": [c for c in full if c not in b] for k, b in blocks.items()}
-    s = M.out_of_fold(u, arms, "y", "fold")
+    s = C.out_of_fold(u, arms, "y", "fold")
     top = s.where("model = 'full'").select(F.col("r2").alias("top"))
     return s.crossJoin(F.broadcast(top)).select("model", "n", r6("r2").alias("r2"), r6(F.col("top") - F.col("r2")).alias("contribution"))
 
@@ -154,9 +169,9 @@ def q87_drop_one(t):
 @query()
 def q88_placebo(t):
     p = panel(t).select("k", "y", "size", "n", "fold")
-    out = M.out_of_fold(p, {"real": ["size", "n"]}, "y", "fold")
+    out = C.out_of_fold(p, {"real": ["size", "n"]}, "y", "fold")
     for turn in range(3):
-        out = out.unionByName(M.out_of_fold(M.shuffled(p, "k", ["n"], turn), {f"placebo_{turn}": ["size", "n"]}, "y", "fold"))
+        out = out.unionByName(C.out_of_fold(M.shuffled(p, "k", ["n"], turn), {f"placebo_{turn}": ["size", "n"]}, "y", "fold"))
     return out.withColumn("r2", r6("r2"))
 
 
@@ -164,7 +179,7 @@ def q88_placebo(t):
 def q89_noise_floor(t):
     noise = M.gaussian(4, "k", 1)
     p = panel(t).withColumns(noise)
-    return M.out_of_fold(p, {"size": ["size"], "noise": ["size", *noise]}, "y", "fold").withColumn("r2", r6("r2"))
+    return C.out_of_fold(p, {"size": ["size"], "noise": ["size", *noise]}, "y", "fold").withColumn("r2", r6("r2"))
 
 
 @query()
@@ -187,6 +202,13 @@ def q92_boosted_arm(t):
     return M.boosted(panel(t), ["size", "n", "gap"], "y", "fold", trees=8).agg(F.count(F.lit(1)).alias("n"), r6(ST.r2("y", "predicted")).alias("r2"))
 
 
+@query()
+def q142_boosted_block(t):
+    """What blocks add to size in boosted trees."""
+    found = M.boosted_lifts(panel(t), ["size"], {"gap": ["gap"], "activity": ["n"]}, "y", "fold", trees=2, depth=3)
+    return found.select("block", "n", *[r6(c).alias(c) for c in ("r2_baseline", "r2_full", "lift_gbm")])
+
+
 @query()
 def q93_permutation_p(t):
     return ST.permutation_p(units(t), "k", "n", "bal", rounds=99).select(r6("r").alias("r"), r6("p").alias("p"))
@@ -201,13 +223,13 @@ def q94_bootstrap_ci(t):
 def q95_flexible_baseline(t):
     c = M.curvature(panel(t).select("k", "y", "fold", "size", "n", "bal"), ["size", "n", "bal"])
     curves = [x for x in c.columns if x.startswith("curve_")]
-    return M.out_of_fold(c, {"linear": ["size", "n", "bal"], "flexible": ["size", "n", "bal", *curves]}, "y", "fold").withColumn("r2", r6("r2"))
+    return C.out_of_fold(c, {"linear": ["size", "n", "bal"], "flexible": ["size", "n", "bal", *curves]}, "y", "fold").withColumn("r2", r6("r2"))
 
 
 @query()
 def q96_training_size(t):
     p = panel(t)
-    parts = [M.out_of_fold(R.keyed_sample(p, "k", n), {f"n{n}": ["size", "n"]}, "y", "fold") for n in (60, 200, 600)]
+    parts = [C.out_of_fold(R.keyed_sample(p, "k", n), {f"n{n}": ["size", "n"]}, "y", "fold") for n in (60, 200, 600)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("r2", r6("r2"))
 
 
@@ -216,4 +238,4 @@ def q97_grain(t):
     """The same model on units and on their nations, re-derived from sums."""
     u = panel(t)
     g = u.groupBy("g").agg(F.log10(S.ratio(F.sum("spend"), F.sum("n"))).alias("y"), R.sum_of_logs("size").alias("size"), F.sum("n").alias("n")).withColumn("fold", M.random_fold("g"))
-    return M.out_of_fold(u, {"unit": ["size", "n"]}, "y", "fold").unionByName(M.out_of_fold(g, {"nation": ["size", "n"]}, "y", "fold")).withColumn("r2", r6("r2"))
+    return C.out_of_fold(u, {"unit": ["size", "n"]}, "y", "fold").unionByName(C.out_of_fold(g, {"nation": ["size", "n"]}, "y", "fold")).withColumn("r2", r6("r2"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import semantics as S
 from tessera.functions import text as T
+from tessera.operators import nearest as N
 from tessera.operators import regional as R
 from tessera.operators import sections as X
 from tessera.operators import statistics as ST
@@ -256,10 +257,8 @@ def q57_scope_coverage(t):
 
 @query("SELECT a.vec_id, round(max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS best FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1")
 def q61_cosine_pairs(t):
-    e = t.embeddings.select("vec_id", "label", S.unit_vector("embedding").alias("v"))
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id")))
-    return pairs.groupBy(F.col("a.vec_id").alias("vec_id")).agg(r6(F.max(S.dot("a.v", "b.v"))).alias("best"))
+    """The nearest other vector of a label, by cells around pivots."""
+    return N.nearest(t.embeddings, "vec_id", "embedding", "label").select("vec_id", r6("best").alias("best"))
 
 
 @query("WITH x AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT d, avg(v) AS m FROM x GROUP BY 1) SELECT vec_id, round(sqrt(sum(pow(v - m, 2))), 6) AS norm FROM x JOIN m USING (d) GROUP BY 1")

@@ -103,6 +103,17 @@ def q111_partial_effects(t):
     return C.partial_effects(panel(t), ["n", "bal"], "y", ["size"], "g").select("column", r6("partial_r").alias("partial_r"), r6("effect_per_sd").alias("effect_per_sd"))
 
 
+GAPS = "SELECT *, coalesce(CASE WHEN k % 4 > 0 THEN bal END, (SELECT median(bal) FROM p WHERE k % 4 > 0)) AS gap, CAST(n % 2 AS DOUBLE) AS odd FROM p"
+
+
+@query(f"WITH {PANEL}, f AS ({GAPS}), d AS (SELECT count(CASE WHEN odd = 1 THEN 1 END) AS n_true, avg(CASE WHEN odd = 1 THEN y END) - avg(CASE WHEN odd = 0 THEN y END) AS diff FROM f) " + " UNION ALL ".join(f"SELECT e.\"column\", {more} AS n_true, {diff} AS raw_difference, partial_r, effect_per_sd FROM ({effect_sql(x).replace('FROM p)', 'FROM f)')}) e, d" for x, more, diff in (("bal", "NULL::BIGINT", "NULL::DOUBLE"), ("gap", "NULL::BIGINT", "NULL::DOUBLE"), ("odd", "d.n_true", "round(d.diff, 6)"))))
+def q140_partial_effects_with_gaps(t):
+    """A column with nulls changes no other column's result: its nulls are its median, so all columns are measured on the same rows."""
+    p = panel(t).withColumns({"gap": F.when(F.col("k") % 4 > 0, F.col("bal")), "odd": (F.col("n") % 2).cast("double")})
+    found = C.partial_effects(p, ["bal", "gap", "odd"], "y", ["size"], "g")
+    return found.select("column", "n_true", r6("raw_difference").alias("raw_difference"), r6("partial_r").alias("partial_r"), r6("effect_per_sd").alias("effect_per_sd"))
+
+
 @query(f"WITH {PANEL}, m AS (SELECT tier, avg(y) AS y, avg(size) AS x FROM p GROUP BY 1), b AS (SELECT sum((p.y - m.y) * (p.size - m.x)) / sum(pow(p.size - m.x, 2)) AS b FROM p JOIN m USING (tier)) SELECT m.tier, round(m.y - f.y, 6) AS raw, round(m.y - f.y - b * (m.x - f.x), 6) AS controlled, round((m.y - f.y - b * (m.x - f.x)) / (m.y - f.y), 5) AS share_left FROM m, b, (SELECT * FROM m WHERE tier = 'few') f WHERE m.tier <> 'few'")
 def q112_tier_gradient(t):
     out = C.tier_gradient(panel(t), "y", "tier", TIERS, "size")
@@ -202,7 +213,7 @@ def q122_three_states(t):
     """Cells that are shown, hidden for being small, or not there at all, over the whole grid of units and brands."""
     held = t.facts.groupBy(F.col("c_nationkey").alias("unit"), F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("n"))
     brands = t.part.select(F.col("p_brand").alias("brand")).distinct()
-    grid = t.nation.select(F.col("n_nationkey").alias("unit")).crossJoin(F.broadcast(brands))  # units by column names, as many as the result pivots to
+    grid = t.nation.select(F.col("n_nationkey").alias("unit")).crossJoin(brands)  # units by column names, as many as the result pivots to
     state = S.three_state(F.col("n") < 10, F.when(F.col("n") >= 10, F.col("n")))
     counted = R.complete(grid, held.withColumn("state", state).select("unit", "brand", "state"), ["unit", "brand"], {"state": "absent"})
     return counted.groupBy("unit").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("disclosed", "suppressed", "absent")])

@@ -12,6 +12,7 @@ from tessera.functions import text as T
 from tessera.operators import models as M
 from tessera.operators import ordered as O
 from tessera.operators import regional as R
+from tessera.operators import scoring as C
 from tessera.operators import sections as X
 from tessera.operators import statistics as ST
 from tessera.sources import html, readers, sinks
@@ -142,7 +143,7 @@ def test_models_against_numpy(spark):
         z = np.hstack([np.ones((300, 1)), x])
         out[fold == f] = z[fold == f] @ np.linalg.lstsq(z[fold != f], y[fold != f], rcond=None)[0]
     want = 1 - ((y - out) ** 2).sum() / ((y - y.mean()) ** 2).sum()
-    assert M.out_of_fold(df, {"m": ["a", "b", "c"]}, "y", "fold").first()["r2"] == pytest.approx(want, abs=1e-8)
+    assert C.out_of_fold(df, {"m": ["a", "b", "c"]}, "y", "fold").first()["r2"] == pytest.approx(want, abs=1e-8)
     mean, parts, share = M.principal(df, ["a", "b", "c"], 3)
     assert np.allclose(np.abs(parts @ parts.T), np.eye(3), atol=1e-8) and share.sum() == pytest.approx(1)
     moved = M.shuffled(df, "k", ["a"], 1)
@@ -176,6 +177,29 @@ def test_readers_and_sinks(spark, tmp_path):
     assert built == [1]
 
 
+def test_columns_and_templates(spark):
+    from tessera.functions import semantics as S
+    from tessera.functions import text as T
+    from tessera.operators import regional as R
+
+    assert R.feature_columns(["k", "a", "size", "b"], ["k"], ["size"]) == ["a", "b"]
+    blocks = {"A": ["a", "b"], "B": ["c"], "C": ["d"]}
+    assert R.other_columns(blocks, ["B"]) == ["a", "b", "d"]
+    with pytest.raises(ValueError):
+        R.other_columns({"A": ["a"], "B": ["a"]}, [])
+    left, right = spark.createDataFrame([("x", 1), ("y", 2)], "k string, a int"), spark.createDataFrame([("x", 5)], "k string, b int")
+    assert sorted(map(tuple, R.one_to_one(left, right, "k").collect())) == [("x", 1, 5), ("y", 2, None)]
+    with pytest.raises(Exception):
+        R.one_to_one(left.unionByName(left), right, "k").collect()
+    df = spark.createDataFrame([(0.0, 3, "01001"), (1.0, 1, "48301"), (None, 0, None)], "f double, n int, fips string")
+    assert tuple(df.agg(S.is_flag(df, "f").alias("f"), S.is_flag(df, "n").alias("n")).first()) == (True, False)
+    logs = df.select(S.typed("n", "count").alias("c"), S.typed("f", "flag").alias("f")).collect()
+    assert logs[0].c == pytest.approx(1.3862943611) and logs[1].f == 1.0
+    series = [r[0] for r in df.select(T.unemployment_series("fips")).collect()]
+    assert "01001" in series[0] and "48301" in series[1] and series[2] is None and len(series[0]) == len(series[1])
+    assert T.error_column("B19013_E001") != "B19013_E001"
+
+
 def test_html_sections(spark):
     page = '<section data-mw-section-id="0">Lead<table><tr><td>t<table>u</table></td></tr></table><sup>[1]</sup> text.</section><section data-mw-section-id="1"><h2>Economy</h2>Mills [[a|b]].<section data-mw-section-id="2"><h3>Coal</h3>Dug.</section></section><section data-mw-section-id="3"><h2>See also</h2>x</section>'
     df = spark.createDataFrame([("p", page), ("q", None), ("r", "<h2>All</h2><p>of it<br>here</p><script>no</script>")], "k string, html string")

@@ -6,11 +6,18 @@ import numpy as np
 import pytest
 
 from tessera.functions import distributions as D
+from pyspark.sql import functions as F
+from test_sweeps import scored
+
 from tessera.operators import models as M
 from tessera.operators import regional as R
 from tessera.operators import scoring as C
+from tessera.operators.ordered import numbered
+from tessera.operators import statistics as ST
+from tessera.operators.statistics import uniform
 from tessera.plans import catalog
 from tessera.plans.evaluation import panel as old_panel
+from tessera.plans.evaluation import units
 from tessera.plans.registry import Tables
 from tessera.plans.scores import TIERS, intervals, panel, vectors
 
@@ -142,6 +149,14 @@ def test_intervals(t, spark):
         C.score_intervals(spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0), (1, "b", 1.0)], "t int, a string, v double"), "t", "a", "v")
     r = catalog.QUERIES["q113_row_bootstrap"](spark, t.dir).first()
     assert r["low"] < r["point"] < r["high"]
+    small = spark.createDataFrame([(i, float(i % 7), float(i % 5), float(i % 7) + 0.5 * (i % 3)) for i in range(60)], "k long, y double, a double, b double")
+    got = C.row_bootstrap(small, "k", "y", "a", "b", rounds=40).first()
+    u = {(x.k, x._k): x.u for x in small.select("k", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("_k")).select("k", "_k", uniform(F.col("k"), F.col("_k"), F.lit(42)).alias("u")).collect()}
+    steps, data = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(8)]), np.array([tuple(x) for x in small.orderBy("k").collect()])
+    y, a, b = data[:, 1:].T
+    lead = lambda w: ((w * (y - a) ** 2).sum() - (w * (y - b) ** 2).sum()) / ((w * y * y).sum() - (w * y).sum() ** 2 / w.sum())
+    leads = [lead(np.array([(u[i, k] >= steps).sum() for i in range(60)])) for k in range(1, 41)]
+    assert (got["point"], got["low"], got["high"]) == pytest.approx((lead(np.ones(60)), *np.quantile(leads, [0.025, 0.975])))
 
 
 def test_temporal_and_size(t, p):
@@ -156,14 +171,11 @@ def test_older_queries_against_numpy(t, spark, sf_dir):
     d = old_panel(t).toPandas().sort_values("k").reset_index(drop=True)
     y, fold = d["y"].to_numpy(), d["fold"].to_numpy()
     rows = {n: catalog.QUERIES[n](spark, sf_dir).collect() for n in ("q86_ridge_oof", "q87_drop_one", "q88_placebo", "q89_noise_floor", "q93_permutation_p", "q94_bootstrap_ci", "q95_flexible_baseline", "q96_training_size", "q97_grain")}
-    gap, missing = d["gap"].to_numpy(dtype=float).copy(), d["gap"].isna().to_numpy()
-    for f in range(5):
-        gap[missing & (fold == f)] = np.nanmedian(d["gap"].to_numpy(dtype=float)[fold != f])
-    arms = {"size": d[["size"]].to_numpy(), "size_bal": np.stack([d["size"], gap, missing], axis=1), "all": np.stack([d["size"], d["n"], gap, missing], axis=1)}
+    columns = {k: d[k].to_numpy(dtype=float) for k in ("size", "n", "gap", "y")} | {"fold": fold}
+    arms = {"size": ["size"], "size_bal": ["size", "gap"], "all": ["size", "n", "gap"]}
     for r in rows["q86_ridge_oof"]:
-        x = arms[r["model"]].astype(float)
-        scored = [r2(y, oof(x, y, fold, al)) for al in (0.1, 1.0, 10.0, 100.0)]  # each fold chooses its own penalty
-        assert r["n"] == len(d) and min(scored) - 0.01 <= r["r2"] <= max(scored) + 0.01
+        n, want, _ = scored(columns, "y", arms[r["model"]], base_alphas=(0.1, 1.0, 10.0, 100.0))
+        assert r["n"] == n == len(d) and r["r2"] == pytest.approx(want, abs=2e-6)
     groups = {r["g"]: r["fold"] for r in M.group_folds(old_panel(t), "g", 5).collect()}
     by_nation = d["g"].map(groups).to_numpy()
     full = {"full": ["size", "n", "bal"], "without_size": ["n", "bal"], "without_count": ["size", "bal"], "without_balance": ["size", "n"]}
@@ -173,12 +185,22 @@ def test_older_queries_against_numpy(t, spark, sf_dir):
     assert {r["n"] for r in rows["q88_placebo"]} == {len(d)} and real["r2"] == pytest.approx(r2(y, oof(d[["size", "n"]].to_numpy(), y, fold)), abs=2e-6)
     assert all(r["r2"] < real["r2"] - 0.1 for r in rows["q88_placebo"] if r["model"] != "real")
     noise = {r["model"]: r["r2"] for r in rows["q89_noise_floor"]}
-    assert abs(noise["noise"] - noise["size"]) < 0.15
+    drawn = old_panel(t).withColumns(M.gaussian(4, "k", 1)).toPandas().sort_values("k")
+    assert noise["size"] == pytest.approx(r2(y, oof(d[["size"]].to_numpy(), y, fold)), abs=2e-6)
+    assert noise["noise"] == pytest.approx(r2(y, oof(drawn[["size", *[f"noise_{i}" for i in range(4)]]].to_numpy(), y, fold)), abs=2e-6)
     [perm] = rows["q93_permutation_p"]
     r = np.corrcoef(d["n"], d["bal"])[0, 1]
     assert perm["r"] == pytest.approx(r, abs=1e-6) and 0.01 <= perm["p"] <= 1
-    free = abs(r) * math.sqrt((len(d) - 2) / (1 - r * r))
-    assert abs(perm["p"] - math.erfc(free / math.sqrt(2))) < 0.2
+    ns = units(t).select("k", "n", "bal")
+    first = [x.k for x in numbered(ns, "k", 42).orderBy("position").collect()]
+    rounds = numbered(ns.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(99)))), "k", 42, ["_k"]).select("_k", "position", "k").collect()
+    n_of, bal_of = dict(zip(d["k"], d["n"])), dict(zip(d["k"], d["bal"]))
+    own = {k: [0] * len(d) for k in range(1, 100)}
+    for x in rounds:
+        own[x._k][x.position] = bal_of[x.k]
+    base = [n_of[k] for k in first]
+    hits = sum(abs(np.corrcoef(base, v)[0, 1]) >= abs(r) - 1e-12 for v in own.values())
+    assert perm["p"] == pytest.approx((hits + 1) / 100)
     [boot] = rows["q94_bootstrap_ci"]
     half = 1.96 * d["bal"].std() / math.sqrt(len(d))
     assert boot["mean"] == pytest.approx(d["bal"].mean()) and abs(boot["low"] - boot["mean"] + half) < 0.4 * half and abs(boot["high"] - boot["mean"] - half) < 0.4 * half
@@ -194,7 +216,12 @@ def test_older_queries_against_numpy(t, spark, sf_dir):
     assert grain["unit"]["r2"] == pytest.approx(r2(y, oof(d[["size", "n"]].to_numpy(), y, fold)), abs=2e-6) and grain["nation"]["n"] == d["g"].nunique()
     sample = [r["c_custkey"] for r in R.keyed_sample(t.customer.repartition(7), "c_custkey", 20).collect()]
     assert sorted(sample) == sorted(r["c_custkey"] for r in R.keyed_sample(t.customer, "c_custkey", 20).collect())
-    assert len({r["market"] for r in catalog.QUERIES["q91_kmeans_markets"](spark, sf_dir).collect()}) == 5
+    markets = {r["unit"]: r["market"] for r in catalog.QUERIES["q91_kmeans_markets"](spark, sf_dir).collect()}
+    lat, lon = np.radians(np.arange(25) * 6.5 - 80), np.radians(np.arange(25) * 13.7 - 170)
+    at = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)], axis=1)
+    label = np.array([markets[i] for i in range(25)])
+    centres = np.array([at[label == k].mean(axis=0) for k in sorted(set(label))])
+    assert len(centres) == 5 and (((at[:, None] - centres) ** 2).sum(2).argmin(1) == np.searchsorted(sorted(set(label)), label)).all()  # each unit is with the nearest centre
 
 
 def test_introductions_against_plain_regex(t, spark, sf_dir):
@@ -207,6 +234,100 @@ def test_introductions_against_plain_regex(t, spark, sf_dir):
         text, own = texts[r["doc_id"]], f"Nation{r['doc_id'] % 7}, State"
         years = [int(y) for y in re.findall(T.FOUNDING, text)]
         assert r["founded"] == (min(years) if years else None)
+        at = text.lower().find("nation" + str(r["doc_id"] % 7))
+        rest = re.sub(f"nation{r['doc_id'] % 7}", "", text[max(at, 0) :], flags=re.I)
+        rest = re.sub(r"\bstate\b", "", rest, flags=re.I)
+        assert r["n_chars"] == len(re.sub(r"[ \t\n\x0B\f\r]+", " ", re.sub(r"^[\s,.;:()-]+", "", rest)).strip(" ")), r["doc_id"]
         assert r["n_names"] == len(set(re.findall(r"\b([A-Z][a-z]{2,})\b", text)) - set(T.COMMON_NAMES) - set(re.findall(r"[A-Za-z]+", own)))
         for name, pattern in (T.INSTITUTION | T.TRANSPORT).items():
             assert r[name] == bool(re.search(pattern, text)), (name, r["doc_id"])
+
+
+def test_components_of_whole_vectors(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    x = np.array([r["embedding"] for r in rows], dtype=float)
+    assert x.shape[1] == 64
+    x -= x.mean(axis=0)
+    want = x @ np.linalg.svd(x, full_matrices=False)[2][:2].T
+    got = {r["vec_id"]: (r["pc1"], r["pc2"]) for r in catalog.QUERIES["q90_pca_scores"](spark, sf_dir).collect()}
+    have = np.array([got[r["vec_id"]] for r in rows])
+    for k in range(2):
+        assert min(np.abs(have[:, k] - want[:, k]).max(), np.abs(have[:, k] + want[:, k]).max()) < 1e-4
+
+
+def test_buckets_adapt_to_offset_and_spread(spark, monkeypatch):
+    from tessera.operators import ordered as O
+
+    monkeypatch.setattr(O, "ROWS", 5_000)
+    df = spark.range(200_000).select((F.col("id") + 1_700_000_000).cast("double").alias("epoch"), (F.lit(1e6) + F.rand(1) * 1e-3).alias("noise"), F.exp(F.randn(2) * 5).alias("wide"))
+    for c in df.columns:
+        sizes = [r[0] for r in O.with_bucket(df, c, O.splitters(df, c)).groupBy("_b").count().select("count").collect()]
+        assert len(sizes) >= 38 and max(sizes) <= 2 * 5_000, (c, max(sizes))
+    below = O.cumulative(df, "epoch").agg(F.max(F.abs(F.col("below") - (F.col("epoch") - 1_700_000_000)))).first()[0]
+    assert below == 0
+    monkeypatch.setattr(O, "SPLITTERS", 8)  # fewer than needed: stretches between splitters are cut evenly
+    at, parts = O.splitters(df, "epoch")
+    sizes = O.with_bucket(df, "epoch", (at, parts)).groupBy("_b").agg(F.count("*").alias("n"), F.min("epoch").alias("a"), F.max("epoch").alias("b")).orderBy("_b").collect()
+    assert parts == 5 and max(r.n for r in sizes) <= 2 * 5_000 and all(x.b < y.a for x, y in zip(sizes, sizes[1:]))
+    numbers = O.numbered(df.withColumn("k", F.col("epoch")), "k", 3)
+    assert numbers.select("position").distinct().count() == 200_000 and numbers.agg(F.max("position")).first()[0] == 199_999
+
+
+def test_signed_ranks_with_ties(spark):
+    import itertools
+
+    for values in ([1, -1, 2, 2, -3], [1, 1, 1, 1], [-2, 4, 4, -4, 5, 6, 0, 0], []):
+        d = [v for v in values if v]
+        size = sorted(map(abs, d))
+        ranks = [size.index(abs(v)) + (size.count(abs(v)) + 1) / 2 for v in d]
+        w = sum(r for v, r in zip(d, ranks) if v > 0)
+        every = [sum(r for s, r in zip(signs, ranks) if s) for signs in itertools.product((0, 1), repeat=len(d))]
+        want = min(1.0, 2 * min(np.mean([x <= w for x in every]), np.mean([x >= w for x in every])))
+        got = ST.signed_rank_test(spark.createDataFrame([(float(v),) for v in values], "d double"), "d").first()
+        assert (got["n"], got["w_plus"]) == (len(d), w) and got["p"] == pytest.approx(want)
+
+
+def grown(x, y, rows, leaf, depth):
+    """The best split of variance by plain search, all thresholds between values; the first among equals."""
+    mean, best = y[rows].mean(), None
+    spread = lambda r: ((y[r] - y[r].mean()) ** 2).sum()
+    if depth:
+        for j in range(x.shape[1]):
+            values = np.unique(x[rows, j])
+            for a, b in zip(values, values[1:]):
+                left, right = rows[x[rows, j] <= (a + b) / 2], rows[x[rows, j] > (a + b) / 2]
+                gain = spread(rows) - spread(left) - spread(right)
+                if min(len(left), len(right)) >= leaf and (best is None or gain > best[0] + 1e-9):
+                    best = gain, j, (a + b) / 2, left, right
+    if best is None or best[0] <= 1e-9:
+        return lambda v: np.full(len(v), mean)
+    _, j, at, left, right = best
+    low, high = grown(x, y, left, leaf, depth - 1), grown(x, y, right, leaf, depth - 1)
+    return lambda v: np.where(v[:, j] <= at, low(v), high(v))
+
+
+def test_boosted_trees_with_nulls(spark):
+    """Equal to trees grown by plain search, in which a split sends nulls to either side."""
+    r = np.random.default_rng(6)
+    n = 60
+    a, b = r.integers(0, 12, n).astype(float), r.integers(0, 9, n).astype(float)
+    y = np.where(a > 6, 3.0, 0.0) + b * 0.2 + r.normal(size=n) * 0.3
+    hole = r.random(n) < 0.3
+    y[hole] += 2.5
+    fold = np.arange(n) % 2
+    df = spark.createDataFrame([(i, None if hole[i] else float(a[i]), float(b[i]), float(y[i]), int(fold[i])) for i in range(n)], "k int, a double, b double, y double, fold int")
+    got = np.array([x.predicted for x in M.boosted(df, ["a", "b"], "y", "fold", trees=3, step=0.5, leaf=3, depth=2).orderBy("k").collect()])
+    x = np.stack([np.where(hole, -M.FAR, a), np.where(hole, M.FAR, a), b], axis=1)
+    want = np.empty(n)
+    for f in (0, 1):
+        train, rows = fold != f, fold == f
+        now, out = None, None
+        for k in range(3):
+            goal = y[train] if now is None else 2 * (y[train] - now)
+            tree = grown(x[train], goal, np.arange(train.sum()), 3, 2)
+            step = 1.0 if now is None else 0.5
+            now = step * tree(x[train]) + (0 if now is None else now)
+            out = step * tree(x[rows]) + (0 if out is None else out)
+        want[rows] = out
+    far = ~np.isclose(got, want, atol=1e-6)
+    assert far.sum() <= 3 and hole[far].all()  # a null that meets a split which saw none goes either way

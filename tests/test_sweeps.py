@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import models as M
 from tessera.operators import pairs as P
+from tessera.operators import scoring as C
 from tessera.operators import sweeps as W
 
 NAN = float("nan")
@@ -165,6 +167,26 @@ def test_grain_arms(frame):
     assert np.isclose(got["fine_sample"].lift, np.mean([r.lift for r in rounds])) and np.isclose(got["fine_sample"].sd, np.std([r.lift for r in rounds], ddof=1))
 
 
+def test_block_scores_with_nulls(frame):
+    """Arms and marginals keep all rows with a target; each fold fills with its own training medians."""
+    c, df = frame
+    got = C.arms(df, ["size"], {"gaps": ["b", "c"]}, "t1", "fold", (2.0,)).first()
+    n, low, high = scored(c, "t1", ["size"], ["b", "c"], (2.0,))
+    assert got["n"] == n and np.isclose(got["r2_baseline"], low) and np.isclose(got["lift"], high - low, atol=1e-8)
+    got = C.marginal(df, "k", ["size"], ["b", "a"], "t1", "fold", (0.0,), turns=3).first()
+    high = scored(c, "t1", ["size", "b", "a"])[1]
+    assert got["n"] == n and np.isclose(got["r2_full"], high, atol=1e-8)
+    rows = M.shuffles(df.where("t1 IS NOT NULL"), "k", ["b", "a"], [1, 2, 3]).select("turn", "k", "b", "a").collect()
+    lifts = []
+    for turn in (1, 2, 3):
+        own = {k: v.copy() for k, v in c.items()}
+        for r in rows:
+            if r.turn == turn:
+                own["b"][r.k], own["a"][r.k] = (NAN if r.b is None else r.b), r.a
+        lifts.append(scored(own, "t1", ["size", "b", "a"])[1] - low)
+    assert np.isclose(got["null_lift_mean"], np.mean(lifts), atol=1e-8)
+
+
 def test_pair_tests_on_the_same_draws(frame):
     c, df = frame
     xs, ys, rounds, size = ["a", "b", "size"], ["t1", "t3"], 60, 100
@@ -246,3 +268,25 @@ def test_silhouettes_by_definition(spark):
                 s.append((min(others) - d[i, same].mean()) / max(min(others), d[i, same].mean()) if same.any() else 0.0)
         assert got[name].n == len(use) and got[name].k == len(np.unique(lab))
         assert got[name].silhouette is None if not s else np.isclose(got[name].silhouette, np.mean(s))
+
+
+def test_nearest_by_cells(spark, monkeypatch):
+    """All pairs give the same, for clusters, for vectors spread evenly, for a group of one and for copies."""
+    from tessera.operators import nearest as N
+
+    monkeypatch.setattr(N, "ROWS", 60)
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(12, 5))
+    v = np.vstack([centres[r.integers(0, 12, 500)] + 0.05 * r.normal(size=(500, 5)), r.normal(size=(150, 5)), [[0.0] * 5], [[1.0, 0, 0, 0, 0]] * 2])
+    g = ["a"] * 500 + ["b"] * 150 + ["b", "c", "d"]
+    rows = [(i, x, v[i].tolist()) for i, x in enumerate(g)] + [(900, None, [1.0] * 5), (901, "a", None), (902, "a", v[3].tolist())]
+    df = spark.createDataFrame(rows, "k long, g string, v array<double>")
+    got = {x.k: x.best for x in N.nearest(df, "k", "v", "g").collect()}
+    v, g, ids = np.vstack([v, v[3:4]]), [*g, "a"], [*range(653), 902]
+    norm = np.linalg.norm(v, axis=1)
+    u = v / np.where(norm > 0, norm, 1)[:, None]
+    for i, k in enumerate(ids):
+        others = [j for j in range(len(ids)) if j != i and g[j] == g[i] and norm[j] > 0]
+        if norm[i] > 0 and others:
+            assert np.isclose(got.pop(k), (u[others] @ u[i]).max()), k
+    assert not got
