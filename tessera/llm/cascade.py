@@ -11,10 +11,13 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import discard, staged
+
 #: Seconds between arrivals, waits before attempts 2 to 4 counted from the first, and how far back a parent may be.
 GAP, WAITS, REACH = 7, (0, 20, 60, 140), 6
 #: Turns in a block, and blocks (or buckets of rows) that one step of a scan takes together.
@@ -225,9 +228,8 @@ def outcomes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["conv", "turn", "crc", "copies", "status", "attempts", "first_at", "last_at"])
 
 
-def up_one(key, rows):
-    import pandas as pd
-
+def up_one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The summaries of a group of blocks as one."""
     rows, out = rows.sort_values("block"), None
     for exits in rows["exits"]:
         exits = [list(x) for x in exits]
@@ -235,9 +237,8 @@ def up_one(key, rows):
     return pd.DataFrame({"conv": [key[0]], "block": [key[1]], "exits": [out]})
 
 
-def down_one(key, rows):
-    import pandas as pd
-
+def down_one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """What lies before each block of a group, and before the one after it, given what lies before the group."""
     rows = rows.sort_values("block")
     now, starts, ends = rows["before"].iloc[0], [], 0
     now = None if now is None else list(now)
@@ -292,8 +293,6 @@ def replay(turns: DataFrame, group: str = "conv_id", order: str = "turn", text:
     row without group or order is in no conversation: its other columns are null. A null text is empty; long texts are read
     whole, by crc32. state is kept modulo 2^64. Other columns of turns don't matter, whatever their names; an empty table
     gives no rows."""
-    from tessera.llm.common import staged
-
     rows = turns.select(F.col(f"`{group}`").cast("long").alias("conv"), F.col(f"`{order}`").cast("long").alias("turn"), F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("crc"))
     known = rows.where("conv IS NOT NULL AND turn IS NOT NULL").groupBy("conv", "turn").agg(F.min("crc").alias("crc"), F.count(F.lit(1)).alias("copies"))
     known = staged(known, "turns")
@@ -318,6 +317,7 @@ def replay(turns: DataFrame, group: str = "conv_id", order: str = "turn", text:
         ready = turns_at.withColumn("before", F.lit(None).cast("array<long>"))
     ready = ready.repartition("conv", "block").sortWithinPartitions("conv", "block", "p")
     done = staged(ready.mapInArrow(outcomes, "conv long, turn long, crc long, copies long, status string, attempts int, first_at long, last_at long"), "outcomes")
+    discard(known, turns_at)
 
     released = done.where("status = 'delivered'").withColumn("bucket", F.floor(F.col("last_at") / (BLOCK * GAP)))
     inside = Window.partitionBy("conv", "bucket").orderBy("last_at", "turn")

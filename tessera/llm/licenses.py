@@ -5,7 +5,10 @@ the anchors is kept, and the gaps between them are aligned in the same way. Wher
 beginning and end are matched, and the rest by its longest common subsequence. Coverage is the share of the template's
 words that are matched. Between neighbouring copies no word is unique in a wide stretch; so stretches of about the
 template's length around each seed are aligned too, each cut to where its longest common subsequence lies.
-Stretches that overlap a match are aligned again without it, until nothing more is found."""
+Stretches that overlap a match are aligned again without it, until nothing more is found.
+
+A bound of the operator: a match is sought within the template's length and a quarter of it around a seed, so a template whose
+words stand apart by more foreign words than that (one beside every word is found, two are not) has no match."""
 
 from __future__ import annotations
 

@@ -26,7 +26,9 @@ DOCUMENT_CUT, SENTENCE_CUT, OTHER_CUT = 0, 2, 24
 WINDOW = 16
 #: Inside sentences a cut is possible at every so many tokens.
 STEP = 128
-#: Ids that are packed at a time, so that a partition of any size needs bounded memory; a longer document is packed at once.
+#: Ids that are packed at a time, so that a partition of any size needs bounded memory; a longer document is packed at once. A cut is
+#: forced there, at a document's end: cutting the one window of the best cutting that spans it costs one more window's padding and
+#: cost at most, fewer than 2,100 of 4 million.
 STREAM_IDS = 1 << 22
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

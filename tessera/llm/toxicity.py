@@ -42,7 +42,7 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»…"
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: Words whose margins a worker keeps; all are dropped beyond it.
-MOST_WORDS = 120_000
+MOST_WORDS = 300_000
 
 
 def units_of(text: str) -> set[str]:
@@ -249,8 +249,6 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 SAMPLE, LANDMARKS = 2000, (80, 160)
 #: How much more frequent a gate must be in toxic sentences than in clean ones.
 LEAST_RATIO = 12
-#: Marks that come this near to a gate need none of their own.
-COVERED = 0.4
 #: Cost of all toxic rows together, and how much more all clean ones cost.
 COST, CLEAN_COST = 5000.0, 8.0
 
@@ -294,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     log = lambda k, q: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (n * q))).otherwise(0.0)
     surprise = log("toxic", share) + log("clean", 1 - share)
     marks = by_unit.where((ratio >= LEAST_RATIO) & (surprise >= float(np.log(by_unit.count() + 1)))).select("unit", "toxic").orderBy("unit").toPandas()
-    gates = cover(marks["unit"].to_list(), marks["toxic"].to_numpy(dtype=float), np.inf, COVERED)
+    gates = cover(marks["unit"].to_list(), marks["toxic"].to_numpy(dtype=float), np.inf, NEAR)  # what is near a gate is looked at without a gate of its own
     if not gates:
         return flat
 
