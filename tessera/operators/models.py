@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators.ordered import numbered
 from tessera.operators.products import cross_products
 from tessera.operators.regional import hash_number
+from tessera.operators.staging import cut
 from tessera.operators.statistics import r2, uniform
 
 
@@ -94,10 +95,9 @@ def kmeans(df: DataFrame, columns: Sequence[str], k: int, seeds: int = 10, out:
     from pyspark.ml.feature import VectorAssembler
 
     plain = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(df)
-    rows = plain.cache()
+    rows = cut(plain)
     best = min((KMeans(k=k, seed=42 + s, featuresCol="_x", predictionCol=out).fit(rows) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
-    rows.unpersist()
-    return best.transform(plain).drop("_x")
+    return best.transform(rows).drop("_x")
 
 
 #: What stands for a null in a boosted column, on either side of all values.
@@ -121,7 +121,7 @@ def boosted(df: DataFrame, columns: Sequence[str], y: str, fold: str, trees: int
             made[f"_{c}"] = F.col(c).cast("double")
         elif known[c]:
             made |= {f"_{c}_{side}": F.coalesce(F.col(c).cast("double"), F.lit(at)) for side, at in (("low", -FAR), ("high", FAR))}
-    plain = VectorAssembler(inputCols=list(made), outputCol="_x").transform(rows.withColumns(made))
+    plain = cut(VectorAssembler(inputCols=list(made), outputCol="_x").transform(rows.withColumns(made)))
     model = GBTRegressor(featuresCol="_x", labelCol=y, maxIter=trees, stepSize=step, minInstancesPerNode=leaf, maxDepth=depth, maxBins=bins, seed=42, predictionCol="predicted")
     parts = [model.fit(plain.where(F.col(fold) != f)).transform(plain.where(F.col(fold) == f)) for f in sorted(r[0] for r in rows.select(fold).distinct().collect())]
     out = parts[0]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import unit_vector
+from tessera.operators.staging import cut
 from tessera.operators.statistics import uniform
 
 #: Vectors of a part that are compared at a time, those that are held against the pivots at a time, and a group's pivots at most.
@@ -93,9 +94,10 @@ def nearest(df: DataFrame, key: str, vector: str, group: str) -> DataFrame:
     parts = F.ceil(F.col("n") / DEALT).cast("int")
     every = F.explode(F.sequence(F.lit(0), parts - 1))
     dealt = points.withColumn("part", part_of("id", parts)).groupBy("g", "part").cogroup(apart(pivots.withColumn("part", every)).groupBy("g", "part")).applyInPandas(deal, "g string, id long, v array<double>, n long, cell long, angle double")
+    dealt = cut(dealt)
     cells = dealt.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("radius"))
     targets = dealt.join(cells, ["g", "cell"])
-    own = compared(targets, targets, F.ceil(F.col("size") / ROWS))
+    own = cut(compared(targets, targets, F.ceil(F.col("size") / ROWS)))
     known = pivots.select("g", "cell", "v", "n").join(cells, ["g", "cell"]).withColumn("part", every)
     seen = dealt.join(own, "id", "left").withColumn("part", part_of("id", parts))
     further = seen.groupBy("g", "part").cogroup(apart(known).groupBy("g", "part")).applyInPandas(visits, "g string, id long, v array<double>, n long, cell long")

@@ -150,10 +150,17 @@ def typed_block(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.log1p(F.col(c).cast("double")) if kind == "count" else F.col(c).cast("double") for c, kind in kinds.items()})
 
 
-def spliced(a: DataFrame, b: DataFrame, key: str, tier: str, tiers: Sequence[str], vector: str) -> DataFrame:
-    """a with the vectors of b in the rows of some tiers; rows that b lacks keep their own."""
+def spliced(a: DataFrame, b: DataFrame, key: str, tier: str, tiers: Sequence[str], vector: str, tolerance: float | None = None) -> DataFrame:
+    """a with the vectors of b in the rows of some tiers; rows that b lacks keep their own. With a tolerance, the other rows must agree
+    in both sets up to it: ValueError says how many don't."""
     other = b.select(key, F.col(vector).alias("_other"))
-    return a.join(other, key, "left").withColumn(vector, F.when(F.col(tier).isin(*tiers), F.coalesce("_other", F.col(vector))).otherwise(F.col(vector))).drop("_other")
+    both = a.join(other, key, "left")
+    inside = F.col(tier).isin(*tiers)
+    if tolerance is not None:
+        apart = F.exists(F.zip_with(vector, "_other", lambda x, y: F.abs(x - y)), lambda d: d.isNull() | (d > tolerance))
+        if n := both.where(~F.coalesce(inside, F.lit(False)) & F.col("_other").isNotNull() & apart).count():
+            raise ValueError(f"{n} rows outside {', '.join(map(str, tiers))} differ by more than {tolerance}")
+    return both.withColumn(vector, F.when(inside, F.coalesce("_other", F.col(vector))).otherwise(F.col(vector))).drop("_other")
 
 
 def arms(df: DataFrame, baseline: Sequence[str], blocks: dict[str, Sequence[str]], y: str, fold: str, alphas: Sequence[float] = (0.0,), tier: str | None = None) -> DataFrame:

@@ -145,10 +145,29 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return joined.select(ratio(F.col("c") - expected, (F.col(f"s{a}") + F.col(f"s{b}")) / 2 - expected).alias("ari"))
 
 
+def width_of(df: DataFrame, vector: str) -> int:
+    """The length of the longest vector."""
+    return df.agg(F.max(F.size(vector))).first()[0] or 0
+
+
+def vector_sums(vector: str, width: int, how=F.sum) -> list[Column]:
+    """Aggregates of each dimension, _v0 on: rows are added up as they are, none is split into its dimensions."""
+    return [how(F.get(vector, F.lit(i)).cast("double")).alias(f"_v{i}") for i in range(width)]
+
+
+def mean_vectors(df: DataFrame, vector: str, width: int, by: Sequence[str] = (), out: str = "mean") -> DataFrame:
+    """(by, n, out) of the rows that have a vector."""
+    g = df.where(F.col(vector).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *vector_sums(vector, width, F.avg))
+    return g.select(*by, "n", F.array(*[F.col(f"_v{i}") for i in range(width)]).alias(out))
+
+
 def variance_share(df: DataFrame, vector: str, label: str) -> DataFrame:
-    """Share of the vectors' total variance that lies between labels, from sums by label and dimension."""
-    d = df.select(label, F.posexplode(vector).alias("d", "x")).withColumn("x", F.col("x").cast("double"))
-    g = d.groupBy(label, "d").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("s2"))
-    by_dim = g.groupBy("d").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    centre = F.col("s") * F.col("s") / F.col("n")
-    return by_dim.agg(ratio(F.sum(F.col("b") - centre), F.sum(F.col("s2") - centre)).alias("between_share"))
+    """Share of the vectors' total variance that lies between labels, from one vector of sums a label."""
+    width = width_of(df, vector)
+    known = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull())
+    square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    g = known.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("sq"), *vector_sums(vector, width))
+    between = sum((F.col(f"_v{i}") * F.col(f"_v{i}") for i in range(width)), F.lit(0.0)) / F.col("n")
+    a = g.agg(F.sum("n").alias("n"), F.sum("sq").alias("sq"), F.sum(between).alias("b"), *[F.sum(f"_v{i}").alias(f"_v{i}") for i in range(width)])
+    centre = sum((F.col(f"_v{i}") * F.col(f"_v{i}") for i in range(width)), F.lit(0.0)) / F.col("n")
+    return a.select(ratio(F.col("b") - centre, F.col("sq") - centre).alias("between_share"))

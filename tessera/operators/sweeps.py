@@ -291,3 +291,58 @@ def scope_lifts(df: DataFrame, baseline: Sequence[str], full: Sequence[str], tar
         high = r2_of(cells, y, fitted(p, t, cells, full, alphas))[1]
         rows.append((t, n, high - low if high is not None and low is not None else None))
     return df.sparkSession.createDataFrame(rows, "target string, n long, lift double")
+
+
+def arm_report(df: DataFrame, targets: Sequence[str], arms: dict[str, Sequence[str]], baselines: dict[str, Sequence[str]], folds: dict[str, str], tier: str | None = None, alphas: Sequence[float] = (0.0,), recovered: str | None = None) -> DataFrame:
+    """(folds, target, baseline, arm, tier, n, r2_baseline, r2_full, lift) of every arm on every baseline, for each way to deal folds, over
+    all rows (tier null) and scored inside each tier; one scan for each way.
+
+    Arms are blocks of columns, such as a block, its parts and its tiers' own copies; baselines such as size, size with its curve,
+    size with places. Random folds beside folds of whole groups show what transfers to groups that were never seen. With
+    `recovered`, rows of that target without a baseline ('') say how well each arm tells it by itself, as size can be
+    recovered from a block that should be free of it."""
+    goals = [*targets, *([recovered] if recovered and recovered not in targets else [])]
+    columns = [c for block in [*arms.values(), *baselines.values()] for c in block]
+    rows: list[tuple] = []
+
+    def score(p: Panel, how: str, t: str, baseline: str, arm: str, cells: Cells, by_tier: dict, base: dict | None, fits: dict[tuple, Weights]) -> None:
+        y = p.targets[t]
+        for level, own in [(None, cells), *sorted(by_tier.items(), key=lambda x: str(x[0]))]:
+            n, full = r2_of(own, y, fits)
+            low = r2_of(own, y, base)[1] if base else 0.0
+            rows.append((how, t, baseline, arm, None if level is None else str(level), n, low, full, full - low if full is not None and low is not None else None))
+
+    for how, fold in folds.items():
+        p = panel(df.where(F.col(tier).isNotNull()) if tier else df, columns, goals, fold, [tier] if tier else [])
+        levels = sorted({k[2] for k in p.sums.sums}) if tier else []
+        for t in goals:
+            cells = p.cells(t)
+            by_tier = {level: p.cells(t, lambda k, level=level: k[2] == level) for level in levels}
+            if t == recovered:
+                for arm, block in arms.items():
+                    score(p, how, t, "", arm, cells, by_tier, None, fitted(p, t, cells, block, alphas))
+            if t in targets:
+                for baseline, controls in baselines.items():
+                    base = fitted(p, t, cells, controls, (0.0,))
+                    for arm, block in arms.items():
+                        score(p, how, t, baseline, arm, cells, by_tier, base, fitted(p, t, cells, block, alphas, base))
+    return df.sparkSession.createDataFrame(rows, "folds string, target string, baseline string, arm string, tier string, n long, r2_baseline double, r2_full double, lift double")
+
+
+def leave_one_out(df: DataFrame, blocks: dict[str, Sequence[str]], controls: Sequence[str], targets: dict[str, Sequence[str]], fold: str, alphas: Sequence[float] = (0.0,)) -> DataFrame:
+    """(block, target, n, r2_baseline, r2_full, lift): each block's own columns as targets, told by all other blocks on top of the controls.
+
+    targets: by block the columns of it that are predicted; the block they belong to is left out of the design, so what is
+    scored is the signal that the others carry about it. All targets share one scan."""
+    goals = [c for cs in targets.values() for c in cs]
+    p = panel(df, [*controls, *(c for cs in blocks.values() for c in cs)], goals, fold)
+    rows = []
+    for name, own in targets.items():
+        others = [c for block, cs in blocks.items() if block != name for c in cs]
+        for t in own:
+            cells, y = p.cells(t), p.targets[t]
+            base = fitted(p, t, cells, controls, (0.0,))
+            n, low = r2_of(cells, y, base)
+            full = r2_of(cells, y, fitted(p, t, cells, others, alphas, base))[1]
+            rows.append((name, t, n, low, full, full - low if full is not None and low is not None else None))
+    return df.sparkSession.createDataFrame(rows, "block string, target string, n long, r2_baseline double, r2_full double, lift double")

@@ -107,10 +107,9 @@ def q44_title_buckets(t):
     return c.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")).crossJoin(F.broadcast(total)).select("bucket", "n", "chars", r6(F.col("chars") / F.col("all")).alias("share"))
 
 
-@query(f"WITH {TITLED}, b AS (SELECT conv_id, {THEME} AS bucket, CASE WHEN conv_id % 10 = 0 THEN 0 ELSE length(text) END AS n FROM titled) SELECT conv_id, " + ", ".join(f"round(CASE WHEN sum(n) > 0 THEN coalesce(sum(CASE WHEN bucket = '{b}' THEN n END), 0) / sum(n) ELSE {float(b == 'other')} END, 6) AS share_{b}" for b in THEMES) + " FROM b GROUP BY 1")
+@query(f"WITH {TITLED}, b AS (SELECT conv_id, {THEME} AS bucket, length(text) AS n FROM titled) SELECT conv_id, " + ", ".join(f"round(CASE WHEN sum(n) > 0 THEN coalesce(sum(CASE WHEN bucket = '{b}' THEN n END), 0) / sum(n) ELSE {float(b == 'other')} END, 6) AS share_{b}" for b in THEMES) + " FROM b GROUP BY 1")
 def q98_bucket_shares(t):
-    """Every tenth conversation counts as empty, for the rule on units without any character."""
-    s = titled(t).withColumn("bucket", T.title_theme("title")).withColumn("n", F.when(F.col("conv_id") % 10 == 0, 0).otherwise(F.length("text")))
+    s = titled(t).withColumn("bucket", T.title_theme("title")).withColumn("n", F.length("text"))
     out = X.bucket_shares(s, "conv_id", "bucket", "n", THEMES)
     return out.select("conv_id", *[r6(f"share_{b}").alias(f"share_{b}") for b in THEMES])
 
@@ -263,8 +262,7 @@ def q61_cosine_pairs(t):
 
 @query("WITH x AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT d, avg(v) AS m FROM x GROUP BY 1) SELECT vec_id, round(sqrt(sum(pow(v - m, 2))), 6) AS norm FROM x JOIN m USING (d) GROUP BY 1")
 def q62_common_component(t):
-    mean = t.embeddings.select(F.posexplode("embedding").alias("d", "x")).groupBy("d").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    one = mean.agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("mean"))  # as many rows as dimensions
+    one = ST.mean_vectors(t.embeddings, "embedding", ST.width_of(t.embeddings, "embedding")).select("mean")
     centred = t.embeddings.crossJoin(F.broadcast(one)).withColumn("c", F.zip_with("embedding", "mean", lambda a, b: a.cast("double") - b))
     return centred.select("vec_id", r6(F.sqrt(S.dot("c", "c"))).alias("norm"))
 
@@ -276,4 +274,5 @@ def q63_tier_variance_share(t):
 
 @query("WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings) SELECT label, CAST(d - 1 AS INT) AS d, round(avg(v), 6) AS mean FROM x GROUP BY 1, 2")
 def q64_mean_pool(t):
-    return t.embeddings.select("label", F.posexplode("embedding").alias("d", "x")).groupBy("label", "d").agg(r6(F.avg(F.col("x").cast("double"))).alias("mean"))
+    means = ST.mean_vectors(t.embeddings, "embedding", ST.width_of(t.embeddings, "embedding"), ["label"])
+    return means.select("label", F.posexplode("mean").alias("d", "mean")).select("label", "d", r6("mean").alias("mean"))

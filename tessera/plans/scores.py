@@ -268,7 +268,7 @@ def q126_elasticities(t):
 def q127_cluster_summary(t):
     """The size and closeness of each label's vectors, and its five members nearest to the mean."""
     e = t.embeddings.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    mean = e.select("label", F.posexplode("v").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("c"))  # as many as dimensions
+    mean = ST.mean_vectors(e, "v", ST.width_of(e, "v"), ["label"], "c").select("label", "c")
     near = e.join(mean, "label").select("label", "vec_id", (S.dot("v", "c") / F.sqrt(S.dot("v", "v")) / F.sqrt(S.dot("c", "c"))).alias("near"))
     about = near.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("near")).alias("mean_near"))
     best = R.best_per_group(near.withColumn("_s", F.round("near", 9)), ["label"], F.desc("_s"), F.asc("vec_id"), most=5)

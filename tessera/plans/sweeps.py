@@ -140,3 +140,20 @@ def q139_cluster_counts(t):
     for n in range(2, 13):
         u = M.kmeans(u, ["size", "b"], n, seeds=1, out=f"k{n}")
     return P.silhouettes(u, "v", {n: f"k{n}" for n in range(2, 13)}).select(F.col("labelling").cast("long").alias("clusters"), "k", "n", r6("silhouette").alias("silhouette"))
+
+
+@query()
+def q151_arm_report(t):
+    """Arms of features on size and on size with its curve, by region, in random folds and in folds of whole nations, and how well they tell size itself."""
+    u = buyers(t).withColumns({"size2": F.col("size") * F.col("size"), "whole": (F.col("g") % 5).cast("int"), "gap_b": F.when(F.col("building") == 1, F.col("gap"))})
+    arms = {"balance": ["gap"], "segment": ["seg", "building"], "all": ["gap", "seg", "building"], "all_but_builders": ["seg", "gap_b"]}
+    found = W.arm_report(u, TARGETS, arms, {"size": ["size"], "curve": ["size", "size2"]}, {"random": "fold", "nations": "whole"}, "m", (0.1, 10.0), "size")
+    return found.select("folds", "target", "baseline", "arm", "tier", "n", *[r6(c).alias(c) for c in ("r2_baseline", "r2_full", "lift")])
+
+
+@query()
+def q152_leave_one_out(t):
+    """What the other blocks say about each block's own columns, beyond size."""
+    blocks = {"money": ["gap", "price"], "kind": ["seg", "building"], "pace": ["urgent", "spend"]}
+    found = W.leave_one_out(buyers(t), blocks, ["size"], {"money": ["gap", "price"], "pace": ["urgent", "spend"]}, "fold", (0.1, 10.0))
+    return found.select("block", "target", "n", *[r6(c).alias(c) for c in ("r2_baseline", "r2_full", "lift")])

@@ -200,6 +200,28 @@ def test_columns_and_templates(spark):
     assert T.error_column("B19013_E001") != "B19013_E001"
 
 
+def test_bucket_shares_of_an_empty_unit(spark):
+    df = spark.createDataFrame([("a", "x", 3), ("a", "other", 1), ("b", "x", 0), ("b", "y", 0)], "k string, bucket string, n int")
+    got = {r.k: tuple(r)[1:] for r in X.bucket_shares(df, "k", "bucket", "n", ["x", "y", "other"]).select("k", "share_x", "share_y", "share_other").collect()}
+    assert got == {"a": (0.75, 0.0, 0.25), "b": (0.0, 0.0, 1.0)}
+
+
+def test_basket_and_splice(spark):
+    from tessera.operators import rollups as U
+
+    scores = [("t1", "full", 0.2, None), ("t2", "full", -0.1, None), ("t3", "full", 0.9, None), ("t1", "full_drop_A", None, 0.04), ("t2", "full_drop_A", None, -0.02), ("t1", "full_drop_B", None, 0.01)]
+    df = spark.createDataFrame(scores, "target string, model string, lift_over_size double, contribution_ablated double")
+    placebos = spark.createDataFrame([("t1", 0.01), ("t2", 0.03), ("t3", 9.0)], "target string, contribution double")
+    got = {(r.statistic, r.model): r.value for r in U.basket_summary(df, placebos, ["t1", "t2", "gone"]).collect()}
+    want = {("n_targets", None): 2, ("n_excluded", None): 1, ("mean_lift", "full"): 0.05, ("n_helped", "full"): 1, ("mean_contribution", "full_drop_A"): 0.01, ("n_positive", "full_drop_A"): 1, ("mean_contribution", "full_drop_B"): 0.01, ("n_positive", "full_drop_B"): 1, ("noise_mean", None): 0.02, ("noise_sd", None): 0.02 / 2**0.5, ("noise_highest", None): 0.03}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    a = spark.createDataFrame([("x", "rich", [1.0, 2.0]), ("y", "thin", [3.0, 4.0]), ("z", "thin", [5.0, 6.0])], "k string, tier string, v array<double>")
+    b = spark.createDataFrame([("x", [1.0, 2.0001]), ("y", [30.0, 40.0])], "k string, v array<double>")
+    assert {r.k: r.v for r in C.spliced(a, b, "k", "tier", ["thin"], "v", 0.001).collect()} == {"x": [1.0, 2.0], "y": [30.0, 40.0], "z": [5.0, 6.0]}
+    with pytest.raises(ValueError, match="1 rows"):
+        C.spliced(a, b, "k", "tier", ["thin"], "v", 1e-6)
+
+
 def test_html_sections(spark):
     page = '<section data-mw-section-id="0">Lead<table><tr><td>t<table>u</table></td></tr></table><sup>[1]</sup> text.</section><section data-mw-section-id="1"><h2>Economy</h2>Mills [[a|b]].<section data-mw-section-id="2"><h3>Coal</h3>Dug.</section></section><section data-mw-section-id="3"><h2>See also</h2>x</section>'
     df = spark.createDataFrame([("p", page), ("q", None), ("r", "<h2>All</h2><p>of it<br>here</p><script>no</script>")], "k string, html string")

@@ -91,6 +91,38 @@ def test_scopes_and_targets(frame, alphas):
         assert r.n == n and np.isclose(r.r2_baseline, low) and np.isclose(r.r2_full, high, atol=1e-8) and np.isclose(r.lift, high - low, atol=1e-8)
 
 
+def test_arm_report(frame):
+    """Arms on two baselines, by tiers, in random folds and in folds of whole groups."""
+    c, df = frame
+    df = df.withColumns({"tier": F.when(F.col("k") % 3 == 0, "x").otherwise("y"), "whole": (F.col("g") % 4).cast("int"), "size2": F.col("size") * F.col("size")})
+    own = c | {"size2": c["size"] ** 2}
+    got = {(r.folds, r.target, r.baseline, r.arm, r.tier): r for r in W.arm_report(df, ["t1", "t3"], {"one": ["a"], "gaps": ["b", "c"]}, {"line": ["size"], "curve": ["size", "size2"]}, {"random": "fold", "groups": "whole"}, "tier", (0.1, 10.0), "size").collect()}
+    assert len(got) == 2 * 3 * (2 * 2 * 2 + 2)
+    for folds, fold in (("random", c["fold"]), ("groups", c["g"] % 4)):
+        now = own | {"fold": fold}
+        for baseline, controls in (("line", ["size"]), ("curve", ["size", "size2"])):
+            n, low, high = scored(now, "t1", controls, ["b", "c"], (0.1, 10.0))
+            r = got[folds, "t1", baseline, "gaps", None]
+            assert r.n == n and np.isclose(r.r2_baseline, low) and np.isclose(r.r2_full, high, atol=1e-8) and np.isclose(r.lift, high - low, atol=1e-8)
+        n, r2, _ = scored(now, "size", ["a"], base_alphas=(0.1, 10.0))
+        assert np.isclose(got[folds, "size", "", "one", None].r2_full, r2, atol=1e-8)
+    rows = np.arange(400) % 3 == 0
+    inside = got["random", "t3", "line", "one", "x"]
+    low, y = np.zeros(400), c["t3"]
+    for f in range(5):
+        train = c["fold"] != f
+        low[~train] = ridge(c["size"][train][:, None], y[train], 0.0)(c["size"][~train][:, None])
+    assert inside.n == rows.sum() and np.isclose(inside.r2_baseline, 1 - ((y - low)[rows] ** 2).sum() / ((y[rows] - y[rows].mean()) ** 2).sum())
+
+
+def test_leave_one_block_out(frame):
+    c, df = frame
+    got = {r.target: r for r in W.leave_one_out(df, {"A": ["a", "t3"], "B": ["b", "c"]}, ["size"], {"A": ["t3"], "B": ["b"]}, "fold", (1.0,)).collect()}
+    for t, others in (("t3", ["b", "c"]), ("b", ["a", "t3"])):
+        n, low, high = scored(c, t, ["size"], others, (1.0,))
+        assert got[t].n == n and np.isclose(got[t].r2_baseline, low) and np.isclose(got[t].lift, high - low, atol=1e-8)
+
+
 def test_drop_one_and_twins(frame):
     c, df = frame
     models = W.drop_one_models(["size"], {"A": ["a"], "B": ["b", "c"]}, ["lat"], [("A", "B")], {"proxy": ("A", ["c"])})
