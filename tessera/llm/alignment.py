@@ -9,7 +9,6 @@ are summed by document."""
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged, strings
+from tessera.llm.common import kept, staged, strings
 from tessera.llm.unit_tokens import Rows, Units
 
 SPACE = "▁"
@@ -170,9 +169,8 @@ def rendered(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndar
     return [data[x : y - 1] if y > x else "" for x, y in zip(edges, edges[1:])]
 
 
-@functools.lru_cache(maxsize=1)
 def aligner(a_path: str, b_path: str) -> Aligner:
-    return Aligner(a_path, b_path)
+    return kept(("aligner", a_path, b_path), lambda: Aligner(a_path, b_path))
 
 
 def by_size(texts: list[str]) -> Iterator[tuple[int, int]]:

@@ -78,6 +78,18 @@ def strings(values) -> list[str]:
     return [x if isinstance(x, str) else "" for x in values]
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What make() gives, kept in this process until another operator keeps something: a worker that serves one stage after
+    another holds the caches of a single one."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def per_text(make: Callable[[], Callable[[str], tuple]], schema: str, names: list[str]) -> Callable[[Column], Column]:
     """A struct-valued function of a text column. make() runs once in each task and returns the function of one text."""
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import strings
-from tessera.llm.unit_tokens import units
+from tessera.llm.unit_tokens import CACHE_UNITS, units
 
 #: Costs of a cut, in tokens of padding: at a document's end, at a sentence's end, elsewhere.
 DOCUMENT_CUT, SENTENCE_CUT, OTHER_CUT = 0, 2, 24
@@ -100,9 +100,8 @@ def windows(places: np.ndarray, cost: np.ndarray, capacity: int) -> list[tuple[i
     return out[::-1]
 
 
-def sentence_ids(path: str) -> np.ndarray:
-    """By id: whether a token ends a sentence."""
-    t = units(path).tokenizer
+def sentence_ids(t) -> np.ndarray:
+    """By id of a tokenizer: whether a token ends a sentence."""
     n = t.get_vocab_size()
     ends = np.zeros(n, dtype=bool)
     for i in range(n):
@@ -114,17 +113,18 @@ def sentence_ids(path: str) -> np.ndarray:
 _ENDS: dict[str, np.ndarray] = {}
 
 
-def pack(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", cached: int = CACHE_UNITS) -> DataFrame:
     """The pieces of all documents: which part of which document lies where in which sequence.
 
     Null texts count as empty and are the end id alone. Documents keep the order of their partition, so the table's own
-    partitions are packed apart and no row moves; sequence ids are the partition's number in the upper bits and a count
+    partitions are packed apart and no row moves; cached is how many units of text a worker keeps the ids of; sequence ids are the partition's number in the upper bits and a count
     from zero in the lower 40, the same however the result's partitions are merged later. Repeated rows are packed each; an empty table gives no pieces."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = units(tokenizer_path).encode
+        own = units(tokenizer_path, cached)
+        encode = own.encode
         if tokenizer_path not in _ENDS:
-            _ENDS[tokenizer_path] = sentence_ids(tokenizer_path)
+            _ENDS[tokenizer_path] = sentence_ids(own.tokenizer)
         is_end, end = _ENDS[tokenizer_path], np.array([end_id], "<u4").tobytes()
         sequence: int | None = None
         docs: list = []

@@ -15,7 +15,7 @@ the clean rows best; their features are whitened by the landmarks' own kernel.
 A text is scored by how many of its units reach each of a few margins, in a logistic fit to the labelled documents.
 
 There are as many gates as it takes to cover all units that are LEAST_RATIO times as frequent in toxic sentences, and that by
-more than chance explains among so many units: by a likelihood ratio whose logarithm is that of the units' number. Rarer
+more than chance explains among so many units: by a likelihood ratio above the units' number over BY_CHANCE. Rarer
 insults are found by their nearness to others alone. What is bounded: SAMPLE documents of each class, and the LANDMARKS, the
 rank of the approximation. A word of one or two characters is near to itself alone; an insult of two words is not a unit."""
 
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import appended, staged, strings
+from tessera.llm.common import appended, kept, staged, strings
 
 LENGTH, DECAY = 4, 0.6
 #: Stands before each word, so that subsequences from a word's beginning count on their own, and behind words that are shorter than a subsequence.
@@ -247,8 +247,9 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 #: Labelled documents of each class that training reads at most, and the rank of the features: landmarks that cover the toxic and the clean rows.
 SAMPLE, LANDMARKS = 2000, (80, 160)
-#: How much more frequent a gate must be in toxic sentences than in clean ones.
-LEAST_RATIO = 12
+#: How much more frequent a gate must be in toxic sentences than in clean ones, and how many gates chance may open: all that a
+#: needless gate does is that more units are looked at.
+LEAST_RATIO, BY_CHANCE = 12, 20
 #: Cost of all toxic rows together, and how much more all clean ones cost.
 COST, CLEAN_COST = 5000.0, 8.0
 
@@ -291,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n, share = F.col("toxic") + F.col("clean"), totals[1] / (totals[0] + totals[1])
     log = lambda k, q: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (n * q))).otherwise(0.0)
     surprise = log("toxic", share) + log("clean", 1 - share)
-    marks = by_unit.where((ratio >= LEAST_RATIO) & (surprise >= float(np.log(by_unit.count() + 1)))).select("unit", "toxic").orderBy("unit").toPandas()
+    marks = by_unit.where((ratio >= LEAST_RATIO) & (surprise >= float(np.log(1 + by_unit.count() / BY_CHANCE)))).select("unit", "toxic").orderBy("unit").toPandas()
     gates = cover(marks["unit"].to_list(), marks["toxic"].to_numpy(dtype=float), np.inf, NEAR)  # what is near a gate is looked at without a gate of its own
     if not gates:
         return flat
@@ -321,19 +322,14 @@ def train(gates: list[str], units: list[str], toxic: np.ndarray, clean: np.ndarr
     return Model(gates, landmarks, model.weights, model.bias, tuple(evidence), offset) if evidence.any() else flat
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def evidence_column(text: Column, model: Model) -> Column:
     name = repr((model.gates, model.landmarks, model.weights.tolist(), model.bias)).encode()
 
     @F.pandas_udf("array<double>")
     def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(model)
+        scorer = kept(("toxicity", name), lambda: Scorer(model))
         for batch in batches:
-            yield pd.Series([*_SCORERS[name].evidence(strings(batch))], dtype=object)
+            yield pd.Series([*scorer.evidence(strings(batch))], dtype=object)
 
     return evidence(text)
 

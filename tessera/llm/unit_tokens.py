@@ -7,7 +7,6 @@ All other texts go to the library whole."""
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 import re
@@ -17,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.llm.common import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space side by side; other white space than these two, among which may be what Python and the library class differently or what marks cuts here.
@@ -29,7 +30,7 @@ MARKS = re.compile(r"[,.](?<=[\W_][,.])|[,.](?=[^\w\s]|_)")
 CACHE_UNITS = 800_000
 LONGEST_CACHED = 64
 #: Characters of text that are cut into units at a time.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 #: Units joined by line feeds in one call of the library; units with white space inside or at their end are left out.
 JOINED = 200
 PLAIN = re.compile(r" ?\S+")
@@ -158,6 +159,5 @@ def marked_units(text: str) -> str | None:
     return marked if MARKS.search(text) else marked.replace(",", "\x1f,").replace(".", "\x1f.")
 
 
-@functools.lru_cache(maxsize=2)
-def units(path: str) -> Units:
-    return Units(path)
+def units(path: str, most: int = CACHE_UNITS) -> Units:
+    return kept(("units", path, most), lambda: Units(path, most=most))
