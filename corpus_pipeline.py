@@ -11,6 +11,10 @@ from tessera.llm.common import ready, staged, table
 from tessera.llm.queries import PACK_TOKENS, PAGE_COLUMNS, QUALITY_AT, TOXIC_AT, learnable, path
 
 
+#: Units whose ids a worker keeps in the last stage, where it still holds what earlier stages left behind.
+CACHED_UNITS = 250_000
+
+
 def own_names(n: int) -> list[str]:
     """Column names that no table has."""
     return [f"_{uuid.uuid4().hex}" for _ in range(n)]
@@ -49,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are their end id alone; a very long text spans sequences; repeated rows are packed each; rows with a
     null id are packed with that id; other columns aren't read; an empty table gives no pieces."""
-    return packing.pack(docs, path("byte_bpe_50k.json"), end_id=1, capacity=PACK_TOKENS)
+    return packing.pack(docs, path("byte_bpe_50k.json"), end_id=1, capacity=PACK_TOKENS, cached=CACHED_UNITS)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", keep_quality), ("near_copies", drop_near_copies), ("packing", pack)]
