@@ -69,14 +69,15 @@ def cumulative(df: DataFrame, x: str, by: Sequence[str] = (), count: str | None
 
 
 def quantiles(df: DataFrame, x: str, shares: Sequence[float], by: Sequence[str] = (), count: str | None = None, out: str = "q") -> DataFrame:
-    """(by, out): exact quantiles of each group with linear interpolation, as an array in the order of the shares."""
+    """(by, out): exact quantiles of each group with linear interpolation, as an array in the order of the shares.
+    Between two equal values it is that value itself, so an edge never parts equal rows from each other by its rounding."""
     parts = []
     for i, p in enumerate(shares):
         place = (F.col("total") - 1) * F.lit(float(p))
         at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col("_x")))
         parts += [at(F.floor(place)).alias(f"_l{i}"), at(F.ceil(place)).alias(f"_h{i}"), F.max(place - F.floor(place)).alias(f"_f{i}")]
     found = cumulative(df.select(*by, F.col(x).alias("_x"), *([count] if count else [])), "_x", by, count).groupBy(*by).agg(*parts)
-    return found.select(*by, F.array(*[F.col(f"_l{i}") * (1 - F.col(f"_f{i}")) + F.col(f"_h{i}") * F.col(f"_f{i}") for i in range(len(shares))]).alias(out))
+    return found.select(*by, F.array(*[F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}") for i in range(len(shares))]).alias(out))
 
 
 def average_ranks(df: DataFrame, x: str, out: str, by: Sequence[str] = ()) -> DataFrame:

@@ -64,7 +64,8 @@ DEC = "e AS (SELECT quantile_cont(spend, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8
 
 @query(f"WITH {UNITS}, {DEC} SELECT decile, count(*) AS n, round(var_samp(mean_price), 2) AS variance, round(avg(pow(mean_price, 2) / n / 4), 2) AS noise, round(avg(pow(mean_price, 2) / n / 4) / var_samp(mean_price), 6) AS noise_share FROM d GROUP BY 1")
 def q68_decile_noise(t):
-    d = O.quantile_bin(units(t), "spend", 10, "decile").withColumn("se2", F.pow("mean_price", F.lit(2.0)) / F.col("n") / 4)
+    u = units(t).withColumn("spend", F.round("spend", 6))  # sums that differ by the order of their addition alone are ties
+    d = O.quantile_bin(u, "spend", 10, "decile").withColumn("se2", F.pow("mean_price", F.lit(2.0)) / F.col("n") / 4)
     g = d.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.var_samp("mean_price").alias("v"), F.avg("se2").alias("e"))
     return g.select("decile", "n", r6("v", 2).alias("variance"), r6("e", 2).alias("noise"), r6(S.ratio("e", "v")).alias("noise_share"))
 

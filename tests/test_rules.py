@@ -293,3 +293,9 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     b = {(r["start"], r["event_type"], r["n"]) for r in windows.windowed(source, "ts", "1 day", ["event_type"], "value").collect()}
     assert a == b
     assert windows.sessions(source, "ts", "1 hour", ["event_type"]).agg(F.sum("n")).first()[0] == source.count()
+
+
+def test_quantile_between_equal_values_is_that_value(spark):
+    x = 3241461.1200000006
+    df = spark.createDataFrame([(1.0,)] * 4 + [(x,)] * 5 + [(2 * x,)] * 2, "x double")
+    assert O.quantiles(df, "x", [0.68, 0.72, 0.78]).first()["q"] == [x, x, x]
