@@ -299,3 +299,11 @@ def test_quantile_between_equal_values_is_that_value(spark):
     x = 3241461.1200000006
     df = spark.createDataFrame([(1.0,)] * 4 + [(x,)] * 5 + [(2 * x,)] * 2, "x double")
     assert O.quantiles(df, "x", [0.68, 0.72, 0.78]).first()["q"] == [x, x, x]
+
+
+def test_section_lexicon_with_ascii_edges(spark):
+    rows = [(1, 0, "Economy", "émill"), (2, 0, "Economy", "a mill"), (3, 0, "Economy", "xmill"), (4, 0, "Economy", "mills_"), (5, 0, "Economy", "coalé")]
+    s = spark.createDataFrame(rows, "u long, o long, title string, text string")
+    flags = lambda edges: {r.u: r.sec_n_industry_mentions for r in X.section_lexicon(s.select("u"), s, "u", "o", "title", "text", edges=edges).collect()}
+    assert flags(T.ascii_only) == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1}
+    assert flags(T.unicode) == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0}
