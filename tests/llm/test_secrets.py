@@ -96,6 +96,23 @@ def test_unseen_findings(spark):
     assert found >= 0.9 * (found + missed) and wrong <= 10, (found, missed, wrong)
 
 
+def test_all_windows_are_learned_from(spark, monkeypatch):
+    """Every different window is in a part or held back, however many there are, and several parts learn as one does."""
+    monkeypatch.setattr(S, "PART", 1500)
+    monkeypatch.setattr(S, "LEAST_PART", 500)
+    made = corpus(random.Random(5), 1500)
+    docs = spark.createDataFrame([(i, t) for i, (t, u) in enumerate(made) if not u], "doc_id long, text string").repartition(3)
+    want = {(p, w) for t, u in made if not u for spans, values in [S.base_spans(t)] for p, places in ((True, values), (False, S.candidates(t, spans))) for x in places for w in S.windows(t, *x)}
+    got = S.labelled(docs, "text").dropDuplicates(["positive", "h"])
+    assert {(r.positive, bytes(r.window)) for r in got.collect()} == want and len(want) > 4000  # more of a class than a sample of 2,000 had
+    sizes = {c: sum(p == c for p, _ in want) for c in (True, False)}
+    net = S.learned(got, sizes)
+    found = S.seen(got, net, len(want))
+    assert found[~found.positive].n.sum() == sizes[False] and found[found.positive].n.sum() >= 1.4 * sizes[True]
+    right = found[(found.logit > 0) == found.positive].n.sum()
+    assert right >= 0.9 * found.n.sum()
+
+
 def test_odd_rows(spark):
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("t", T.LongType()), T.StructField("N_HEX", T.LongType())])
     texts = [None, "", "x" * 300_000, 'api_key: "' + "a1B2" * 5_000 + '"', "🎉 é token=abcdef " + "0f" * 12, "same AKIA" + "Z" * 16, "same AKIA" + "Z" * 16]
