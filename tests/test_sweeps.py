@@ -1,6 +1,7 @@
 """Sweeps from one scan against numpy on the rows themselves."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -322,3 +323,21 @@ def test_nearest_by_cells(spark, monkeypatch):
         if norm[i] > 0 and others:
             assert np.isclose(got.pop(k), (u[others] @ u[i]).max()), k
     assert not got
+
+
+def test_nearest_writes_no_row_for_a_vector_and_a_cell(spark, monkeypatch):
+    """A block names the cells that its vectors need, each once; several blocks and hot cells give what one product of matrices does."""
+    from tessera.operators import nearest as N
+
+    monkeypatch.setattr(N, "ROWS", 40)
+    monkeypatch.setattr(N, "BLOCK", 150)
+    r = np.random.default_rng(3)
+    v = np.vstack([r.normal(size=(500, 6)), np.tile([[1.0, 0, 0, 0, 0, 0]], (100, 1)) + 1e-3 * r.normal(size=(100, 6))])
+    df = spark.createDataFrame([(i, "a", x.tolist()) for i, x in enumerate(v)], "k long, g string, v array<double>")
+    got = {x.k: x.best for x in N.nearest(df, "k", "v", "g").collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T - 9 * np.eye(len(u))
+    assert len(got) == len(v) and np.allclose([got[i] for i in range(len(v))], near.max(axis=1))
+    points = pd.DataFrame({"g": "a", "id": range(600), "v": list(u), "n": 600, "cell": -1, "best": near.max(axis=1)})
+    pivots = pd.DataFrame({"g": "a", "cell": range(30), "v": list(u[:30]), "n": 600, "radius": 3.0})
+    assert sorted(N.visits(("a", 0), points, pivots)["cell"]) == list(range(30))
