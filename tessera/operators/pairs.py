@@ -124,47 +124,74 @@ def top_of_each(tests: DataFrame, by: str = "y", most: int = 3) -> DataFrame:
     return tests.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+def unit(a: np.ndarray) -> np.ndarray:
+    """The rows by their lengths; zeros stay."""
+    size = np.linalg.norm(a, axis=1, keepdims=True)
+    return a / np.where(size > 0, size, 1)
+
+
 def distances(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
     if kind == "cosine":
-        na, nb = (np.linalg.norm(v, axis=1, keepdims=True) for v in (a, b))
-        return 1 - (a / np.where(na > 0, na, 1)) @ (b / np.where(nb > 0, nb, 1)).T
+        return 1 - unit(a) @ unit(b).T
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
 
 
-def mantel(df: DataFrame, key: str, a: str, b: str, kinds: tuple[str, str] = ("cosine", "euclidean"), rounds: int = 199, seed: int = 42, rows: int = 512) -> DataFrame:
+def turned(x: np.ndarray, y: np.ndarray, orders: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(rounds,): the sums of x and y's products, y's rows and columns in each round's orders, one of a round in each row."""
+    return np.array([(x * y[np.ix_(p, q)]).sum() for p, q in zip(*orders)])
+
+
+def turned_cosines(u1: np.ndarray, u2: np.ndarray, y: np.ndarray, orders: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The same for the cosine distances of u1 and u2, whose rows have length 1 or 0. These are 1 less products of few columns, so
+    rather than y those columns are turned, all rounds side by side, and one product of matrices holds all rounds."""
+    rounds, d = len(orders[0]), u1.shape[1]
+    a1, a2 = (np.ascontiguousarray(u[np.argsort(p, axis=1)].transpose(1, 0, 2)).reshape(len(u), -1) for u, p in zip((u1, u2), orders))
+    return y.sum() - (a1 * (y @ a2)).sum(axis=0).reshape(rounds, d).sum(axis=1)
+
+
+def mantel(df: DataFrame, key: str, a: str, b: str, kinds: tuple[str, str] = ("cosine", "euclidean"), rounds: int = 199, seed: int = 42, rows: int = 512, together: int = 16) -> DataFrame:
     """(n_units, n_pairs, r, p): the correlation of two distances over all pairs of units, against units whose second vector is dealt
     anew; p is one-sided, for distances that rise together. a and b: columns of arrays. For tables of units.
 
-    Blocks of units meet in cells, each pair of blocks in one task; a round applies its order of a block to whichever end of a
-    cell the block is. Both distances' own sums are the same in every round, only the sum of products is new. A unit with a
-    null in either vector is left out."""
+    Blocks of units meet in cells of `together` blocks a side, each in one task, which goes through the pairs of blocks; a round
+    applies its order of a block to whichever end of a pair the block is. Both distances' own sums are the same in every round,
+    only the sum of products is new: for cosines by one product of matrices for all rounds. All pairs are compared, so the
+    work grows with the square of the units; a task holds two sides of bounded size, and a unit goes to as many cells as there
+    are sides. A unit with a null in either vector is left out."""
     known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     count = max(1, round(known.count() / rows))
+    sides = -(-count // together)
     block = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(count)).cast("long")
-    cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<long>"), lambda o: F.struct(F.least(o, F.col("_block")).alias("low"), F.greatest(o, F.col("_block")).alias("high"))))
+    side = F.floor(F.col("_block") / together).cast("long")
+    cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(sides - 1)).cast("array<long>"), lambda o: F.struct(F.least(o, side).alias("low"), F.greatest(o, side).alias("high"))))
     units = known.select(F.col(key).cast("string").alias("_k"), F.xxhash64(key, F.lit(seed + 1)).alias("_h"), block.alias("_block"), F.col(a).cast("array<double>").alias("a"), F.col(b).cast("array<double>").alias("b"))
 
     def cell(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         low, high = map(int, key)
-        ends = []
-        for k in (low, high):
-            own = part[part["_block"] == k].sort_values(["_h", "_k"], kind="stable")
-            ends.append([np.array(own[c].tolist(), float).reshape(len(own), -1) for c in ("a", "b")])
-        (a1, b1), (a2, b2) = ends
-        if not len(a1) or not len(a2):
-            return pd.DataFrame({"round": [], **{s: [] for s in SUMS}})
-        x, y = distances(a1, a2, kinds[0]), distances(b1, b2, kinds[1])
-        use = np.triu(np.ones(x.shape), 1) if low == high else np.ones(x.shape)
-        x = x * use
-        sums = [use.sum(), x.sum(), (y * use).sum(), (x * x).sum(), (y * y * use).sum()]
-        out = []
-        for k in range(rounds + 1):
-            p, q = draw(k, low, len(y), seed), draw(k, high, y.shape[1], seed)
-            out.append((k, *(sums if not k else [0.0] * 5), float((x * y[np.ix_(p, q)]).sum())))
-        return pd.DataFrame(out, columns=["round", *SUMS])
+        held = {}
+        for k, own in part.sort_values(["_h", "_k"], kind="stable").groupby("_block"):
+            vectors = [np.array(own[c].tolist(), float).reshape(len(own), -1) for c in ("a", "b")]
+            held[int(k)] = (*vectors, np.stack([draw(i, int(k), len(own), seed) for i in range(rounds + 1)]))
+        out = np.zeros((rounds + 1, len(SUMS)))
+        for k1, (a1, b1, p1) in held.items():
+            for k2, (a2, b2, p2) in held.items():
+                if k1 // together != low or k2 // together != high or k1 > k2:
+                    continue
+                x, y = distances(a1, a2, kinds[0]), distances(b1, b2, kinds[1])
+                if k1 == k2:  # each pair is there twice, and a unit with itself
+                    np.fill_diagonal(x, 0.0)
+                    np.fill_diagonal(y, 0.0)
+                share = 0.5 if k1 == k2 else 1.0
+                out[0, :5] += share * np.array([x.size - (len(x) if k1 == k2 else 0), x.sum(), y.sum(), (x * x).sum(), (y * y).sum()])
+                if kinds[0] == "cosine":
+                    out[:, 5] += share * turned_cosines(unit(a1), unit(a2), y, (p1, p2))
+                else:
+                    out[:, 5] += share * turned(x, y, (p1, p2))
+        return pd.DataFrame(out, columns=list(SUMS)).assign(round=np.arange(rounds + 1))[["round", *SUMS]]
 
     schema = "round int, " + ", ".join(f"{s} double" for s in SUMS)
-    found = units.withColumn("cell", cells).groupBy("cell.low", "cell.high").applyInPandas(cell, schema).groupBy("round").agg(*[F.sum(s).alias(s) for s in SUMS])
+    dealt = units.withColumn("cell", cells).select("cell.low", "cell.high", "_k", "_h", "_block", "a", "b").repartition(min(2048, sides * (sides + 1) // 2), "low", "high")
+    found = dealt.groupBy("low", "high").applyInPandas(cell, schema).groupBy("round").agg(*[F.sum(s).alias(s) for s in SUMS])
     seen = found.where("round = 0").select("n", "sx", "sy", "sxx", "syy", F.col("sxy").alias("seen"))
     both = found.select("round", "sxy").crossJoin(F.broadcast(seen))
     c = F.col

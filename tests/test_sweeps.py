@@ -341,3 +341,17 @@ def test_nearest_writes_no_row_for_a_vector_and_a_cell(spark, monkeypatch):
     points = pd.DataFrame({"g": "a", "id": range(600), "v": list(u), "n": 600, "cell": -1, "best": near.max(axis=1)})
     pivots = pd.DataFrame({"g": "a", "cell": range(30), "v": list(u[:30]), "n": 600, "radius": 3.0})
     assert sorted(N.visits(("a", 0), points, pivots)["cell"]) == list(range(30))
+
+
+@pytest.mark.parametrize("kinds", [("cosine", "euclidean"), ("euclidean", "cosine")])
+def test_mantel_turns_columns_as_it_turns_distances(spark, kinds):
+    """All rounds by one product of matrices, and cells of several blocks, against every round's own distances."""
+    r = np.random.default_rng(4)
+    u1, u2, y = P.unit(r.normal(size=(7, 3))), P.unit(r.normal(size=(5, 3))), r.random(size=(7, 5))
+    u1[2] = 0
+    orders = tuple(np.stack([r.permutation(n) for _ in range(6)]) for n in (7, 5))
+    assert np.allclose(P.turned_cosines(u1, u2, y, orders), P.turned(1 - u1 @ u2.T, y, orders))
+    a = r.normal(size=(200, 3))
+    df = spark.createDataFrame([(i, x.tolist(), (x[:2] + r.normal(size=2)).tolist()) for i, x in enumerate(a)], "k long, a array<double>, b array<double>")
+    one, many = (P.mantel(df, "k", "a", "b", kinds, 20, rows=20, together=n).first() for n in (1, 3))
+    assert one.n_pairs == many.n_pairs == 200 * 199 // 2 and np.isclose(one.r, many.r) and one.p == many.p
