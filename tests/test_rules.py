@@ -307,3 +307,25 @@ def test_section_lexicon_with_ascii_edges(spark):
     flags = lambda edges: {r.u: r.sec_n_industry_mentions for r in X.section_lexicon(s.select("u"), s, "u", "o", "title", "text", edges=edges).collect()}
     assert flags(T.ascii_only) == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1}
     assert flags(T.unicode) == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
+def test_stems_lose_no_match(spark):
+    """Every match of a pattern holds one of its stems: each way through a pattern, and texts that hold a stem but no match."""
+    patterns = T.INDUSTRY | T.INSTITUTION | T.TRANSPORT | T.OTHER_FLAGS
+    assert set(T.STEMS) == set(patterns.values())
+    ways = ["manufactures", "factory", "factories", "mill", "mills", "industrial park", "mining", "mine", "mines", "coal", "quarry", "quarries", "oil", "petroleum", "natural gas", "refinery", "refineries", "oilfield", "agriculture", "farming", "farmland", "ranching", "crop", "crops", "livestock", "tourism", "touristic", "resort", "resorts", "ski", "casino", "casinos", "vacation", "timber", "logging", "lumber", "forestry", "sawmills", "shipping", "freight", "distribution center", "distribution centre", "warehouse"]
+    ways += ["University", "College", "Air Force Base", "Air Force Station", "Naval Base", "Naval Air", "Naval Shipyard", "Marine Corps Base", "Marine Corps Air", "Army Base", "Army Depot", "Army Garrison", "military base", "military installation", "Fort Xavier Army", "Fort Xa Base", "National Park", "National Forest", "National Monument", "Wildlife Refuge", "Indian Reservation", "Reservation of", "federally recognized", "Navajo Nation", "Hopi Nation", "Tribe of", "River", "Creek", "Interstate", "U.S. Route", "Highway", "Port of", "Harbor", "Harbour", "seaport"]
+    ways += ["Metropolitan Statistical Area", "metropolitan area", "Micropolitan", "micropolitan", "named for", "Named after", "named in honor of", "Department of Agriculture", "department of Agriculture", "retirement destination", "persistent poverty", "high-recreation", "farming-dependent", "mining dependent"]
+    texts = [*ways, *[f"the {w}, then" for w in ways], *[f"é{w}é" for w in ways], "turmoil", "skin", "determine", "Nations", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = {f"plain_{k}": F.coalesce(F.col("t").rlike(T.unicode(p)), F.lit(False)) for k, p in patterns.items()}
+    for r in df.select("t", *[c.alias(k) for k, c in (T.flags("t", patterns) | plain).items()]).collect():
+        assert all(r[k] == r[f"plain_{k}"] for k in patterns), r
+        assert r.t not in ways or any(r[k] for k in patterns), r
+
+
+def test_own_names_in_other_cases(spark):
+    rows = [("Kis\u0131n town. KISIN is old.", "Kisin, State"), ("\u212aisin, sTate and \u017ftate", "Kisin, State"), ("  a \n\n b\tc  d ", "Zed, State"), ("état État", "No, état"), (None, "A, B"), ("States state", "Q, State")]
+    df = spark.createDataFrame(rows, "t string, n string")
+    got = [r.x for r in df.select(T.without_self("t", F.col("n")).alias("x")).collect()]
+    assert got == ["is old.", "and", "a b c d", "", None, "States"]
